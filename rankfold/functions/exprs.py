@@ -87,3 +87,8 @@ def parse_metrics(names: list[str]) -> dict[str, list[int]]:
 
 def max_k(names: list[str]) -> int:
     return max(k for ks in parse_metrics(names).values() for k in ks)
+
+
+def field(name: str):
+    """One-argument lambda extracting struct field ``name`` (for ``transform``)."""
+    return lambda e: e.getField(name)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import constants as C
+from rankfold.functions.exprs import field
 
 
 def union_event_kinds(tables: dict[str, DataFrame]) -> DataFrame:
@@ -64,7 +65,7 @@ def to_sequences(df: DataFrame, layout: str = "columns", order_cols: list[str] |
     ev = F.struct(*[F.col(c).alias(k) for c, k in zip(order_cols, keys)], *[F.col(c) for c in value_cols])
     folded = df.groupBy("uid").agg(F.array_sort(F.collect_list(ev)).alias("_ev"))
     if layout == "columns":
-        return folded.select("uid", *[F.transform("_ev", lambda e, c=c: e[c]).alias(c) for c in value_cols])
+        return folded.select("uid", *[F.transform("_ev", field(c)).alias(c) for c in value_cols])
     if layout == "structs":
         return folded.select(
             "uid", F.transform("_ev", lambda e: F.struct(*[e[c].alias(c) for c in value_cols])).alias("events"))

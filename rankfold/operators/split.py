@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import constants as C
+from rankfold.functions.exprs import field
 
 
 class Split(NamedTuple):
@@ -71,9 +72,15 @@ def _list_columns(seq: DataFrame) -> list[str]:
 def _gather(seq: DataFrame, pred, ts_col: str) -> DataFrame:
     """Keep, in every list column, the positions whose timestamp satisfies
     ``pred``; users left with nothing are dropped.  Map-only (no shuffle)."""
-    ts = F.col(ts_col)
-    cols = [F.filter(F.col(c), lambda x, i: pred(F.get(ts, i))).alias(c) for c in _list_columns(seq)]
-    return seq.select("uid", *cols).filter(F.size("item_id") > 0)
+    # Inputs get private names first: inside one select, a lambda referring to
+    # "timestamp" could otherwise bind to the *output* alias "timestamp"
+    # (lateral column alias) and filter the other lists by filtered positions.
+    lc = _list_columns(seq)
+    tmp = {c: f"_g{i}" for i, c in enumerate(lc)}
+    base = seq.select("uid", *[F.col(c).alias(tmp[c]) for c in lc])
+    ts = F.col(tmp[ts_col])
+    cols = [F.filter(F.col(tmp[c]), lambda x, i: pred(F.get(ts, i))).alias(c) for c in lc]
+    return base.select("uid", *cols).filter(F.size("item_id") > 0)
 
 
 def drop_unseen_items_in_lists(seq: DataFrame, train_items: DataFrame) -> DataFrame:
@@ -88,7 +95,7 @@ def drop_unseen_items_in_lists(seq: DataFrame, train_items: DataFrame) -> DataFr
     flat = zipped.select("uid", "pos", *[F.col(f"e.{c}").alias(c) for c in cols])
     kept = flat.join(train_items, "item_id", "left_semi")
     folded = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("_ev"))
-    return folded.select("uid", *[F.transform("_ev", lambda e, c=c: e[c]).alias(c) for c in cols])
+    return folded.select("uid", *[F.transform("_ev", field(c)).alias(c) for c in cols])
 
 
 def split_sequences(seq: DataFrame, test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE,

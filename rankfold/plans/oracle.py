@@ -246,5 +246,137 @@ ORACLES = {
 }
 
 
+# ---------------------------------------------------------------- reshape, sequences, statistics
+
+ME_ORDER = "ORDER BY timestamp, event_ord, event_id"
+ME_LIST_COLS = ["timestamp", "item_id", "is_organic", "played_ratio_pct", "track_length_seconds", "event_type",
+                "event_ord", "event_id"]
+
+
+def _fold_columns(src: str) -> str:
+    cols = ", ".join(f"list({c} {ME_ORDER}) AS {c}" for c in ME_LIST_COLS)
+    return f"SELECT uid, {cols} FROM {src} GROUP BY uid"
+
+
+def q_multi_event():
+    return f"{with_(ME)} SELECT uid, timestamp, item_id, is_organic, played_ratio_pct, track_length_seconds, " \
+           f"event_id, event_type, event_ord FROM me"
+
+
+def q_seq_columns():
+    return f"{with_(ME)} {_fold_columns('me')}"
+
+
+def q_seq_structs():
+    fields = ", ".join(f"'{c}': {c}" for c in ME_LIST_COLS)
+    return f"{with_(ME)} SELECT uid, list({{{fields}}} {ME_ORDER}) AS events FROM me GROUP BY uid"
+
+
+def _me_split(drop_unseen_items=False):
+    return split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=drop_unseen_items)
+
+
+def q_seq_split_val():
+    return f"{with_(ME, _me_split())} {_fold_columns('val')}"
+
+
+def q_seq_split_test():
+    return f"{with_(ME, _me_split())} {_fold_columns('test')}"
+
+
+def q_seq_split_test_seen_items():
+    return f"{with_(ME, _me_split(True))} {_fold_columns('test')}"
+
+
+def q_recom_ratio():
+    return (f"{with_(ME)} SELECT event_type, total, recom, recom / total AS ratio FROM ("
+            f"SELECT event_type, count(*) AS total, count(*) FILTER (WHERE is_organic = 0) AS recom "
+            f"FROM me GROUP BY event_type) WHERE recom > 0")
+
+
+def _nearest(col: str, q: float) -> str:
+    return f"max({col}) FILTER (WHERE i = round((n - 1) * {float(q)!r}))"
+
+
+def q_history_quantiles():
+    return (f"{with_(ME)}, pu AS (SELECT event_type, uid, count(*) AS len FROM me GROUP BY event_type, uid), "
+            f"r AS (SELECT event_type, len, row_number() OVER (PARTITION BY event_type ORDER BY len) - 1 AS i, "
+            f"count(*) OVER (PARTITION BY event_type) AS n FROM pu) "
+            f"SELECT event_type, CAST({_nearest('len', 0.5)} AS INTEGER) AS median, "
+            f"CAST({_nearest('len', 0.9)} AS INTEGER) AS q90, CAST({_nearest('len', 0.95)} AS INTEGER) AS q95 "
+            f"FROM r GROUP BY event_type")
+
+
+def q_dataset_stats():
+    kinds = [("listens", "listen"), ("likes", "like"), ("dislikes", "dislike"), ("unlikes", "unlike"),
+             ("undislikes", "undislike")]
+    k = ", ".join(f"count(*) FILTER (WHERE event_type = '{v}') AS {n}" for n, v in kinds)
+    return f"{with_(ME)} SELECT count(DISTINCT uid) AS users, count(DISTINCT item_id) AS items, {k} FROM me"
+
+
+def _hist(values_cte: str, bins: int) -> str:
+    return (f"mm AS (SELECT min(value) AS lo, max(value) AS hi FROM {values_cte}), "
+            f"b AS (SELECT CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((value - lo) / (hi - lo) * {float(bins)}), "
+            f"{bins - 1}) AS INTEGER) END AS bin FROM {values_cte}, mm), "
+            f"c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) "
+            f"SELECT CAST(r.range AS INTEGER) AS bin, round(lo + CAST(r.range AS INTEGER) * ((hi - lo) / {float(bins)}), {D}) AS bin_lo, "
+            f"round(lo + (CAST(r.range AS INTEGER) + 1) * ((hi - lo) / {float(bins)}), {D}) AS bin_hi, "
+            f"CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM range({bins}) r CROSS JOIN mm "
+            f"LEFT JOIN c ON c.bin = CAST(r.range AS INTEGER)")
+
+
+def q_history_histogram():
+    return (f"{with_(ME)}, v AS (SELECT CAST(count(*) AS DOUBLE) AS value FROM me GROUP BY uid), "
+            f"{_hist('v', 100)}")
+
+
+def q_history_log_histogram():
+    return (f"{with_(ME)}, v AS (SELECT log10(CAST(count(*) AS DOUBLE)) AS value FROM me GROUP BY uid), "
+            f"{_hist('v', 40)}")
+
+
+def q_history_markers():
+    return (f"{with_(ME)}, v AS (SELECT CAST(count(*) AS DOUBLE) AS value FROM me GROUP BY uid), "
+            f"r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM v) "
+            f"SELECT 'max' AS marker, round(max(value), {D}) AS value FROM r "
+            f"UNION ALL SELECT 'q50', round({_nearest('value', 0.5)}, {D}) FROM r "
+            f"UNION ALL SELECT 'q90', round({_nearest('value', 0.9)}, {D}) FROM r "
+            f"UNION ALL SELECT 'q95', round({_nearest('value', 0.95)}, {D}) FROM r")
+
+
+def q_item_log_counts():
+    return (f"{with_(ME)} SELECT item_id, count(*) AS n, round(log10(count(*)), {D}) AS log_n "
+            f"FROM me GROUP BY item_id")
+
+
+def q_item_log_histogram():
+    return (f"{with_(INTER)}, v AS (SELECT log10(CAST(count(*) AS DOUBLE)) AS value FROM inter GROUP BY item_id), "
+            f"{_hist('v', 30)}")
+
+
+def q_dense_index():
+    return (f"{with_(INTER)} SELECT uid, CAST(dense_rank() OVER (ORDER BY uid) - 1 AS BIGINT) AS uid_idx "
+            f"FROM (SELECT DISTINCT uid FROM inter)")
+
+
+ORACLES.update({
+    "multi_event": q_multi_event,
+    "seq_columns": q_seq_columns,
+    "seq_structs": q_seq_structs,
+    "seq_split_val": q_seq_split_val,
+    "seq_split_test": q_seq_split_test,
+    "seq_split_test_seen_items": q_seq_split_test_seen_items,
+    "recom_ratio": q_recom_ratio,
+    "history_quantiles": q_history_quantiles,
+    "dataset_stats": q_dataset_stats,
+    "history_histogram": q_history_histogram,
+    "history_log_histogram": q_history_log_histogram,
+    "history_markers": q_history_markers,
+    "item_log_counts": q_item_log_counts,
+    "item_log_histogram": q_item_log_histogram,
+    "dense_index": q_dense_index,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
-from rankfold.operators.split import split_flat
+from rankfold.operators import indexing, reshape, stats
+from rankfold.operators.split import split_flat, split_sequences
 from rankfold.operators.ranking import global_top_k
 from rankfold.recommenders import popularity as pop
 from rankfold.sources import adapters
@@ -116,3 +117,109 @@ def q_popularity_eval(spark, sf_dir):
     return B.popularity_benchmark(ev, interaction="likes", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
                                   gap=P.INTER_GAP, hours=P.INTER_HOURS, validation_metric=P.VALIDATION_METRIC,
                                   report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
+
+
+# ---------------------------------------------------------------- reshape and sequences
+
+ME_ORDER = ["timestamp", "event_ord", "event_id"]
+
+
+def me_sequences(spark, sf_dir, layout="columns"):
+    me = adapters.multi_event(spark, sf_dir)
+    return reshape.to_sequences(me, layout, order_cols=ME_ORDER)
+
+
+@register("multi_event")
+def q_multi_event(spark, sf_dir):
+    """U1 + O1: union of the five single-kind tables in total (uid, time, kind) order."""
+    tables = adapters.event_kind_tables(spark, sf_dir)
+    return reshape.sort_events(reshape.union_event_kinds(tables), tie_cols=["event_id"])
+
+
+@register("seq_columns")
+def q_seq_columns(spark, sf_dir):
+    """A4: one row per user, every other column an aligned, time-ordered list."""
+    return me_sequences(spark, sf_dir, "columns")
+
+
+@register("seq_structs")
+def q_seq_structs(spark, sf_dir):
+    """A5: one row per user with a time-ordered list of event structs."""
+    return me_sequences(spark, sf_dir, "structs")
+
+
+@register("seq_split_val")
+def q_seq_split_val(spark, sf_dir):
+    """Validation lists of the sequential split."""
+    return split_sequences(me_sequences(spark, sf_dir), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP).val
+
+
+@register("seq_split_test")
+def q_seq_split_test(spark, sf_dir):
+    """Test lists of the sequential split."""
+    return split_sequences(me_sequences(spark, sf_dir), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP).test
+
+
+@register("seq_split_test_seen_items")
+def q_seq_split_test_seen_items(spark, sf_dir):
+    """T4: test lists with items unseen in train removed inside the lists."""
+    return split_sequences(me_sequences(spark, sf_dir), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP,
+                           drop_unseen_items=True).test
+
+
+# ---------------------------------------------------------------- statistics
+
+@register("recom_ratio")
+def q_recom_ratio(spark, sf_dir):
+    """Recommended share of events per kind."""
+    return stats.recom_ratio(adapters.multi_event(spark, sf_dir))
+
+
+@register("history_quantiles")
+def q_history_quantiles(spark, sf_dir):
+    """Nearest-rank q50/q90/q95 of events per user, per kind."""
+    return stats.history_len_stats(adapters.multi_event(spark, sf_dir))
+
+
+@register("dataset_stats")
+def q_dataset_stats(spark, sf_dir):
+    """Distinct users and items, events per kind."""
+    return stats.dataset_stats(adapters.multi_event(spark, sf_dir))
+
+
+@register("history_histogram")
+def q_history_histogram(spark, sf_dir):
+    """100-bin histogram of user history lengths (sequential log)."""
+    return stats.user_history_histogram(me_sequences(spark, sf_dir))
+
+
+@register("history_log_histogram")
+def q_history_log_histogram(spark, sf_dir):
+    """40-bin histogram of log10 history lengths."""
+    return stats.user_history_histogram(me_sequences(spark, sf_dir), log10=True)
+
+
+@register("history_markers")
+def q_history_markers(spark, sf_dir):
+    """Max, q50, q90, q95 of user history lengths."""
+    return stats.histogram_markers(stats.history_lengths(me_sequences(spark, sf_dir)), "value")
+
+
+@register("item_log_counts")
+def q_item_log_counts(spark, sf_dir):
+    """Events per item and log10."""
+    return stats.item_interactions(adapters.multi_event(spark, sf_dir))
+
+
+@register("item_log_histogram")
+def q_item_log_histogram(spark, sf_dir):
+    """30-bin histogram of log10 events per item (interactions log)."""
+    return stats.item_interactions_histogram(adapters.interactions(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- indexing
+
+@register("dense_index")
+def q_dense_index(spark, sf_dir):
+    """Users numbered 0.. in id order, without a global window."""
+    return indexing.dense_index(adapters.interactions(spark, sf_dir), "uid")
