@@ -378,5 +378,77 @@ ORACLES.update({
 })
 
 
+# ---------------------------------------------------------------- random lists, metrics, embeddings
+
+def _md5_int(n_sql: str, *parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 15))::BIGINT % ({n_sql}))"
+
+
+def _random_ctes(seed: int, name: str = "rl") -> str:
+    return (f"{name}_items AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx "
+            f"FROM (SELECT DISTINCT item_id FROM train)), "
+            f"{name}_draws AS (SELECT uid, p AS rank, {_md5_int(f'SELECT count(*) FROM {name}_items', str(seed), 'uid', 'p')} "
+            f"AS item_idx FROM (SELECT DISTINCT uid FROM train) u, range(1, 101) t(p)), "
+            f"{name} AS (SELECT d.uid, CAST(d.rank AS INTEGER) AS rank, i.item_id, CAST(100 - d.rank + 1 AS DOUBLE) AS score "
+            f"FROM {name}_draws d JOIN {name}_items i ON d.item_idx = i.item_idx)")
+
+
+def q_random_topk():
+    return f"{with_(INTER, _inter_split(0), _random_ctes(P.RANDOM_SEED))} SELECT * FROM rl"
+
+
+def _report(metrics, **kw):
+    m = metric_ctes("rl", "test", "SELECT count(DISTINCT item_id) FROM train", metrics, [], shared=False, **kw)
+    return (f"{with_(INTER, _inter_split(0), _random_ctes(P.RANDOM_SEED), m)} "
+            f"SELECT metric, k, round(value, {D}) AS value FROM rep")
+
+
+def q_metrics_all():
+    return _report(P.ALL_METRICS)
+
+
+def q_mrr_compat():
+    return _report(["mrr@10", "mrr@50", "mrr@100"], mrr_compat=True)
+
+
+def q_coverage_target_users():
+    return _report(["coverage@10", "coverage@50", "coverage@100"], coverage_targets=True)
+
+
+def q_random_eval():
+    ctes = [INTER, _inter_split(0)]
+    sels = []
+    for r in range(P.RANDOM_REPEATS):
+        ctes.append(_random_ctes(P.RANDOM_SEED + r, f"rl{r}"))
+        ctes.append(metric_ctes(f"rl{r}", "test", "SELECT count(DISTINCT item_id) FROM train", P.REPORT_METRICS, [],
+                                shared=False, name=f"rep{r}"))
+        sels.append(f"SELECT metric, k, value FROM rep{r}")
+    return (f"{with_(*ctes)} SELECT metric, k, round(avg(value), {D}) AS value FROM ({' UNION ALL '.join(sels)}) "
+            f"GROUP BY metric, k")
+
+
+EMB = """
+eu AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 50),
+ei AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id >= 50)"""
+
+
+def q_embedding_topk():
+    return (f"{with_(EMB)}, s AS (SELECT eu.id AS uid, ei.id AS item_id, round(list_dot_product(eu.e, ei.e), {S}) AS score "
+            f"FROM eu CROSS JOIN ei) "
+            f"SELECT uid, rank, item_id, round(score, {D}) AS score FROM (SELECT uid, item_id, score, "
+            f"CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) "
+            f"WHERE rank <= 100")
+
+
+ORACLES.update({
+    "random_topk": q_random_topk,
+    "metrics_all": q_metrics_all,
+    "mrr_compat": q_mrr_compat,
+    "coverage_target_users": q_coverage_target_users,
+    "random_eval": q_random_eval,
+    "embedding_topk": q_embedding_topk,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

@@ -17,7 +17,10 @@ from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
 from rankfold.operators import indexing, reshape, stats
 from rankfold.operators.split import split_flat, split_sequences
-from rankfold.operators.ranking import global_top_k
+from rankfold.operators.metrics import evaluate
+from rankfold.operators.ranking import dot_product_top_k, global_top_k
+from rankfold.operators.tuning import mean_reports
+from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import popularity as pop
 from rankfold.sources import adapters
 
@@ -223,3 +226,61 @@ def q_item_log_histogram(spark, sf_dir):
 def q_dense_index(spark, sf_dir):
     """Users numbered 0.. in id order, without a global window."""
     return indexing.dense_index(adapters.interactions(spark, sf_dir), "uid")
+
+
+# ---------------------------------------------------------------- random recommender and metrics
+
+def random_lists(spark, sf_dir, seed=P.RANDOM_SEED):
+    s = inter_split(spark, sf_dir, val_size=0)
+    return s, random_ranked(s.train, 100, seed)
+
+
+@register("random_topk")
+def q_random_topk(spark, sf_dir):
+    """100 hashed uniform draws per train user."""
+    return random_lists(spark, sf_dir)[1]
+
+
+@register("metrics_all")
+def q_metrics_all(spark, sf_dir):
+    """M1-M6 at 10/50/100 for the random lists against the test events."""
+    s, ranked = random_lists(spark, sf_dir)
+    return evaluate(ranked, s.test, P.ALL_METRICS, B.distinct_count(s.train, "item_id"))
+
+
+@register("mrr_compat")
+def q_mrr_compat(spark, sf_dir):
+    """MRR where a user without a hit scores 1 (all-zero argmax)."""
+    s, ranked = random_lists(spark, sf_dir)
+    return evaluate(ranked, s.test, ["mrr@10", "mrr@50", "mrr@100"], mrr_compat=True)
+
+
+@register("coverage_target_users")
+def q_coverage_target_users(spark, sf_dir):
+    """M7: coverage over the lists of target users only."""
+    s, ranked = random_lists(spark, sf_dir)
+    return evaluate(ranked, s.test, ["coverage@10", "coverage@50", "coverage@100"],
+                    B.distinct_count(s.train, "item_id"), coverage_target_users=True)
+
+
+@register("random_eval")
+def q_random_eval(spark, sf_dir):
+    """R1 protocol: report metrics averaged over two seeded runs."""
+    s = inter_split(spark, sf_dir, val_size=0)
+    n_items = B.distinct_count(s.train, "item_id")
+    runs = None
+    for r in range(P.RANDOM_REPEATS):
+        rep = evaluate(random_ranked(s.train, 100, P.RANDOM_SEED + r), s.test, P.REPORT_METRICS, n_items)
+        rep = rep.withColumn("run", F.lit(r))
+        runs = rep if runs is None else runs.unionByName(rep)
+    return mean_reports(runs)
+
+
+# ---------------------------------------------------------------- embeddings
+
+@register("embedding_topk")
+def q_embedding_topk(spark, sf_dir):
+    """Top 100 items per user by dot product (users = vec_id < 50)."""
+    users, items = adapters.embedding_tables(spark, sf_dir)
+    return dot_product_top_k(users, items, 100, round_digits=P.SCORE_DIGITS,
+                             user_block_rows=16, item_block_rows=128)
