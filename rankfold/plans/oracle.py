@@ -450,5 +450,102 @@ ORACLES.update({
 })
 
 
+# ---------------------------------------------------------------- ItemKNN, computed the direct way
+
+def _me_split0(prefix=""):
+    return split_ctes("me", ME_COLS, P.ME_TEST_TS, 0, P.ME_GAP, prefix)
+
+
+def _knn_base(train: str, p: str) -> str:
+    return (f"{p}U AS (SELECT uid, item_id, CAST(count(*) AS DOUBLE) AS u FROM {train} GROUP BY uid, item_id), "
+            f"{p}un AS (SELECT uid, sqrt(sum(u * u) + 1e-12) AS n FROM {p}U GROUP BY uid), "
+            f"{p}inn AS (SELECT item_id, sqrt(sum(u * u) + 1e-12) AS n FROM {p}U GROUP BY item_id), "
+            f"{p}mx AS (SELECT uid, max(timestamp) AS m FROM {train} GROUP BY uid)")
+
+
+def _knn_weights(train: str, p: str, hour: float, name: str) -> str:
+    return (f"{name} AS (SELECT * FROM (SELECT t.uid, t.item_id, sum(pow({dbl(tau(hour))}, "
+            f"CAST(x.m - t.timestamp AS DOUBLE))) AS w FROM {train} t JOIN {p}mx x ON t.uid = x.uid "
+            f"GROUP BY t.uid, t.item_id) WHERE w > 1e-9)")
+
+
+def _knn_ranked(train: str, p: str, hour: float, norm: str, name: str) -> str:
+    """CTEs ending in ``name(uid, rank, item_id, score)``; needs _knn_base(p)."""
+    e = (f"{name}_E AS (SELECT U.item_id, U.uid AS v, U.u / un.n AS e FROM {p}U U JOIN {p}un un ON U.uid = un.uid)"
+         if norm == "user" else
+         f"{name}_E AS (SELECT U.item_id, U.uid AS v, U.u / n.n AS e FROM {p}U U JOIN {p}inn n ON U.item_id = n.item_id)")
+    return ", ".join([
+        _knn_weights(train, p, hour, f"{name}_W"),
+        e,
+        f"{name}_V AS (SELECT W.uid, U.uid AS v, sum(W.w * U.u) AS val FROM {name}_W W JOIN {p}U U "
+        f"ON W.item_id = U.item_id GROUP BY W.uid, U.uid)",
+        f"{name}_vn AS (SELECT uid, greatest(sqrt(sum(val * val)), 1e-12) AS n FROM {name}_V GROUP BY uid)",
+        f"{name}_sc AS (SELECT V.uid, E.item_id, sum(V.val / vn.n * E.e) AS score FROM {name}_V V "
+        f"JOIN {name}_vn vn ON V.uid = vn.uid JOIN {name}_E E ON V.v = E.v GROUP BY V.uid, E.item_id)",
+        f"{name} AS (SELECT uid, rank, item_id, score FROM (SELECT uid, item_id, round(score, {S}) AS score, "
+        f"CAST(row_number() OVER (PARTITION BY uid ORDER BY round(score, {S}) DESC, item_id) AS INTEGER) AS rank "
+        f"FROM {name}_sc WHERE score > 0) WHERE rank <= 100)",
+    ])
+
+
+def q_user_item_weights():
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_weights('train', 'k_', P.ME_KNN_HOUR, 'W'))} "
+            f"SELECT uid, item_id, round(w, {D}) AS w FROM W")
+
+
+def q_item_cooccurrence():
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'))} SELECT a.item_id AS k, b.item_id AS i, "
+            f"round(sum(a.u * b.u / un.n), {D}) AS s, round(sum(a.u * b.u), {D}) AS g "
+            f"FROM k_U a JOIN k_U b ON a.uid = b.uid JOIN k_un un ON a.uid = un.uid GROUP BY a.item_id, b.item_id")
+
+
+def _knn_topk(hour: float, norm: str) -> str:
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', hour, norm, 'rk'))} "
+            f"SELECT uid, rank, item_id, round(score, {D}) AS score FROM rk")
+
+
+def q_itemknn_topk():
+    return _knn_topk(P.ME_KNN_HOUR, "user")
+
+
+def q_itemknn_topk_cosine():
+    return _knn_topk(P.ME_KNN_HOUR, "item")
+
+
+def q_itemknn_topk_last():
+    return _knn_topk(0.0, "user")
+
+
+def q_itemknn_eval():
+    ctes = [ME, split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP), _me_split0("r_"),
+            _knn_base("train", "v_"), _knn_base("r_train", "f_")]
+    sels = []
+    for i, h in enumerate(P.ME_KNN_HOURS):
+        ctes.append(_knn_ranked("train", "v_", h, "user", f"g{i}"))
+        sels.append(f"SELECT CAST({i} AS INTEGER) AS trial, uid, rank, item_id FROM g{i}")
+    ctes.append(f"grk AS ({' UNION ALL '.join(sels)})")
+    ctes.append(metric_ctes("grk", "val", "SELECT count(DISTINCT item_id) FROM train", [P.VALIDATION_METRIC],
+                            ["trial"], shared=False, name="vrep"))
+    ctes.append("best AS (SELECT trial FROM vrep ORDER BY value DESC, trial LIMIT 1)")
+    for i, h in enumerate(P.ME_KNN_HOURS):
+        ctes.append(_knn_ranked("r_train", "f_", h, "user", f"t{i}"))
+    ctes.append("frk AS (" + " UNION ALL ".join(
+        f"SELECT uid, rank, item_id FROM t{i} WHERE {i} = (SELECT trial FROM best)"
+        for i in range(len(P.ME_KNN_HOURS))) + ")")
+    ctes.append(metric_ctes("frk", "r_test", "SELECT count(DISTINCT item_id) FROM r_train", P.REPORT_METRICS, [],
+                            shared=False))
+    return f"{with_(*ctes)} SELECT metric, k, round(value, {D}) AS value FROM rep"
+
+
+ORACLES.update({
+    "user_item_weights": q_user_item_weights,
+    "item_cooccurrence": q_item_cooccurrence,
+    "itemknn_topk": q_itemknn_topk,
+    "itemknn_topk_cosine": q_itemknn_topk_cosine,
+    "itemknn_topk_last": q_itemknn_topk_last,
+    "itemknn_eval": q_itemknn_eval,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

@@ -16,6 +16,7 @@ ME_TEST_TS = 28 * C.DAY_SECONDS
 ME_GAP = 1800
 ME_VAL_SIZE = 2 * C.DAY_SECONDS
 ME_KNN_HOUR = 24.0
+ME_KNN_HOURS = [0.0, 1.0, 24.0]
 
 VALIDATION_METRIC = "ndcg@100"
 REPORT_METRICS = C.METRICS

@@ -21,6 +21,7 @@ from rankfold.operators.metrics import evaluate
 from rankfold.operators.ranking import dot_product_top_k, global_top_k
 from rankfold.operators.tuning import mean_reports
 from rankfold.recommenders.random import random_ranked
+from rankfold.recommenders import itemknn
 from rankfold.recommenders import popularity as pop
 from rankfold.sources import adapters
 
@@ -284,3 +285,46 @@ def q_embedding_topk(spark, sf_dir):
     users, items = adapters.embedding_tables(spark, sf_dir)
     return dot_product_top_k(users, items, 100, round_digits=P.SCORE_DIGITS,
                              user_block_rows=16, item_block_rows=128)
+
+
+# ---------------------------------------------------------------- ItemKNN (multi-event adapter)
+
+@register("user_item_weights")
+def q_user_item_weights(spark, sf_dir):
+    """Decayed (user, item) weights, hour = 24, zeros eliminated."""
+    from rankfold.functions.exprs import decay_tau
+    return itemknn.user_item_weights(me_split(spark, sf_dir).train, decay_tau(P.ME_KNN_HOUR))
+
+
+@register("item_cooccurrence")
+def q_item_cooccurrence(spark, sf_dir):
+    """Item x item sums S (user-normalised) and G over shared users."""
+    return itemknn.cooccurrence(itemknn.user_item_counts(me_split(spark, sf_dir).train), "user")
+
+
+@register("itemknn_topk")
+def q_itemknn_topk(spark, sf_dir):
+    """ItemKNN top 100 per train user (norm as in the reference code)."""
+    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, P.ME_KNN_HOUR, 100, "user",
+                                  round_digits=P.SCORE_DIGITS)
+
+
+@register("itemknn_topk_cosine")
+def q_itemknn_topk_cosine(spark, sf_dir):
+    """ItemKNN top 100 with item-normalised (cosine) item vectors."""
+    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, P.ME_KNN_HOUR, 100, "item",
+                                  round_digits=P.SCORE_DIGITS)
+
+
+@register("itemknn_topk_last")
+def q_itemknn_topk_last(spark, sf_dir):
+    """hour = 0, only each user's last-timestamp events weigh."""
+    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, 0.0, 100, "user", round_digits=P.SCORE_DIGITS)
+
+
+@register("itemknn_eval")
+def q_itemknn_eval(spark, sf_dir):
+    """R3 + H1 protocol on the multi-event log: hour chosen on validation, report on test."""
+    return B.itemknn_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, val_size=P.ME_VAL_SIZE,
+                               gap=P.ME_GAP, hours=P.ME_KNN_HOURS, validation_metric=P.VALIDATION_METRIC,
+                               report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
