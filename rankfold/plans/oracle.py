@@ -547,5 +547,100 @@ ORACLES.update({
 })
 
 
+def q_bpr_triples():
+    n = "SELECT count(*) FROM bi"
+    return (f"{with_(INTER, _inter_split(0))}, bp AS (SELECT DISTINCT uid, item_id FROM train), "
+            f"bi AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx FROM (SELECT DISTINCT item_id FROM bp)), "
+            f"cand AS (SELECT p.uid, p.item_id, a AS attempt, "
+            f"{_md5_int(n, str(P.RANDOM_SEED), 'p.uid', 'p.item_id', 'a')} AS item_idx FROM bp p, range(0, 16) t(a)), "
+            f"ok AS (SELECT c.uid, c.item_id, c.attempt, i.item_id AS neg_item_id FROM cand c JOIN bi i ON c.item_idx = i.item_idx "
+            f"WHERE NOT EXISTS (SELECT 1 FROM bp q WHERE q.uid = c.uid AND q.item_id = i.item_id)), "
+            f"first AS (SELECT uid, item_id, arg_min(neg_item_id, attempt) AS neg_item_id FROM ok GROUP BY uid, item_id) "
+            f"SELECT p.uid, p.item_id, f.neg_item_id FROM bp p LEFT JOIN first f ON p.uid = f.uid AND p.item_id = f.item_id")
+
+
+ORACLES["bpr_triples"] = q_bpr_triples
+
+
+# ---------------------------------------------------------------- sequence-model data, shards
+
+def _seq_ctes() -> str:
+    te = P.train_end(P.ME_TEST_TS, 0, P.ME_GAP)
+    n = P.SEQ_MAX_LEN
+    return ", ".join([
+        "lme AS (SELECT * FROM me WHERE played_ratio_pct >= 50)",
+        "sidx AS (SELECT item_id, CAST(dense_rank() OVER (ORDER BY item_id) AS BIGINT) AS item_idx "
+        "FROM (SELECT DISTINCT item_id FROM lme))",
+        f"trows AS (SELECT l.*, i.item_idx, row_number() OVER (PARTITION BY uid ORDER BY timestamp DESC, event_ord DESC, "
+        f"event_id DESC) AS rn FROM lme l JOIN sidx i ON l.item_id = i.item_id WHERE timestamp < {te})",
+        f"strain AS (SELECT uid, list(item_idx ORDER BY timestamp, event_ord, event_id) AS item_id, "
+        f"list(timestamp ORDER BY timestamp, event_ord, event_id) AS timestamp FROM trows WHERE rn <= {n} GROUP BY uid)",
+        f"stest AS (SELECT l.uid, list(i.item_idx ORDER BY l.timestamp, l.event_ord, l.event_id) AS item_id, "
+        f"list(l.timestamp ORDER BY l.timestamp, l.event_ord, l.event_id) AS timestamp FROM lme l "
+        f"JOIN sidx i ON l.item_id = i.item_id WHERE l.timestamp >= {P.ME_TEST_TS} "
+        f"AND l.uid IN (SELECT uid FROM trows) GROUP BY l.uid)",
+        "erows AS (SELECT t.uid, t.item_id AS item_id_train, v.item_id AS item_id_valid FROM strain t "
+        "JOIN stest v ON t.uid = v.uid)",
+    ])
+
+
+def q_seq_prepare_train():
+    return f"{with_(ME, _seq_ctes())} SELECT * FROM strain"
+
+
+def q_seq_prepare_test():
+    return f"{with_(ME, _seq_ctes())} SELECT * FROM stest"
+
+
+def q_next_item_rows():
+    n = "SELECT count(*) FROM sidx"
+    md5 = _md5_int(n, str(P.RANDOM_SEED), "uid", "i")
+    return (f"{with_(ME, _seq_ctes())}, ni AS (SELECT uid, "
+            f"CASE WHEN len(item_id) <= 1 THEN []::BIGINT[] ELSE list_slice(item_id, 1, len(item_id) - 1) END AS item_ids, "
+            f"CASE WHEN len(item_id) <= 1 THEN []::BIGINT[] ELSE list_slice(item_id, 2, len(item_id)) END AS positive_ids "
+            f"FROM strain), "
+            f"pos AS (SELECT uid, unnest(range(0, len(item_ids))) AS i FROM ni), "
+            f"negs AS (SELECT uid, list({md5} + 1 ORDER BY i) AS negative_ids FROM pos GROUP BY uid) "
+            f"SELECT ni.uid, item_ids, positive_ids, coalesce(negs.negative_ids, []::BIGINT[]) AS negative_ids, "
+            f"CAST(len(item_ids) AS INTEGER) AS length FROM ni LEFT JOIN negs ON ni.uid = negs.uid")
+
+
+def q_eval_rows():
+    return f"{with_(ME, _seq_ctes())} SELECT * FROM erows"
+
+
+def q_seq_batches():
+    return (f"{with_(ME, _seq_ctes())}, nb AS (SELECT *, (row_number() OVER (ORDER BY uid) - 1) // 16 AS batch_id "
+            f"FROM erows) SELECT CAST(batch_id AS BIGINT) AS batch_id, list(uid ORDER BY uid) AS uid_ids, "
+            f"flatten(list(item_id_train ORDER BY uid)) AS item_id_train_ids, "
+            f"list(CAST(len(item_id_train) AS INTEGER) ORDER BY uid) AS item_id_train_lengths, "
+            f"flatten(list(item_id_valid ORDER BY uid)) AS item_id_valid_ids, "
+            f"list(CAST(len(item_id_valid) AS INTEGER) ORDER BY uid) AS item_id_valid_lengths FROM nb GROUP BY batch_id")
+
+
+def q_seq_positions():
+    return (f"{with_(ME, _seq_ctes())}, ex AS (SELECT uid, len(item_id) AS n, "
+            f"CAST(generate_subscripts(item_id, 1) - 1 AS INTEGER) AS pos, unnest(item_id) AS item FROM strain) "
+            f"SELECT uid, pos, item, CAST(n - 1 - pos AS INTEGER) AS rev_pos, true AS valid FROM ex")
+
+
+def q_shards():
+    return (f"{with_(INTER)}, r AS (SELECT *, row_number() OVER (ORDER BY uid, timestamp, l_orderkey, l_linenumber, item_id, "
+            f"is_organic, played_ratio_pct) - 1 "
+            f"AS row_idx FROM inter) SELECT {INTER_COLS}, CAST(row_idx AS BIGINT) AS row_idx, "
+            f"CAST(floor(row_idx / ceil((SELECT count(*) FROM inter) / {P.SHARDS})) AS INTEGER) AS shard FROM r")
+
+
+ORACLES.update({
+    "seq_prepare_train": q_seq_prepare_train,
+    "seq_prepare_test": q_seq_prepare_test,
+    "next_item_rows": q_next_item_rows,
+    "eval_rows": q_eval_rows,
+    "seq_batches": q_seq_batches,
+    "seq_positions": q_seq_positions,
+    "shards": q_shards,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

@@ -15,12 +15,14 @@ from pyspark.sql import types as T
 
 from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
-from rankfold.operators import indexing, reshape, stats
+from rankfold.operators import indexing, reshape, sequences, stats
+from rankfold.streaming.shards import shard_rows
 from rankfold.operators.split import split_flat, split_sequences
 from rankfold.operators.metrics import evaluate
 from rankfold.operators.ranking import dot_product_top_k, global_top_k
 from rankfold.operators.tuning import mean_reports
 from rankfold.recommenders.random import random_ranked
+from rankfold.recommenders import factorization as mf
 from rankfold.recommenders import itemknn
 from rankfold.recommenders import popularity as pop
 from rankfold.sources import adapters
@@ -328,3 +330,94 @@ def q_itemknn_eval(spark, sf_dir):
     return B.itemknn_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, val_size=P.ME_VAL_SIZE,
                                gap=P.ME_GAP, hours=P.ME_KNN_HOURS, validation_metric=P.VALIDATION_METRIC,
                                report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
+
+
+# ---------------------------------------------------------------- factorisation (interactions log)
+
+@register("als_topk")
+def q_als_topk(spark, sf_dir):
+    """Implicit ALS factors (rank 64, 5 iterations), top 100 by dot product."""
+    s = inter_split(spark, sf_dir, val_size=0)
+    uf, itf = mf.als_factors(s.train, rank=64, reg=0.01, iterations=5, seed=42)
+    return dot_product_top_k(uf, itf, 100)
+
+
+@register("als_eval")
+def q_als_eval(spark, sf_dir):
+    """R4 + H2 + H3: two sampled trials on validation, best refit with seeds 41/42/43, mean test report."""
+    ev = adapters.interactions(spark, sf_dir)
+    space = {"iterations": (2, 6, "int"), "regularization": (1e-5, 1.0, "float")}
+    return B.factorization_benchmark(ev, model="als", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
+                                     gap=P.INTER_GAP, n_trials=2, space=space, rank=64)
+
+
+@register("bpr_triples")
+def q_bpr_triples(spark, sf_dir):
+    """One verified negative per distinct positive pair (hashed draws)."""
+    return mf.bpr_triples(inter_split(spark, sf_dir, val_size=0).train, seed=P.RANDOM_SEED, attempts=16)
+
+
+@register("bpr_topk")
+def q_bpr_topk(spark, sf_dir):
+    """BPR factors by distributed gradient steps, top 100 by dot product."""
+    s = inter_split(spark, sf_dir, val_size=0)
+    uf, itf = mf.bpr_fit(s.train, rank=16, learning_rate=0.05, reg=0.01, iterations=3, seed=42)
+    return dot_product_top_k(uf, itf, 100)
+
+
+# ---------------------------------------------------------------- sequence-model data, shards
+
+def seq_data(spark, sf_dir):
+    return sequences.prepare_sequences(me_sequences(spark, sf_dir), "listens", test_ts=P.ME_TEST_TS, val_size=0,
+                                       gap=P.ME_GAP, max_seq_len=P.SEQ_MAX_LEN)
+
+
+@register("seq_prepare_train")
+def q_seq_prepare_train(spark, sf_dir):
+    """Listen lists, item index from 1, last 50 train events as indices."""
+    return seq_data(spark, sf_dir).train
+
+
+@register("seq_prepare_test")
+def q_seq_prepare_test(spark, sf_dir):
+    """Held-out lists of train users as item indices."""
+    return seq_data(spark, sf_dir).test
+
+
+@register("next_item_rows")
+def q_next_item_rows(spark, sf_dir):
+    """Shifted input/positive lists and hashed negatives."""
+    d = seq_data(spark, sf_dir)
+    return sequences.next_item_rows(d.train, d.num_items(), P.SEQ_MAX_LEN, P.RANDOM_SEED)
+
+
+@register("eval_rows")
+def q_eval_rows(spark, sf_dir):
+    """Last train items and held-out items of users present in both."""
+    d = seq_data(spark, sf_dir)
+    return sequences.eval_rows(d.train, d.test, P.SEQ_MAX_LEN)
+
+
+@register("seq_batches")
+def q_seq_batches(spark, sf_dir):
+    """Evaluation rows collated into batches of 16 (flat ids + lengths)."""
+    d = seq_data(spark, sf_dir)
+    rows = sequences.eval_rows(d.train, d.test, P.SEQ_MAX_LEN)
+    return sequences.flatten_batches(rows, ["item_id_train", "item_id_valid"], 16)
+
+
+@register("seq_positions")
+def q_seq_positions(spark, sf_dir):
+    """Train items with position and reverse position (newest = 0)."""
+    return sequences.position_table(seq_data(spark, sf_dir).train)
+
+
+SHARD_ORDER = ["uid", "timestamp", "l_orderkey", "l_linenumber", "item_id", "is_organic", "played_ratio_pct"]
+
+
+@register("shards")
+def q_shards(spark, sf_dir):
+    """Global row positions under (uid, time, order line) and 8 contiguous shards."""
+    # every column takes part in the order: (order, line) is not unique in the
+    # test data, and rows equal in all columns are interchangeable
+    return shard_rows(adapters.interactions(spark, sf_dir), SHARD_ORDER, P.SHARDS)
