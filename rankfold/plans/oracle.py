@@ -642,5 +642,18 @@ ORACLES.update({
 })
 
 
+def q_unknown_item_bucket():
+    s_ = split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP)
+    return (f"{with_(ME, s_)}, ud AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS uid_idx FROM "
+            f"(SELECT DISTINCT uid FROM train)), idd AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx "
+            f"FROM (SELECT DISTINCT item_id FROM train)) "
+            f"SELECT CAST(u.uid_idx AS BIGINT) AS uid_idx, CAST(coalesce(i.item_idx, (SELECT count(*) FROM idd)) AS BIGINT) "
+            f"AS item_idx, count(*) AS value FROM test t JOIN ud u ON t.uid = u.uid LEFT JOIN idd i ON t.item_id = i.item_id "
+            f"GROUP BY 1, 2")
+
+
+ORACLES["unknown_item_bucket"] = q_unknown_item_bucket
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

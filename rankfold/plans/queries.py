@@ -25,6 +25,7 @@ from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import factorization as mf
 from rankfold.recommenders import itemknn
 from rankfold.recommenders import popularity as pop
+from rankfold.recommenders import sparse_linear as sl
 from rankfold.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,3 +422,26 @@ def q_shards(spark, sf_dir):
     # every column takes part in the order: (order, line) is not unique in the
     # test data, and rows equal in all columns are interchangeable
     return shard_rows(adapters.interactions(spark, sf_dir), SHARD_ORDER, P.SHARDS)
+
+
+# ---------------------------------------------------------------- sparse linear model
+
+@register("unknown_item_bucket")
+def q_unknown_item_bucket(spark, sf_dir):
+    """Test counts over train dictionaries, unseen items in a spare bucket."""
+    s = me_split(spark, sf_dir, val_size=P.ME_VAL_SIZE)
+    return sl.unknown_item_counts(s.train, s.test)
+
+
+@register("sparse_linear_topk")
+def q_sparse_linear_topk(spark, sf_dir):
+    """Per-item ridge weights on 20 neighbours, top 150 for the test users."""
+    s = me_split(spark, sf_dir)
+    return sl.sparse_linear_ranked(s.train, s.test.select("uid"), 150, P.SCORE_DIGITS, n_neighbours=20)
+
+
+@register("sparse_linear_eval")
+def q_sparse_linear_eval(spark, sf_dir):
+    """R6 protocol on the multi-event log: report metrics for the test users."""
+    return B.sparse_linear_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, gap=P.ME_GAP,
+                                     n_neighbours=20, round_digits=P.SCORE_DIGITS)
