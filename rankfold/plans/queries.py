@@ -270,14 +270,8 @@ def q_coverage_target_users(spark, sf_dir):
 @register("random_eval")
 def q_random_eval(spark, sf_dir):
     """R1 protocol: report metrics averaged over two seeded runs."""
-    s = inter_split(spark, sf_dir, val_size=0)
-    n_items = B.distinct_count(s.train, "item_id")
-    runs = None
-    for r in range(P.RANDOM_REPEATS):
-        rep = evaluate(random_ranked(s.train, 100, P.RANDOM_SEED + r), s.test, P.REPORT_METRICS, n_items)
-        rep = rep.withColumn("run", F.lit(r))
-        runs = rep if runs is None else runs.unionByName(rep)
-    return mean_reports(runs)
+    return B.random_benchmark(adapters.interactions(spark, sf_dir), test_ts=P.INTER_TEST_TS, gap=P.INTER_GAP,
+                              num_repeats=P.RANDOM_REPEATS, seed=P.RANDOM_SEED, k=100)
 
 
 # ---------------------------------------------------------------- embeddings
