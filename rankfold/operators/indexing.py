@@ -4,6 +4,7 @@
 single-partition window: values are range-partitioned, sorted inside each
 partition, counted per partition (a frame with one row per partition), and
 each row's index is its partition offset plus its position in the partition.
+The range shuffle is written once and read by both branches (exchange reuse).
 """
 
 from __future__ import annotations
@@ -14,6 +15,18 @@ from pyspark.sql import functions as F
 from rankfold.session import default_parallelism
 
 
+def materialise_once(d: DataFrame) -> DataFrame:
+    """Both uses of a range-partitioned frame (the per-partition counts and
+    the rows themselves) must see the same partition contents.  Within one
+    query the identical range exchange is reused (ReusedExchange), so the
+    shuffle is written once and read twice; only when exchange reuse is
+    switched off is the frame checkpointed to the shared checkpoint folder.
+    """
+    if d.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "true":
+        return d
+    return d.checkpoint(eager=True)
+
+
 def dense_index(df: DataFrame, col: str, start: int = 0, out_col: str | None = None,
                 num_partitions: int | None = None) -> DataFrame:
     """(col, idx): distinct values of ``col`` numbered start, start+1, ... in
@@ -22,8 +35,7 @@ def dense_index(df: DataFrame, col: str, start: int = 0, out_col: str | None = N
     n = num_partitions or default_parallelism(df.sparkSession)
     d = (df.select(col).distinct().repartitionByRange(n, col).sortWithinPartitions(col)
          .select(col, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
-    # materialise once so both uses below see the same partition contents
-    d = d.checkpoint(eager=True)
+    d = materialise_once(d)
     counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     # running sum over one row per partition (the frame has <= n rows)
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)

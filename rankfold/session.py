@@ -34,6 +34,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         if master:
             builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        if master and master.startswith("local"):
+            # one JVM holds driver and executors; only applies when this
+            # process starts it (a running cluster keeps its own setting)
+            builder = builder.config("spark.driver.memory", os.environ.get("RANKFOLD_DRIVER_MEMORY", "16g"))
         if shuffle_partitions is not None:
             builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         spark = builder.getOrCreate()

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankfold.operators.indexing import materialise_once
 from rankfold.session import default_parallelism
 
 
@@ -25,12 +26,12 @@ def row_index(df: DataFrame, order_cols: list[str], start: int = 0, out_col: str
 
     Range partitioning on the whole key spreads even a hot leading key over
     partitions; per-partition counts (one row per partition) give offsets.
-    The numbered frame is checkpointed so both uses see one materialisation.
+    Both branches read one materialisation of the range shuffle.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     d = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
          .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    d = d.checkpoint(eager=True)
+    d = materialise_once(d)
     counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("_p", (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
