@@ -44,13 +44,19 @@ def listen_lists(seq: DataFrame, threshold: int = C.TRACK_LISTEN_THRESHOLD) -> D
 
 def prepare_sequences(seq: DataFrame, interaction: str = "likes", *, test_ts: int = C.TEST_TIMESTAMP,
                       val_size: int = C.VAL_SIZE, gap: int = C.GAP_SIZE,
-                      max_seq_len: int = C.MAX_SEQ_LEN) -> SequenceData:
+                      max_seq_len: int = C.MAX_SEQ_LEN, fit_on: str = "all") -> SequenceData:
     """R9.  Cutting train lists to the last ``max_seq_len`` events happens
-    before the id replacement, which shrinks the replacement's shuffle."""
+    before the id replacement, which shrinks the replacement's shuffle.
+
+    ``fit_on="all"`` numbers every item of the log, test included, as the
+    reference does (D14); ``fit_on="train"`` numbers train items only and
+    drops unseen items from the held-out lists so the strict mapping holds.
+    """
     if interaction == "listens":
         seq = listen_lists(seq)
-    item_index = dense_index(seq.select(F.explode("item_id").alias("item_id")), "item_id", 1, "item_idx")
-    s = split_sequences(seq, test_ts, val_size, gap)
+    s = split_sequences(seq, test_ts, val_size, gap, drop_unseen_items=(fit_on == "train"))
+    src = seq if fit_on == "all" else s.train
+    item_index = dense_index(src.select(F.explode("item_id").alias("item_id")), "item_id", 1, "item_idx")
     cols = [c for c in s.train.columns if c != "uid"]
     train = s.train.select("uid", *[last_n(F.col(c), max_seq_len).alias(c) for c in cols])
     train = map_ids_in_lists(train, "item_id", item_index, "item_idx")

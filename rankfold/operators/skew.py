@@ -29,18 +29,32 @@ def hot_keys(df: DataFrame, key: str | list[str], max_rows_per_key: int) -> Data
         *keys, F.ceil(F.col("_n") / F.lit(max_rows_per_key)).cast("int").alias("_salts"))
 
 
+def hot_from_counts(counts: DataFrame, key: str | list[str], count_col: str, max_rows_per_key: int,
+                    factor: int = 1) -> DataFrame:
+    """Hot-key table from an aggregate the caller already has
+    (``count_col`` = rows per key on the left side, times ``factor``)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    n = F.col(count_col) * F.lit(factor)
+    return counts.filter(n > max_rows_per_key).select(
+        *keys, F.ceil(n / F.lit(max_rows_per_key)).cast("int").alias("_salts"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", *,
-                max_rows_per_key: int = DEFAULT_MAX_ROWS_PER_KEY, salt_cols: list[str] | None = None) -> DataFrame:
+                max_rows_per_key: int = DEFAULT_MAX_ROWS_PER_KEY, salt_cols: list[str] | None = None,
+                hot: DataFrame | None = None) -> DataFrame:
     """``left.join(right, key, how)`` with hot left keys spread over sub-tasks.
 
     ``salt_cols``: left columns hashed to pick a row's sub-key (default: all
-    left columns).  Only inner and left joins are supported (a left row meets
-    each right row of its key exactly once either way).
+    left columns).  ``hot``: a precomputed hot-key table (see
+    ``hot_from_counts``) -- saves the extra counting pass over ``left`` when
+    the per-key counts are already aggregated.  Only inner and left joins are
+    supported (a left row meets each right row of its key exactly once either
+    way).
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     keys = [key] if isinstance(key, str) else list(key)
-    hot = F.broadcast(hot_keys(left, keys, max_rows_per_key))
+    hot = F.broadcast(hot if hot is not None else hot_keys(left, keys, max_rows_per_key))
     salt_src = [F.col(c) for c in (salt_cols or left.columns)]
     lft = left.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0))

@@ -655,5 +655,65 @@ def q_unknown_item_bucket():
 ORACLES["unknown_item_bucket"] = q_unknown_item_bucket
 
 
+# ---------------------------------------------------------------- smaller building blocks
+
+def q_listens_threshold():
+    return f"{with_(INTER)} SELECT * FROM inter WHERE played_ratio_pct >= 50"
+
+
+def q_targets():
+    return f"{with_(INTER, _inter_split(0))} SELECT uid, item_id, count(*) AS n FROM test GROUP BY uid, item_id"
+
+
+def q_binary_pairs():
+    return f"{with_(INTER, _inter_split(0))} SELECT DISTINCT uid, item_id, 1.0::DOUBLE AS rating FROM train"
+
+
+def q_item_index_from_one():
+    return (f"{with_(ME)} SELECT item_id, CAST(dense_rank() OVER (ORDER BY item_id) AS BIGINT) AS item_idx "
+            f"FROM (SELECT DISTINCT item_id FROM me)")
+
+
+def q_seq_listen_lists():
+    return (f"{with_(ME)} SELECT uid, list(item_id {ME_ORDER}) AS item_id, list(timestamp {ME_ORDER}) AS timestamp "
+            f"FROM me WHERE played_ratio_pct >= 50 GROUP BY uid")
+
+
+def q_user_history_lengths():
+    return (f"{with_(ME)} SELECT uid, CAST(count(*) AS DOUBLE) AS n, round(log10(count(*)), {D}) AS log_n "
+            f"FROM me GROUP BY uid")
+
+
+def q_itemknn_topk_padded():
+    k = 100
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', 1.0, 'user', 'rk'))}, "
+            f"small AS (SELECT DISTINCT item_id FROM train ORDER BY item_id LIMIT {k}), "
+            f"cnt AS (SELECT uid, count(*) AS n FROM rk GROUP BY uid HAVING count(*) < {k}), "
+            f"cand AS (SELECT c.uid, c.n, s.item_id FROM cnt c CROSS JOIN small s "
+            f"WHERE NOT EXISTS (SELECT 1 FROM rk r WHERE r.uid = c.uid AND r.item_id = s.item_id)), "
+            f"fill AS (SELECT uid, CAST(n + j AS INTEGER) AS rank, item_id, 0.0::DOUBLE AS score FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY uid ORDER BY item_id) AS j FROM cand) WHERE j <= {k} - n) "
+            f"SELECT uid, rank, item_id, round(score, {D}) AS score FROM rk UNION ALL SELECT * FROM fill")
+
+
+def q_popularity_eval_listens():
+    base = q_popularity_eval()
+    return base.replace("FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)",
+                        "FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey "
+                        "WHERE floor(l.l_quantity * 2) >= 50)", 1)
+
+
+ORACLES.update({
+    "listens_threshold": q_listens_threshold,
+    "targets": q_targets,
+    "binary_pairs": q_binary_pairs,
+    "item_index_from_one": q_item_index_from_one,
+    "seq_listen_lists": q_seq_listen_lists,
+    "user_history_lengths": q_user_history_lengths,
+    "itemknn_topk_padded": q_itemknn_topk_padded,
+    "popularity_eval_listens": q_popularity_eval_listens,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

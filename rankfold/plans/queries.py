@@ -19,7 +19,7 @@ from rankfold.operators import indexing, reshape, sequences, stats
 from rankfold.streaming.shards import shard_rows
 from rankfold.operators.split import split_flat, split_sequences
 from rankfold.operators.metrics import evaluate
-from rankfold.operators.ranking import dot_product_top_k, global_top_k
+from rankfold.operators.ranking import dot_product_top_k, global_top_k, pad_with_zero_scores
 from rankfold.operators.tuning import mean_reports
 from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import factorization as mf
@@ -439,3 +439,62 @@ def q_sparse_linear_eval(spark, sf_dir):
     """R6 protocol on the multi-event log: report metrics for the test users."""
     return B.sparse_linear_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, gap=P.ME_GAP,
                                      n_neighbours=20, round_digits=P.SCORE_DIGITS)
+
+
+# ---------------------------------------------------------------- smaller building blocks
+
+@register("listens_threshold")
+def q_listens_threshold(spark, sf_dir):
+    """Interactions with played_ratio_pct >= 50."""
+    from rankfold.sources.events import listen_threshold
+    return listen_threshold(adapters.interactions(spark, sf_dir), "listens")
+
+
+@register("targets")
+def q_targets(spark, sf_dir):
+    """Long-form test targets (uid, item_id, multiplicity)."""
+    from rankfold.operators.metrics import targets_from_events
+    return targets_from_events(inter_split(spark, sf_dir, val_size=0).test)
+
+
+@register("binary_pairs")
+def q_binary_pairs(spark, sf_dir):
+    """Distinct (user, item) train pairs with rating 1."""
+    return mf.binary_pairs(inter_split(spark, sf_dir, val_size=0).train)
+
+
+@register("item_index_from_one")
+def q_item_index_from_one(spark, sf_dir):
+    """Items of the multi-event log numbered from 1 (0 = padding)."""
+    return indexing.dense_index(adapters.multi_event(spark, sf_dir), "item_id", 1, "item_idx")
+
+
+@register("seq_listen_lists")
+def q_seq_listen_lists(spark, sf_dir):
+    """Item and time lists kept where played_ratio_pct >= 50; empty users dropped."""
+    return sequences.listen_lists(me_sequences(spark, sf_dir))
+
+
+@register("user_history_lengths")
+def q_user_history_lengths(spark, sf_dir):
+    """Events per user from the sequential layout, and log10."""
+    seq = me_sequences(spark, sf_dir)
+    return stats.history_lengths(seq).withColumnRenamed("value", "n").join(
+        stats.history_lengths(seq, log10=True).withColumnRenamed("value", "log_n"), "uid")
+
+
+@register("itemknn_topk_padded")
+def q_itemknn_topk_padded(spark, sf_dir):
+    """ItemKNN lists (hour = 1) filled to 100 with zero-score items, lowest ids first."""
+    tr = me_split(spark, sf_dir).train
+    ranked = itemknn.itemknn_ranked(tr, 1.0, 100, "user", round_digits=P.SCORE_DIGITS)
+    return pad_with_zero_scores(ranked, tr.select("item_id"), 100)
+
+
+@register("popularity_eval_listens")
+def q_popularity_eval_listens(spark, sf_dir):
+    """R2 protocol on listens: threshold played_ratio_pct >= 50 first."""
+    ev = adapters.interactions(spark, sf_dir)
+    return B.popularity_benchmark(ev, interaction="listens", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
+                                  gap=P.INTER_GAP, hours=P.INTER_HOURS, validation_metric=P.VALIDATION_METRIC,
+                                  report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
