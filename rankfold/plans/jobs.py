@@ -10,6 +10,7 @@ metric reports.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankfold import constants as C
 from rankfold.operators import reshape, stats
@@ -20,10 +21,14 @@ from rankfold.sources import sinks
 def make_multievent(spark: SparkSession, src_dir: str, dst_dir: str | None = None,
                     file_name: str = "multi_event", tie_cols: list[str] | None = None) -> str:
     """Union of the five kind tables in ``src_dir``, sorted by (uid, timestamp,
-    kind order, tie_cols), written as ``<dst_dir>/<file_name>.parquet``."""
+    kind order, tie_cols, position in the source file) -- the reference's
+    stable sort keeps union order, then file order -- written as
+    ``<dst_dir>/<file_name>.parquet``."""
     dst_dir = dst_dir or src_dir
-    kinds = ev.read_event_kinds(spark, src_dir)
-    out = reshape.sort_events(reshape.union_event_kinds(kinds), tie_cols)
+    kinds = {k: t.withColumn("_file_pos", F.monotonically_increasing_id())
+             for k, t in ev.read_event_kinds(spark, src_dir).items()}
+    out = reshape.sort_events(reshape.union_event_kinds(kinds), list(tie_cols or []) + ["_file_pos"])
+    out = out.drop("_file_pos")
     path = f"{dst_dir.rstrip('/')}/{file_name}.parquet"
     sinks.write_parquet(out, path, mode="overwrite")
     return path
@@ -45,8 +50,13 @@ def transform_to_sequential(spark: SparkSession, src_dir: str, dst_dir: str, agg
     written = []
     for f in files:
         df = ev.conform_flat(spark.read.parquet(f"{src_dir.rstrip('/')}/{f}"))
-        keys = order_cols or [c for c in ("timestamp", "event_ord") if c in df.columns]
-        seq = reshape.to_sequences(df, aggregation, order_cols=keys)
+        value_cols = [c for c in df.columns if c != "uid"]
+        # the reference keeps each user's events in file order; the position
+        # in the file is taken at scan time, before any shuffle, and breaks
+        # ties after the time keys
+        df = df.withColumn("_file_pos", F.monotonically_increasing_id())
+        keys = (order_cols or [c for c in ("timestamp", "event_ord") if c in df.columns]) + ["_file_pos"]
+        seq = reshape.to_sequences(df, aggregation, order_cols=keys, value_cols=value_cols)
         path = sinks.resolve_output_path(spark, dst_dir, f, aggregation)
         sinks.write_parquet(seq, path)
         written.append(path)
