@@ -4,7 +4,8 @@
 single-partition window: values are range-partitioned, sorted inside each
 partition, counted per partition (a frame with one row per partition), and
 each row's index is its partition offset plus its position in the partition.
-The range shuffle is written once and read by both branches (exchange reuse).
+The numbered frame is checkpointed once so every branch reads the same
+partition contents.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.session import default_parallelism
+from rankfold.session import checkpoint_dir, default_parallelism
 
 
 def materialise_once(d: DataFrame) -> DataFrame:
-    """Both uses of a range-partitioned frame (the per-partition counts and
-    the rows themselves) must see the same partition contents.  Within one
-    query the identical range exchange is reused (ReusedExchange), so the
-    shuffle is written once and read twice; only when exchange reuse is
-    switched off is the frame checkpointed to the shared checkpoint folder.
+    """Materialise a range-partitioned, position-numbered frame exactly once.
+
+    Its partition ids and positions come from the range partitioner, whose
+    bounds are sampled per execution; every consumer (the per-partition counts,
+    the rows themselves, later joins) must therefore read ONE materialisation.
+    Exchange reuse gives that only when the optimizer happens to unify the
+    branches, so the frame is checkpointed to the shared checkpoint folder
+    (``spark.checkpoint.dir``) instead -- reliable, and it survives executor
+    loss.
     """
-    if d.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() == "true":
-        return d
+    checkpoint_dir(d.sparkSession)
     return d.checkpoint(eager=True)
 
 

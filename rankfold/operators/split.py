@@ -66,7 +66,12 @@ def split_flat(df: DataFrame, test_ts: int, val_size: int = 0, gap: int = C.GAP_
 
 
 def _list_columns(seq: DataFrame) -> list[str]:
-    return [c for c in seq.columns if c != "uid"]
+    return [c for c in seq.columns if c not in ("uid", "chunk")]
+
+
+def _keys(seq: DataFrame) -> list[str]:
+    """Row keys: uid, plus chunk for histories cut into bounded rows."""
+    return ["uid", "chunk"] if "chunk" in seq.columns else ["uid"]
 
 
 def _gather(seq: DataFrame, pred, ts_col: str) -> DataFrame:
@@ -76,11 +81,12 @@ def _gather(seq: DataFrame, pred, ts_col: str) -> DataFrame:
     # "timestamp" could otherwise bind to the *output* alias "timestamp"
     # (lateral column alias) and filter the other lists by filtered positions.
     lc = _list_columns(seq)
+    keys = _keys(seq)
     tmp = {c: f"_g{i}" for i, c in enumerate(lc)}
-    base = seq.select("uid", *[F.col(c).alias(tmp[c]) for c in lc])
+    base = seq.select(*keys, *[F.col(c).alias(tmp[c]) for c in lc])
     ts = F.col(tmp[ts_col])
     cols = [F.filter(F.col(tmp[c]), lambda x, i: pred(F.get(ts, i))).alias(c) for c in lc]
-    return base.select("uid", *cols).filter(F.size("item_id") > 0)
+    return base.select(*keys, *cols).filter(F.size("item_id") > 0)
 
 
 def drop_unseen_items_in_lists(seq: DataFrame, train_items: DataFrame) -> DataFrame:
@@ -91,11 +97,12 @@ def drop_unseen_items_in_lists(seq: DataFrame, train_items: DataFrame) -> DataFr
     position order.  Users left empty disappear.
     """
     cols = _list_columns(seq)
-    zipped = seq.select("uid", F.posexplode(F.arrays_zip(*[F.col(c) for c in cols])).alias("pos", "e"))
-    flat = zipped.select("uid", "pos", *[F.col(f"e.{c}").alias(c) for c in cols])
+    keys = _keys(seq)
+    zipped = seq.select(*keys, F.posexplode(F.arrays_zip(*[F.col(c) for c in cols])).alias("pos", "e"))
+    flat = zipped.select(*keys, "pos", *[F.col(f"e.{c}").alias(c) for c in cols])
     kept = flat.join(train_items, "item_id", "left_semi")
-    folded = kept.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("_ev"))
-    return folded.select("uid", *[F.transform("_ev", field(c)).alias(c) for c in cols])
+    folded = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("_ev"))
+    return folded.select(*keys, *[F.transform("_ev", field(c)).alias(c) for c in cols])
 
 
 def split_sequences(seq: DataFrame, test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE,
@@ -103,7 +110,7 @@ def split_sequences(seq: DataFrame, test_ts: int, val_size: int = 0, gap: int =
     """Sequential split: the same rules applied inside index-aligned lists."""
     b = boundaries(test_ts, val_size, gap)
     train = _gather(seq, lambda t: t < b["train_end"], ts_col)
-    train_users = train.select("uid")  # one row per user already
+    train_users = train.select("uid") if "chunk" not in seq.columns else train.select("uid").distinct()
     train_items = None
     if drop_unseen_items:
         train_items = train.select(F.explode("item_id").alias("item_id")).distinct()

@@ -26,7 +26,7 @@ def row_index(df: DataFrame, order_cols: list[str], start: int = 0, out_col: str
 
     Range partitioning on the whole key spreads even a hot leading key over
     partitions; per-partition counts (one row per partition) give offsets.
-    Both branches read one materialisation of the range shuffle.
+    The numbered frame is checkpointed once (see ``materialise_once``).
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     d = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)

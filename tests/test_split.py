@@ -76,3 +76,20 @@ def test_argument_checks():
         boundaries(100, 0, -1)
     with pytest.raises(ValueError):
         boundaries(10, 5, 10)
+
+
+def test_chunked_fold_keeps_everything(spark):
+    df = make_events(spark, 3000, seed=9)
+    chunked = to_sequences(df, "columns", order_cols=["timestamp", "seq"], max_events_per_row=7)
+    assert chunked.select(F.max(F.size("item_id"))).first()[0] <= 7
+    cols = df.columns
+    assert same_multiset(explode_sequences(chunked).select(cols), df.select(cols))
+    # chunks are consecutive, in time order, per user
+    rows = chunked.filter("uid = 5").orderBy("chunk").collect()
+    ts = [t for r in rows for t in r.timestamp]
+    assert ts == sorted(ts) and [r.chunk for r in rows] == list(range(len(rows)))
+    q75 = int(df.approxQuantile("timestamp", [0.75], 0.0)[0])
+    flat = split_flat(df, q75, 1000, 1000, drop_unseen_items=True)
+    sq = split_sequences(chunked, q75, 1000, 1000, drop_unseen_items=True)
+    assert same_multiset(flat.test.select(cols), explode_sequences(sq.test).select(cols))
+    assert same_multiset(flat.val.select(cols), explode_sequences(sq.val).select(cols))
