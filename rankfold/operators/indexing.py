@@ -16,6 +16,18 @@ from pyspark.sql import functions as F
 from rankfold.session import checkpoint_dir, default_parallelism
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` into the shared checkpoint folder (eager).
+
+    Used for intermediate tables that several branches of one plan consume:
+    each branch then reads the written table instead of recomputing it from
+    the event log, and the lineage is cut, so a lost executor costs a re-read
+    rather than a recomputation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def materialise_once(d: DataFrame) -> DataFrame:
     """Materialise a range-partitioned, position-numbered frame exactly once.
 

@@ -39,9 +39,22 @@ def hot_from_counts(counts: DataFrame, key: str | list[str], count_col: str, max
         *keys, F.ceil(n / F.lit(max_rows_per_key)).cast("int").alias("_salts"))
 
 
+def spread(df: DataFrame, *cols: str, partitions: int | None = None) -> DataFrame:
+    """Hash-repartition ``df`` on ``cols`` into the configured number of
+    shuffle partitions before a step that multiplies rows (an expanding join,
+    an ``explode``, a grouped pandas function).
+
+    AQE sizes shuffle partitions by their *input* bytes, so a small input to
+    a row-multiplying step would otherwise be coalesced into a few tasks that
+    do all of the multiplied work; an explicit partition count is kept as is.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, *cols) if cols else df.repartition(n)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", *,
                 max_rows_per_key: int = DEFAULT_MAX_ROWS_PER_KEY, salt_cols: list[str] | None = None,
-                hot: DataFrame | None = None) -> DataFrame:
+                hot: DataFrame | None = None, expanding: bool = False) -> DataFrame:
     """``left.join(right, key, how)`` with hot left keys spread over sub-tasks.
 
     ``salt_cols``: left columns hashed to pick a row's sub-key (default: all
@@ -49,7 +62,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: st
     ``hot_from_counts``) -- saves the extra counting pass over ``left`` when
     the per-key counts are already aggregated.  Only inner and left joins are
     supported (a left row meets each right row of its key exactly once either
-    way).
+    way).  ``expanding=True`` marks a join whose output is much larger than
+    its inputs: both sides are then spread over the configured shuffle
+    partitions on (key, salt) so the multiplied work is not coalesced away.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
@@ -62,4 +77,6 @@ def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: st
     rgt = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
                            .otherwise(F.sequence(F.lit(0), F.col("_salts") - 1)))).drop("_salts")
+    if expanding:
+        lft, rgt = spread(lft, *keys, "_salt"), spread(rgt, *keys, "_salt")
     return lft.join(rgt, keys + ["_salt"], how).drop("_salt")
