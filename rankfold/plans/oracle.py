@@ -72,8 +72,7 @@ def with_(*ctes: str) -> str:
 
 
 def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str], by: list[str],
-                shared: bool, name: str = "rep", mrr_compat: bool = False, coverage_targets: bool = False,
-                ranked_users: str | None = None) -> str:
+                shared: bool, name: str = "rep", mrr_compat: bool = False, coverage_targets: bool = False) -> str:
     """CTEs ending in ``{name}(by.., metric, k, value)``.
 
     ranked: (by.., [uid,] rank, item_id); ``shared`` means one list per
@@ -145,14 +144,6 @@ def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str
     return ",\n".join(c)
 
 
-def final(select: str, digits_cols: list[str] | None = None) -> str:
-    return select
-
-
-def rnd(col: str, alias: str | None = None) -> str:
-    return f"round({col}, {D}) AS {alias or col}"
-
-
 # ---------------------------------------------------------------- queries
 
 def _inter_split(val_size=P.INTER_VAL_SIZE, prefix=""):

@@ -20,7 +20,6 @@ from rankfold.streaming.shards import shard_rows
 from rankfold.operators.split import split_flat, split_sequences
 from rankfold.operators.metrics import evaluate
 from rankfold.operators.ranking import dot_product_top_k, global_top_k, pad_with_zero_scores
-from rankfold.operators.tuning import mean_reports
 from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import factorization as mf
 from rankfold.recommenders import itemknn
