@@ -280,7 +280,7 @@ def q_seq_split_test_seen_items():
 
 
 def q_recom_ratio():
-    return (f"{with_(ME)} SELECT event_type, total, recom, recom / total AS ratio FROM ("
+    return (f"{with_(ME)} SELECT event_type, total, recom, round(recom / total, {D}) AS ratio FROM ("
             f"SELECT event_type, count(*) AS total, count(*) FILTER (WHERE is_organic = 0) AS recom "
             f"FROM me GROUP BY event_type) WHERE recom > 0")
 
