@@ -44,7 +44,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     for key, value in _DEFAULTS.items():
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
-    checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local"):
+        checkpoint_dir(spark)
+    # on a cluster the folder is resolved lazily by the operators that
+    # checkpoint, which fail with a clear message if spark.checkpoint.dir is unset
     return spark
 
 
