@@ -88,3 +88,11 @@ def test_sequence_index_fit_on_train(spark):
     d_all = prepare_sequences(seq, test_ts=100, val_size=0, gap=10, max_seq_len=5)
     assert d_all.num_items().__class__.__name__ == "Column"
     assert {r.item_id for r in d_all.item_index.collect()} == {10, 11, 12, 13}
+
+
+def test_cli_benchmark(spark, layout, capsys):
+    from rankfold.__main__ import main
+    main(["benchmark", "--model", "random", "--data_dir", f"{layout}/flat", "--size", "50m",
+          "--interaction", "likes", "--report_metrics", "recall@10", "coverage@10"])
+    out = capsys.readouterr().out
+    assert '"recall"' in out and '"coverage"' in out
