@@ -706,5 +706,14 @@ ORACLES.update({
 })
 
 
+def q_seq_columns_chunked():
+    cols = ", ".join(f"list({c} {ME_ORDER}) AS {c}" for c in ME_LIST_COLS)
+    return (f"{with_(ME)}, c AS (SELECT *, CAST((row_number() OVER (PARTITION BY uid {ME_ORDER}) - 1) // "
+            f"{P.SEQ_CHUNK} AS INTEGER) AS chunk FROM me) SELECT uid, chunk, {cols} FROM c GROUP BY uid, chunk")
+
+
+ORACLES["seq_columns_chunked"] = q_seq_columns_chunked
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

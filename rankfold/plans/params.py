@@ -28,6 +28,7 @@ OUT_DIGITS = 6     # doubles in registered outputs are rounded to this many digi
 RANDOM_SEED = 42
 RANDOM_REPEATS = 2
 SEQ_MAX_LEN = 50
+SEQ_CHUNK = 16
 SHARDS = 8
 
 

@@ -497,3 +497,10 @@ def q_popularity_eval_listens(spark, sf_dir):
     return B.popularity_benchmark(ev, interaction="listens", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
                                   gap=P.INTER_GAP, hours=P.INTER_HOURS, validation_metric=P.VALIDATION_METRIC,
                                   report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
+
+
+@register("seq_columns_chunked")
+def q_seq_columns_chunked(spark, sf_dir):
+    """A4, bounded rows: histories cut into consecutive chunks of at most 16 events."""
+    me = adapters.multi_event(spark, sf_dir)
+    return reshape.to_sequences(me, "columns", order_cols=ME_ORDER, max_events_per_row=P.SEQ_CHUNK)
