@@ -40,6 +40,9 @@ def main(argv: list[str] | None = None) -> None:
     b.add_argument("--validation_metric", default="ndcg@100")
     b.add_argument("--report_metrics", nargs="+", default=C.METRICS)
     b.add_argument("--out", default=None, help="folder for JSON reports (one per size/interaction)")
+    b.add_argument("--test_timestamp", type=int, default=None, help=f"default {C.TEST_TIMESTAMP}")
+    b.add_argument("--val_size", type=int, default=None, help=f"default {C.VAL_SIZE}")
+    b.add_argument("--gap_size", type=int, default=None, help=f"default {C.GAP_SIZE}")
 
     m = sub.add_parser("multievent")
     m.add_argument("--src_dir", required=True)
@@ -66,6 +69,12 @@ def main(argv: list[str] | None = None) -> None:
         for size in a.size:
             for inter in a.interaction:
                 kw = {"report_metrics": a.report_metrics}
+                if a.test_timestamp is not None:
+                    kw["test_ts"] = a.test_timestamp
+                if a.gap_size is not None:
+                    kw["gap"] = a.gap_size
+                if a.val_size is not None and a.model not in ("random", "sparse_linear"):
+                    kw["val_size"] = a.val_size
                 if a.model in ("popularity", "itemknn", "als", "bpr"):
                     kw["validation_metric"] = a.validation_metric
                 if a.hours and a.model in ("popularity", "itemknn"):

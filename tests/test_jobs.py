@@ -93,6 +93,8 @@ def test_sequence_index_fit_on_train(spark):
 def test_cli_benchmark(spark, layout, capsys):
     from rankfold.__main__ import main
     main(["benchmark", "--model", "random", "--data_dir", f"{layout}/flat", "--size", "50m",
-          "--interaction", "likes", "--report_metrics", "recall@10", "coverage@10"])
+          "--interaction", "likes", "--report_metrics", "recall@10", "coverage@10",
+          "--test_timestamp", str(28 * 86400), "--gap_size", "1800"])
     out = capsys.readouterr().out
-    assert '"recall"' in out and '"coverage"' in out
+    report = json.loads(out)
+    assert set(report["metrics"]) == {"recall", "coverage"} and report["metrics"]["recall"]["10"] is not None
