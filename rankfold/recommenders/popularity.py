@@ -3,10 +3,10 @@
 score(i) = sum over train events of i of tau ** (max_ts - ts), with
 tau = decay ** (1 / 86400 / (hour / 24)); ``hour == 0`` means plain counts.
 
-The hour grid is evaluated in ONE job: every train event is expanded over the
-grid with a generator (the grid length is a parameter) and aggregated by
-(hour, item_id).  Per-hour top-k lists are selected with a
-window over at most k rows per hour after a partial WindowGroupLimit.
+The hour grid is evaluated in ONE job: a single aggregation by item carries
+one decayed sum per grid value, and its result is expanded to one row per
+(hour, item).  Per-hour top-k lists are selected with a window over at most
+k rows per hour after a partial WindowGroupLimit.
 """
 
 from __future__ import annotations
@@ -37,26 +37,24 @@ def item_scores(train: DataFrame, hour: float, decay: float = C.DECAY) -> DataFr
     return train.groupBy("item_id").agg(F.sum(w).alias("score"))
 
 
-def grid_column(hours: list[float], decay: float = C.DECAY):
-    """Literal array of (trial, hour, tau) structs; its length is the grid size."""
-    return F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(float(h)).alias("hour"),
-                              F.lit(float(decay_tau(h, decay))).alias("tau"))
-                     for i, h in enumerate(hours)])
-
-
 def grid_item_scores(train: DataFrame, hours: list[float], decay: float = C.DECAY) -> DataFrame:
     """(trial, hour, item_id, score) for every hour of the grid in one pass.
 
-    Each event is expanded over the grid by a generator (``inline`` of a
-    literal array -- no join), and partial aggregation on (trial, item_id)
-    runs before the shuffle, so the shuffle carries at most grid x items rows
-    per map task.
+    ONE aggregation by item carries one decayed sum per grid value (plus the
+    count for ``hour == 0``) in its buffer, with map-side partial sums; the
+    per-item result is then expanded to one row per grid value -- events are
+    never multiplied by the grid size.
     """
     mx = max_timestamp(train)
-    x = train.select("item_id", "timestamp", F.inline(grid_column(hours, decay)))
-    w = F.when(F.col("hour") == 0, F.lit(1.0)).otherwise(
-        F.pow(F.col("tau"), (mx - F.col("timestamp")).cast("double")))
-    return x.groupBy("trial", "hour", "item_id").agg(F.sum(w).alias("score"))
+    d = (mx - F.col("timestamp")).cast("double")
+    aggs = [F.count(F.lit(1)).cast("double").alias("_n")]
+    aggs += [F.sum(F.pow(F.lit(float(decay_tau(h, decay))), d)).alias(f"_s{i}")
+             for i, h in enumerate(hours) if h != 0]
+    per_item = train.groupBy("item_id").agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(float(h)).alias("hour"),
+                              F.col("_n" if h == 0 else f"_s{i}").alias("score"))
+                     for i, h in enumerate(hours)])
+    return per_item.select("item_id", F.inline(rows)).select("trial", "hour", "item_id", "score")
 
 
 def grid_top_k(grid_scores: DataFrame, k: int, round_digits: int | None = None) -> DataFrame:
