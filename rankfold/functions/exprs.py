@@ -52,7 +52,9 @@ def hashed_int(n: Column | int, *parts: Column | str | int) -> Column:
     key = F.concat_ws(":", *[c.cast("string") for c in cols])
     h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
     n_col = n if isinstance(n, Column) else F.lit(n)
-    return F.pmod(h, n_col.cast("long"))
+    # non-nullable: otherwise joins on the draw get an inferred isnotnull
+    # filter that re-evaluates the md5 (15 hex digits always convert)
+    return F.coalesce(F.pmod(h, n_col.cast("long")), F.lit(0).cast("long"))
 
 
 def last_n(arr: Column, n: int) -> Column:

@@ -52,6 +52,15 @@ def spread(df: DataFrame, *cols: str, partitions: int | None = None) -> DataFram
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def spread_rows(df: DataFrame, *cols: str, partitions: int | None = None) -> DataFrame:
+    """``spread`` for the input of a generator (``explode``): partitions by a
+    hash *expression* of ``cols``.  Partitioning on the bare key would be
+    dropped as redundant after an aggregate on the same key, whose shuffle AQE
+    may then coalesce into a single task."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, F.xxhash64(*cols))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", *,
                 max_rows_per_key: int = DEFAULT_MAX_ROWS_PER_KEY, salt_cols: list[str] | None = None,
                 hot: DataFrame | None = None, expanding: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankfold import constants as C
 from rankfold.functions.exprs import hashed_int
 from rankfold.operators.indexing import dense_index
-from rankfold.operators.skew import spread
+from rankfold.operators.skew import spread_rows
 
 
 def random_ranked(train: DataFrame, k: int = C.NUM_RANKED_ITEMS, seed: int = 42,
@@ -30,7 +30,7 @@ def random_ranked(train: DataFrame, k: int = C.NUM_RANKED_ITEMS, seed: int = 42,
     n = item_dict.agg(F.count(F.lit(1))).scalar()
     if exclude_last:
         n = n - F.lit(1)
-    draws = spread(users, "uid").select("uid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    draws = spread_rows(users, "uid").select("uid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
     draws = draws.withColumn("item_idx", hashed_int(n, F.lit(seed), F.col("uid"), F.col("rank")))
     ranked = draws.join(item_dict, "item_idx", "inner")
     return ranked.select("uid", F.col("rank").cast("int").alias("rank"), "item_id",
