@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS_PER_KEY = 2_000_000
+# for joins whose output per key is left rows x right rows (self-joins): the
+# largest number of produced pairs one task may handle
+DEFAULT_MAX_PAIRS_PER_TASK = 200_000_000
 
 
 def hot_keys(df: DataFrame, key: str | list[str], max_rows_per_key: int) -> DataFrame:
@@ -61,6 +64,17 @@ def spread_rows(df: DataFrame, *cols: str, partitions: int | None = None) -> Dat
     return df.repartition(n, F.xxhash64(*cols))
 
 
+def hot_from_work(counts: DataFrame, key: str | list[str], work, max_work: int) -> DataFrame:
+    """Hot-key table from a per-key *work* estimate (a Column over ``counts``),
+    e.g. n_u * n_u produced pairs for a self-join on the user: keys whose work
+    exceeds ``max_work`` get ``ceil(work / max_work)`` sub-keys.  The table has
+    at most total_work / max_work rows."""
+    keys = [key] if isinstance(key, str) else list(key)
+    w = work.cast("double")
+    return counts.filter(w > float(max_work)).select(
+        *keys, F.ceil(w / F.lit(float(max_work))).cast("int").alias("_salts"))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner", *,
                 max_rows_per_key: int = DEFAULT_MAX_ROWS_PER_KEY, salt_cols: list[str] | None = None,
                 hot: DataFrame | None = None, expanding: bool = False) -> DataFrame:
