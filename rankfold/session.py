@@ -34,6 +34,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         if master:
             builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        # checkpointed intermediates are deleted once no longer referenced
+        # (a context setting: clusters set it in their own configuration)
+        builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         if master and master.startswith("local"):
             # one JVM holds driver and executors; only applies when this
             # process starts it (a running cluster keeps its own setting)
