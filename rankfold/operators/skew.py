@@ -2,15 +2,20 @@
 
 A key holding a large share of the rows (one user with a third of all
 events, one item everybody played) would put all of its join work into one
-task.  ``salted_join`` splits every *hot* key of the left side into
-``ceil(rows / max_rows_per_key)`` sub-keys by a hash of the row, and
-replicates the right side's rows of that key once per sub-key.  Cold keys keep
-a single salt (0) and are joined as usual.
-
-The hot-key table has at most ``left_rows / max_rows_per_key`` rows by
+task.  ``salted_join`` splits every *hot* key of the left side into sub-keys
+by a hash of the row, and replicates the right side's rows of that key once
+per sub-key.  Cold keys keep a single salt (0) and are joined as usual.
+
+A key is hot by rows (``hot_keys``/``hot_from_counts``: more than
+``max_rows_per_key`` left rows, ``ceil(rows / max)`` sub-keys) or by work
+(``hot_from_work``: e.g. n * n produced pairs in a self-join, ``ceil(work /
+max)`` sub-keys).  Either table has at most total / threshold rows by
 construction, which is the bound that makes broadcasting it safe.  AQE's
 skew-join split (``spark.sql.adaptive.skewJoin.enabled``) remains on as a
-second line of defence for skew this rule does not see.
+second line of defence for skew these rules do not see.
+
+``spread``/``spread_rows`` repartition the input of row-multiplying steps to
+the configured shuffle partitions, which AQE does not coalesce.
 """
 
 from __future__ import annotations
