@@ -3,14 +3,12 @@ names, order-insensitive values); rows-only queries run and are non-empty."""
 
 import hashlib
 import math
-import os
 
 import pytest
 
 from conftest import SF_SMALL
 
 TABLES = ["orders", "lineitem", "events", "embeddings"]
-SLOW = {"als_eval", "bpr_topk"}
 
 
 def norm(v):
@@ -49,8 +47,6 @@ def _names():
 @pytest.mark.parametrize("name", _names())
 def test_query_against_oracle(spark, duck, name):
     import __spark_entry__ as E
-    if name in SLOW and not os.environ.get("RANKFOLD_SLOW"):
-        pytest.skip("iterative fit; set RANKFOLD_SLOW=1")
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
