@@ -54,6 +54,8 @@ BARRIERS = frozenset("ul ol dl table div section article body main aside nav".sp
 THRESHOLD = 0.8
 #: Gaussian weights over neighbouring blocks
 SMOOTH = (0.25, 0.5, 0.25)
+#: most that smoothing multiplies a block's own value by
+LIFT = 2
 #: share of the content that makes an article or main element the container
 CONTAINER_SHARE = 0.5
 #: a block with more of its text in links is a menu
@@ -185,9 +187,11 @@ def main_text(page: str | None) -> str:
         t[0] += len(b.text)
         t[1] += len(_PUNCTUATION.findall(b.text))
         t[2] += 1
-    length = smoothed([totals[b.path][0] / totals[b.path][2] for b in found])
-    marks = smoothed([totals[b.path][1] / totals[b.path][2] for b in found])
-    fused = [math.sqrt(x * (x + 10 * y)) for x, y in zip(length, marks)]
+    length = [totals[b.path][0] / totals[b.path][2] for b in found]
+    marks = [totals[b.path][1] / totals[b.path][2] for b in found]
+    fuse = lambda xs, ys: [math.sqrt(x * (x + 10 * y)) for x, y in zip(xs, ys)]
+    # smoothing lifts a block by its neighbours, but no further than LIFT times its own
+    fused = [min(f, LIFT * own) for f, own in zip(fuse(smoothed(length), smoothed(marks)), fuse(length, marks))]
     mean = sum(fused) / len(fused)
     limit = THRESHOLD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     value: dict[str, float] = {}
