@@ -43,6 +43,8 @@ WINDOW, STRIDE = 48, 36
 #: documents a class and windows a document that the network is fitted on
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2500, 6
 EPOCHS, BATCH, RATE, SEED = 2, 128, 0.005, 7
+#: a small sample is passed over more often, to as many steps in all
+MIN_STEPS = 160
 #: sampled documents that must hold a word for it to have an embedding of its own
 #: (slot 0: all others), and the share of words that a training pass leaves out
 MIN_DOCS, DROP = 5, 0.3
@@ -292,6 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
     keep = np.ones(len(rows), bool)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
+    balanced = 2 * max((y > 0).sum(), (y == 0).sum())
+    epochs = max(epochs, int(np.ceil(MIN_STEPS * BATCH / balanced)))
     for epoch in range(epochs):
         # as many windows of either class, each seen once or repeated
         toxic, clean = np.flatnonzero(keep & (y > 0)), np.flatnonzero(keep & (y == 0))
