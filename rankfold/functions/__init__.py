@@ -4,13 +4,12 @@ from rankfold.functions.exprs import (
     ideal_dcg,
     hashed_int,
     last_n,
-    gather_where,
     parse_metrics,
     seconds_since,
     max_k,
 )
 
 __all__ = [
-    "decay_tau", "rank_discount", "ideal_dcg", "hashed_int", "last_n", "gather_where",
+    "decay_tau", "rank_discount", "ideal_dcg", "hashed_int", "last_n",
     "parse_metrics", "seconds_since", "max_k",
 ]

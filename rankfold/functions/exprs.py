@@ -6,8 +6,6 @@ so they stay inside whole-stage codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,11 +61,6 @@ def last_n(arr: Column, n: int) -> Column:
     return F.when(size <= n, arr).otherwise(F.slice(arr, size - F.lit(n) + F.lit(1), n))
 
 
-def gather_where(arr: Column, mask_arr: Column, predicate) -> Column:
-    """Elements of ``arr`` at positions where ``predicate(mask_arr[i])`` holds."""
-    return F.filter(arr, lambda x, i: predicate(F.get(mask_arr, i)))
-
-
 def seconds_since(ts: Column, epoch: str) -> Column:
     """Whole seconds from ``epoch`` (a timestamp literal) to ``ts``.
 
@@ -77,14 +70,14 @@ def seconds_since(ts: Column, epoch: str) -> Column:
 
 
 def parse_metrics(names: list[str]) -> dict[str, list[int]]:
-    """``["ndcg@10", "recall@50"]`` -> ``{"ndcg": [10], "recall": [50]}``."""
-    out: dict[str, list[int]] = defaultdict(list)
-    for name in names:
-        parts = name.split("@")
-        if len(parts) < 2:
-            raise ValueError(f"Invalid metric: {name}, specify @k")
-        out[parts[0]].append(int(parts[1]))
-    return dict(out)
+    """Cut-offs by metric: ``["ndcg@10", "recall@50"]`` -> ``{"ndcg": [10], "recall": [50]}``."""
+    cutoffs: dict[str, list[int]] = {}
+    for text in names:
+        metric, at, cutoff = text.partition("@")
+        if not at or not cutoff.isdigit():
+            raise ValueError(f"{text!r} is no metric with a cut-off, such as ndcg@10")
+        cutoffs.setdefault(metric, []).append(int(cutoff))
+    return cutoffs
 
 
 def max_k(names: list[str]) -> int:

@@ -10,6 +10,8 @@ partition contents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Like ``materialise``, but columnar: later steps prune columns and see
+    statistics, and joins against it are plain shuffle joins whose skewed
+    partitions AQE can split.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise_once(d: DataFrame) -> DataFrame:
     """Materialise a range-partitioned, position-numbered frame exactly once.
 
@@ -61,14 +75,6 @@ def dense_index(df: DataFrame, col: str, start: int = 0, out_col: str | None = N
             .select(col, (F.col("_off") + pos + F.lit(start)).cast("long").alias(out_col)))
 
 
-def dense_index_small(df: DataFrame, col: str, start: int = 0, out_col: str | None = None) -> DataFrame:
-    """Same numbering through one global ``dense_rank`` window: a single
-    partition, so only for inputs known to be small (grids, item tables of a
-    fixture)."""
-    out_col = out_col or f"{col}_idx"
-    w = Window.orderBy(col)
-    return df.select(col).distinct().select(col, (F.dense_rank().over(w) - 1 + start).cast("long").alias(out_col))
-
 
 def map_ids(df: DataFrame, col: str, dictionary: DataFrame, idx_col: str, *, strict: bool = True,
             default_unknown: bool = False, out_col: str | None = None) -> DataFrame:

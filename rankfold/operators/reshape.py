@@ -90,7 +90,7 @@ def _chunk_positions(df: DataFrame, order_cols: list[str], size: int) -> DataFra
 
     numbered = row_index(df, ["uid", *order_cols], out_col="_pos")
     first = numbered.groupBy("uid").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    hot = hot_from_counts(first, "uid", "_cnt", min(size, DEFAULT_MAX_ROWS_PER_KEY))
+    hot = hot_from_counts(first, "uid", "_cnt", DEFAULT_MAX_ROWS_PER_KEY)
     j = salted_join(numbered, first.select("uid", "_first"), "uid", hot=hot)
     return j.withColumn("chunk", F.floor((F.col("_pos") - F.col("_first")) / F.lit(size)).cast("int")) \
             .drop("_pos", "_first")
@@ -102,9 +102,3 @@ def explode_sequences(seq: DataFrame) -> DataFrame:
     cols = [c for c in seq.columns if c not in ("uid", "chunk")]
     z = seq.select("uid", F.inline(F.arrays_zip(*[F.col(c).alias(c) for c in cols])))
     return z.select("uid", *cols)
-
-
-def explode_with_position(seq: DataFrame) -> DataFrame:
-    cols = [c for c in seq.columns if c not in ("uid", "chunk")]
-    z = seq.select("uid", F.posexplode(F.arrays_zip(*[F.col(c).alias(c) for c in cols])).alias("pos", "e"))
-    return z.select("uid", "pos", *[F.col(f"e.{c}").alias(c) for c in cols])

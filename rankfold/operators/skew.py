@@ -9,10 +9,9 @@ per sub-key.  Cold keys keep a single salt (0) and are joined as usual.
 A key is hot by rows (``hot_keys``/``hot_from_counts``: more than
 ``max_rows_per_key`` left rows, ``ceil(rows / max)`` sub-keys) or by work
 (``hot_from_work``: e.g. n * n produced pairs in a self-join, ``ceil(work /
-max)`` sub-keys).  Either table has at most total / threshold rows by
-construction, which is the bound that makes broadcasting it safe.  AQE's
-skew-join split (``spark.sql.adaptive.skewJoin.enabled``) remains on as a
-second line of defence for skew these rules do not see.
+max)`` sub-keys).  Either table has at most total / threshold rows, which
+grows with the data, so it carries no broadcast hint: AQE broadcasts it when
+it is small at run time and shuffles it otherwise.
 
 ``spread``/``spread_rows`` repartition the input of row-multiplying steps to
 the configured shuffle partitions, which AQE does not coalesce.
@@ -97,7 +96,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], how: st
     if how not in ("inner", "left"):
         raise ValueError("salted_join supports inner and left joins")
     keys = [key] if isinstance(key, str) else list(key)
-    hot = F.broadcast(hot if hot is not None else hot_keys(left, keys, max_rows_per_key))
+    hot = hot if hot is not None else hot_keys(left, keys, max_rows_per_key)
     salt_src = [F.col(c) for c in (salt_cols or left.columns)]
     lft = left.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0))

@@ -9,26 +9,52 @@ users seen in train (and optionally only items seen in train).
 
 Plan shape: each segment is a range filter pushed to the Parquet scan; the
 "seen in train" rule is a LEFT SEMI join against the distinct train keys.  The
-distinct is a partial aggregate, so only one row per key and map task crosses
-the shuffle; AQE turns the semi join into a broadcast join when the key set is
-small at run time and splits skewed partitions otherwise.
+distinct keys are written once, when a segment first needs them: both held-out
+segments read them, and a plain shuffle join against a written table is a
+shape whose skewed partitions AQE splits (a join right above the distinct's
+own exchange is not).  A small key set is still broadcast at run time.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfold import constants as C
 from rankfold.functions.exprs import field
+from rankfold.operators.indexing import staged
 
 
-class Split(NamedTuple):
-    train: DataFrame
-    val: DataFrame | None
-    test: DataFrame
+class Split:
+    """train, val (or None) and test; held-out segments are built when asked for."""
+
+    def __init__(self, train: DataFrame, val, test):
+        self.train, self._val, self._test = train, val, test
+
+    @cached_property
+    def val(self) -> DataFrame | None:
+        return self._val() if self._val else None
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return self._test()
+
+    def __iter__(self):
+        return iter((self.train, self.val, self.test))
+
+
+class _Seen:
+    """Distinct keys of train, each written once on first use."""
+
+    def __init__(self, **frames):
+        self._frames, self._written = frames, {}
+
+    def __call__(self, key: str) -> DataFrame:
+        if key not in self._written:
+            self._written[key] = staged(self._frames[key].distinct(), f"train-{key}")
+        return self._written[key]
 
 
 def boundaries(test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE) -> dict[str, int]:
@@ -49,20 +75,16 @@ def split_flat(df: DataFrame, test_ts: int, val_size: int = 0, gap: int = C.GAP_
     b = boundaries(test_ts, val_size, gap)
     ts = F.col(ts_col)
     train = df.filter(ts < b["train_end"])
-    train_users = train.select("uid").distinct()
-    train_items = train.select("item_id").distinct()
+    seen = _Seen(uid=train.select("uid"), item_id=train.select("item_id"))
 
     def keep_seen(seg: DataFrame) -> DataFrame:
-        seg = seg.join(train_users, "uid", "left_semi")
+        seg = seg.join(seen("uid"), "uid", "left_semi")
         if drop_unseen_items:
-            seg = seg.join(train_items, "item_id", "left_semi")
+            seg = seg.join(seen("item_id"), "item_id", "left_semi")
         return seg.select(df.columns)
 
-    val = None
-    if val_size != 0:
-        val = keep_seen(df.filter((ts >= b["val_start"]) & (ts < b["val_end"])))
-    test = keep_seen(df.filter(ts >= b["test_start"]))
-    return Split(train, val, test)
+    val = (lambda: keep_seen(df.filter((ts >= b["val_start"]) & (ts < b["val_end"])))) if val_size != 0 else None
+    return Split(train, val, lambda: keep_seen(df.filter(ts >= b["test_start"])))
 
 
 def _list_columns(seq: DataFrame) -> list[str]:
@@ -110,19 +132,13 @@ def split_sequences(seq: DataFrame, test_ts: int, val_size: int = 0, gap: int =
     """Sequential split: the same rules applied inside index-aligned lists."""
     b = boundaries(test_ts, val_size, gap)
     train = _gather(seq, lambda t: t < b["train_end"], ts_col)
-    train_users = train.select("uid") if "chunk" not in seq.columns else train.select("uid").distinct()
-    train_items = None
-    if drop_unseen_items:
-        train_items = train.select(F.explode("item_id").alias("item_id")).distinct()
+    seen = _Seen(uid=train.select("uid"), item_id=train.select(F.explode("item_id").alias("item_id")))
 
     def finish(seg: DataFrame) -> DataFrame:
-        seg = seg.join(train_users, "uid", "left_semi")
+        seg = seg.join(seen("uid"), "uid", "left_semi")
         if drop_unseen_items:
-            seg = drop_unseen_items_in_lists(seg, train_items)
+            seg = drop_unseen_items_in_lists(seg, seen("item_id"))
         return seg.filter(F.size("item_id") > 0).select(seq.columns)
 
-    val = None
-    if val_size != 0:
-        val = finish(_gather(seq, lambda t: (t >= b["val_start"]) & (t < b["val_end"]), ts_col))
-    test = finish(_gather(seq, lambda t: t >= b["test_start"], ts_col))
-    return Split(train, val, test)
+    val = (lambda: finish(_gather(seq, lambda t: (t >= b["val_start"]) & (t < b["val_end"]), ts_col))) if val_size != 0 else None
+    return Split(train, val, lambda: finish(_gather(seq, lambda t: t >= b["test_start"], ts_col)))

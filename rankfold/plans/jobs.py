@@ -18,6 +18,17 @@ from rankfold.sources import events as ev
 from rankfold.sources import sinks
 
 
+FILE_POSITION = ["_file", "_file_row"]
+
+
+def with_file_position(scan: DataFrame) -> DataFrame:
+    """Place of each row in its source: part file (by name) and row number in it.
+
+    Taken from the Parquet reader; partition numbers would follow Spark's
+    packing of splits (largest first) instead."""
+    return scan.withColumns({"_file": F.col("_metadata.file_path"), "_file_row": F.col("_metadata.row_index")})
+
+
 def make_multievent(spark: SparkSession, src_dir: str, dst_dir: str | None = None,
                     file_name: str = "multi_event", tie_cols: list[str] | None = None) -> str:
     """Union of the five kind tables in ``src_dir``, sorted by (uid, timestamp,
@@ -25,10 +36,9 @@ def make_multievent(spark: SparkSession, src_dir: str, dst_dir: str | None = Non
     stable sort keeps union order, then file order -- written as
     ``<dst_dir>/<file_name>.parquet``."""
     dst_dir = dst_dir or src_dir
-    kinds = {k: t.withColumn("_file_pos", F.monotonically_increasing_id())
-             for k, t in ev.read_event_kinds(spark, src_dir).items()}
-    out = reshape.sort_events(reshape.union_event_kinds(kinds), list(tie_cols or []) + ["_file_pos"])
-    out = out.drop("_file_pos")
+    kinds = {k: with_file_position(t) for k, t in ev.read_event_kinds(spark, src_dir).items()}
+    out = reshape.sort_events(reshape.union_event_kinds(kinds), list(tie_cols or []) + FILE_POSITION)
+    out = out.drop(*FILE_POSITION)
     path = f"{dst_dir.rstrip('/')}/{file_name}.parquet"
     sinks.write_parquet(out, path, mode="overwrite")
     return path
@@ -42,20 +52,21 @@ def list_parquet_files(spark: SparkSession, src_dir: str) -> list[str]:
 
 
 def transform_to_sequential(spark: SparkSession, src_dir: str, dst_dir: str, aggregation: str,
-                            files: list[str] | None = None, order_cols: list[str] | None = None) -> list[str]:
+                            files: list[str] | None = None, order_cols: list[str] | None = None,
+                            file_order: bool = False) -> list[str]:
     """Fold every listed file (default: every Parquet file in ``src_dir``, as
-    the reference's help text promises) to one row per user.  An existing
+    the reference's help text promises) to one row per user.  Lists are in
+    time order with ties in file order, or with ``file_order`` wholly in the
+    order of the file, as the reference leaves them.  An existing
     target gets the ``<aggregation>_`` prefix; if that exists too, fail."""
     files = list(files) if files else list_parquet_files(spark, src_dir)
     written = []
     for f in files:
-        df = ev.conform_flat(spark.read.parquet(f"{src_dir.rstrip('/')}/{f}"))
-        value_cols = [c for c in df.columns if c != "uid"]
-        # the reference keeps each user's events in file order; the position
-        # in the file is taken at scan time, before any shuffle, and breaks
-        # ties after the time keys
-        df = df.withColumn("_file_pos", F.monotonically_increasing_id())
-        keys = (order_cols or [c for c in ("timestamp", "event_ord") if c in df.columns]) + ["_file_pos"]
+        scan = spark.read.parquet(f"{src_dir.rstrip('/')}/{f}")
+        value_cols = [c for c in ev.conform_flat(scan).columns if c != "uid"]
+        df = ev.conform_flat(with_file_position(scan))
+        keys = [] if file_order else order_cols or [c for c in ("timestamp", "event_ord") if c in df.columns]
+        keys = keys + FILE_POSITION
         seq = reshape.to_sequences(df, aggregation, order_cols=keys, value_cols=value_cols)
         path = sinks.resolve_output_path(spark, dst_dir, f, aggregation)
         sinks.write_parquet(seq, path)

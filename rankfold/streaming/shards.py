@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankfold.operators.indexing import materialise_once
+from rankfold.operators.indexing import staged
 from rankfold.session import default_parallelism
 
 
@@ -25,17 +25,31 @@ def row_index(df: DataFrame, order_cols: list[str], start: int = 0, out_col: str
     ``order_cols`` (which must be a total order for a deterministic result).
 
     Range partitioning on the whole key spreads even a hot leading key over
-    partitions; per-partition counts (one row per partition) give offsets.
-    The numbered frame is checkpointed once (see ``materialise_once``).
+    partitions.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
-    d = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-         .withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
-    d = materialise_once(d)
-    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    return numbered(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols), out_col, start)
+
+
+def _placed(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ordered rows with partition and place, written once as Parquet (range
+    bounds are sampled per execution, so every reader must see the same rows),
+    and the rows of each partition."""
+    d = staged(ordered.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "rows")
+    return d, d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def numbered(ordered: DataFrame, out_col: str = "row_idx", start: int = 0) -> DataFrame:
+    """``ordered`` (a globally sorted frame) plus each row's position; offsets
+    come from one count per partition, not from a global window."""
+    return _with_position(*_placed(ordered), out_col, start)
+
+
+def _with_position(d: DataFrame, counts: DataFrame, out_col: str, start: int) -> DataFrame:
     w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select("_p", (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
     pos = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
+    # one row per partition
     return (d.join(F.broadcast(offsets), "_p")
             .withColumn(out_col, (F.col("_off") + pos + F.lit(start)).cast("long"))
             .drop("_p", "_m", "_off"))
@@ -43,16 +57,19 @@ def row_index(df: DataFrame, order_cols: list[str], start: int = 0, out_col: str
 
 def shard_rows(df: DataFrame, order_cols: list[str], num_shards: int) -> DataFrame:
     """``df`` + row_idx + shard: contiguous shards of ``ceil(n / num_shards)`` rows."""
-    indexed = row_index(df, order_cols)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    per = F.ceil(n / F.lit(num_shards))
-    return indexed.withColumn("shard", F.floor(F.col("row_idx") / per).cast("int"))
+    n_parts = default_parallelism(df.sparkSession)
+    d, counts = _placed(df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols))
+    n = counts.agg(F.sum("_c").alias("n")).first()["n"] or 0  # the source is not counted again
+    per = max(1, -(-n // num_shards))
+    return _with_position(d, counts, "row_idx", 0).withColumn("shard", F.floor(F.col("row_idx") / F.lit(per)).cast("int"))
 
 
 def write_shards(df: DataFrame, order_cols: list[str], num_shards: int, path: str, mode: str = "errorifexists") -> None:
     """Write shards as ``path/shard=<w>/`` folders, rows sorted inside each."""
     sharded = shard_rows(df, order_cols, num_shards)
-    (sharded.repartition("shard").sortWithinPartitions("row_idx")
+    # ranges of row numbers, so a shard is written by several tasks, in order
+    n = default_parallelism(df.sparkSession)
+    (sharded.repartitionByRange(n, "row_idx").sortWithinPartitions("row_idx")
      .write.mode(mode).partitionBy("shard").parquet(path))
 
 

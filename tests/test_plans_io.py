@@ -128,20 +128,11 @@ def test_union_fills_missing_listen_columns(spark):
 
 
 def test_small_helpers(spark):
-    from rankfold.operators.indexing import dense_index_small
-    from rankfold.operators.metrics import default_scores
-    from rankfold.operators.reshape import explode_with_position
     from rankfold.streaming.shards import iter_slices
 
     ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "uid long, rank int, item_id long")
-    scored = {(r.uid, r.rank): r.score for r in default_scores(ranked, 100).collect()}
-    assert scored == {(1, 1): 100.0, (1, 2): 99.0, (2, 1): 100.0}
     targets = spark.createDataFrame([(2, 9)], "uid long, item_id long")
     assert [r.uid for r in validate.cut_off_ranked(ranked, targets).collect()] == [2]
-    d = {r.item_id: r.idx for r in dense_index_small(ranked, "item_id", 1, "idx").collect()}
-    assert d == {5: 1, 6: 2, 7: 3}
-    seq = spark.createDataFrame([(1, [4, 5], [10, 20])], "uid long, item_id array<long>, timestamp array<long>")
-    assert [tuple(r) for r in explode_with_position(seq).collect()] == [(1, 0, 4, 10), (1, 1, 5, 20)]
     numbered = spark.range(10).withColumnRenamed("id", "row_idx")
     sizes = [s.count() for s in iter_slices(numbered, "row_idx", 4)]
     assert sizes == [4, 4, 2]
