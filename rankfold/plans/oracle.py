@@ -8,7 +8,6 @@ computes the same numbers along different paths, so agreement is a real check.
 
 from __future__ import annotations
 
-from rankfold.functions.exprs import parse_metrics
 from rankfold.plans import params as P
 
 D = P.OUT_DIGITS
@@ -19,9 +18,21 @@ def dbl(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
+# per-second decay factors, worked out by hand: 0.9 ** (1 / (3600 * hour)), and 0
+# for hour 0 (only the latest second weighs)
+TAU = {0.0: 0.0, 1.0: 0.999970733618364, 24.0: 0.9999987805503309, 720.0: 0.9999999593516538, 2160.0: 0.9999999864505511, 8760.0: 0.9999999966590399}
+
+
 def tau(hour: float) -> float:
-    from rankfold.functions.exprs import decay_tau
-    return decay_tau(hour)
+    return TAU[hour]
+
+
+def by_name(metrics: list[str]) -> dict[str, list[int]]:
+    """Cut-offs of each metric."""
+    out: dict[str, list[int]] = {}
+    for m in metrics:
+        out.setdefault(m[:m.index("@")], []).append(int(m[m.index("@") + 1:]))
+    return out
 
 
 INTER = """
@@ -78,7 +89,7 @@ def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str
     ranked: (by.., [uid,] rank, item_id); ``shared`` means one list per
     by-group for every user.  targets: (uid, item_id) events.
     """
-    g = parse_metrics(metrics)
+    g = by_name(metrics)
     ks = sorted({k for kk in g.values() for k in kk})
     kmax = max(ks)
     byc = "".join(f"{b}, " for b in by)
@@ -251,7 +262,7 @@ def _fold_columns(src: str) -> str:
 
 def q_multi_event():
     return f"{with_(ME)} SELECT uid, timestamp, item_id, is_organic, played_ratio_pct, track_length_seconds, " \
-           f"event_id, event_type, event_ord FROM me"
+           f"event_id, event_type, event_ord, row_number() OVER (ORDER BY uid, timestamp, event_ord, event_id) - 1 AS position FROM me"
 
 
 def q_seq_columns():
@@ -419,14 +430,14 @@ def q_random_eval():
 
 
 EMB = """
-eu AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 50),
-ei AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id >= 50)"""
+eu AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 = 0),
+ei AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 10 <> 0)"""
 
 
 def q_embedding_topk():
     return (f"{with_(EMB)}, s AS (SELECT eu.id AS uid, ei.id AS item_id, round(list_dot_product(eu.e, ei.e), {S}) AS score "
             f"FROM eu CROSS JOIN ei) "
-            f"SELECT uid, rank, item_id, round(score, {D}) AS score FROM (SELECT uid, item_id, score, "
+            f"SELECT uid, rank, item_id, CAST(round(score * 1e{S}) AS BIGINT) AS score_e9 FROM (SELECT uid, item_id, score, "
             f"CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s) "
             f"WHERE rank <= 100")
 
@@ -443,8 +454,11 @@ ORACLES.update({
 
 # ---------------------------------------------------------------- ItemKNN, computed the direct way
 
+LISTEN = "lm AS (SELECT * FROM me WHERE event_type = 'listen')"
+
+
 def _me_split0(prefix=""):
-    return split_ctes("me", ME_COLS, P.ME_TEST_TS, 0, P.ME_GAP, prefix)
+    return LISTEN * (not prefix) + ",\n" * (not prefix) + split_ctes("lm", ME_COLS, P.ME_TEST_TS, 0, P.ME_GAP, prefix)
 
 
 def _knn_base(train: str, p: str) -> str:
@@ -460,7 +474,7 @@ def _knn_weights(train: str, p: str, hour: float, name: str) -> str:
             f"GROUP BY t.uid, t.item_id) WHERE w > 1e-9)")
 
 
-def _knn_ranked(train: str, p: str, hour: float, norm: str, name: str) -> str:
+def _knn_ranked(train: str, p: str, hour: float, norm: str, name: str, k: int = 100) -> str:
     """CTEs ending in ``name(uid, rank, item_id, score)``; needs _knn_base(p)."""
     e = (f"{name}_E AS (SELECT U.item_id, U.uid AS v, U.u / un.n AS e FROM {p}U U JOIN {p}un un ON U.uid = un.uid)"
          if norm == "user" else
@@ -475,7 +489,7 @@ def _knn_ranked(train: str, p: str, hour: float, norm: str, name: str) -> str:
         f"JOIN {name}_vn vn ON V.uid = vn.uid JOIN {name}_E E ON V.v = E.v GROUP BY V.uid, E.item_id)",
         f"{name} AS (SELECT uid, rank, item_id, score FROM (SELECT uid, item_id, round(score, {S}) AS score, "
         f"CAST(row_number() OVER (PARTITION BY uid ORDER BY round(score, {S}) DESC, item_id) AS INTEGER) AS rank "
-        f"FROM {name}_sc WHERE score > 0) WHERE rank <= 100)",
+        f"FROM {name}_sc WHERE score > 0) WHERE rank <= {k})",
     ])
 
 
@@ -491,7 +505,7 @@ def q_item_cooccurrence():
 
 
 def _knn_topk(hour: float, norm: str) -> str:
-    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', hour, norm, 'rk'))} "
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', hour, norm, 'rk', P.KNN_TOP_K))} "
             f"SELECT uid, rank, item_id, round(score, {D}) AS score FROM rk")
 
 
@@ -508,7 +522,7 @@ def q_itemknn_topk_last():
 
 
 def q_itemknn_eval():
-    ctes = [ME, split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP), _me_split0("r_"),
+    ctes = [ME, LISTEN, split_ctes("lm", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP), _me_split0("r_"),
             _knn_base("train", "v_"), _knn_base("r_train", "f_")]
     sels = []
     for i, h in enumerate(P.ME_KNN_HOURS):
@@ -679,7 +693,8 @@ def q_itemknn_topk_padded():
     k = 100
     return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', 1.0, 'user', 'rk'))}, "
             f"small AS (SELECT DISTINCT item_id FROM train ORDER BY item_id LIMIT {k}), "
-            f"cnt AS (SELECT uid, count(*) AS n FROM rk GROUP BY uid HAVING count(*) < {k}), "
+            f"cnt AS (SELECT t.uid, coalesce(any_value(r.n), 0) AS n FROM (SELECT DISTINCT uid FROM train) t LEFT JOIN "
+            f"(SELECT uid, count(*) AS n FROM rk GROUP BY uid) r USING (uid) GROUP BY t.uid HAVING coalesce(any_value(r.n), 0) < {k}), "
             f"cand AS (SELECT c.uid, c.n, s.item_id FROM cnt c CROSS JOIN small s "
             f"WHERE NOT EXISTS (SELECT 1 FROM rk r WHERE r.uid = c.uid AND r.item_id = s.item_id)), "
             f"fill AS (SELECT uid, CAST(n + j AS INTEGER) AS rank, item_id, 0.0::DOUBLE AS score FROM ("

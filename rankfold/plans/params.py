@@ -31,6 +31,16 @@ SEQ_MAX_LEN = 50
 SEQ_CHUNK = 16
 SHARDS = 8
 
+# item models are fitted on one kind of event of the multi-event log, and their
+# registered lists are shorter than its catalogue
+KNN_KIND = "listen"
+KNN_TOP_K = 20
+# passes of the registered BPR fit
+BPR_PASSES = 5
+# weight density of the registered sparse linear queries (the reference's value
+# is meant for millions of items; here it would leave one weight an item)
+SPARSE_DENSITY = 0.1
+
 
 def train_end(test_ts: int, val_size: int, gap: int) -> int:
     return test_ts - gap - val_size - (gap if val_size else 0)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
 from rankfold.operators import indexing, reshape, sequences, stats
-from rankfold.streaming.shards import shard_rows
+from rankfold.streaming.shards import numbered, shard_rows
 from rankfold.operators.split import split_flat, split_sequences
 from rankfold.operators.metrics import evaluate
 from rankfold.operators.ranking import dot_product_top_k, global_top_k, pad_with_zero_scores
@@ -61,6 +61,15 @@ def me_split(spark, sf_dir, val_size=0, drop_unseen_items=False):
                       drop_unseen_items=drop_unseen_items)
 
 
+def knn_split(spark, sf_dir):
+    """Refit split of the one event kind that item models learn from."""
+    return split_flat(knn_events(spark, sf_dir), P.ME_TEST_TS, 0, P.ME_GAP)
+
+
+def knn_events(spark, sf_dir):
+    return adapters.multi_event(spark, sf_dir).filter(F.col("event_type") == P.KNN_KIND)
+
+
 # ---------------------------------------------------------------- split
 
 @register("split_train")
@@ -139,7 +148,9 @@ def me_sequences(spark, sf_dir, layout="columns"):
 def q_multi_event(spark, sf_dir):
     """U1 + O1: union of the five single-kind tables in total (uid, time, kind) order."""
     tables = adapters.event_kind_tables(spark, sf_dir)
-    return reshape.sort_events(reshape.union_event_kinds(tables), tie_cols=["event_id"])
+    ordered = reshape.sort_events(reshape.union_event_kinds(tables), tie_cols=["event_id"])
+    # the position in the written order, so that the order itself is compared
+    return numbered(ordered, "position")
 
 
 @register("seq_columns")
@@ -277,10 +288,11 @@ def q_random_eval(spark, sf_dir):
 
 @register("embedding_topk")
 def q_embedding_topk(spark, sf_dir):
-    """Top 100 items per user by dot product (users = vec_id < 50)."""
+    """Top 100 items per user by dot product (users = every tenth vector)."""
     users, items = adapters.embedding_tables(spark, sf_dir)
-    return dot_product_top_k(users, items, 100, round_digits=P.SCORE_DIGITS,
-                             user_block_rows=16, item_block_rows=128)
+    top = dot_product_top_k(users, items, 100, round_digits=P.SCORE_DIGITS)
+    # scores are cut to 9 digits for ranking; as whole numbers they are not rounded twice
+    return top.select("uid", "rank", "item_id", F.round(F.col("score") * 10 ** P.SCORE_DIGITS).cast("long").alias("score_e9"))
 
 
 # ---------------------------------------------------------------- ItemKNN (multi-event adapter)
@@ -289,39 +301,39 @@ def q_embedding_topk(spark, sf_dir):
 def q_user_item_weights(spark, sf_dir):
     """Decayed (user, item) weights, hour = 24, zeros eliminated."""
     from rankfold.functions.exprs import decay_tau
-    return itemknn.user_item_weights(me_split(spark, sf_dir).train, decay_tau(P.ME_KNN_HOUR))
+    return itemknn.user_item_weights(knn_split(spark, sf_dir).train, decay_tau(P.ME_KNN_HOUR))
 
 
 @register("item_cooccurrence")
 def q_item_cooccurrence(spark, sf_dir):
     """Item x item sums S (user-normalised) and G over shared users."""
-    return itemknn.cooccurrence(itemknn.user_item_counts(me_split(spark, sf_dir).train), "user")
+    return itemknn.cooccurrence(itemknn.user_item_counts(knn_split(spark, sf_dir).train), "user")
 
 
 @register("itemknn_topk")
 def q_itemknn_topk(spark, sf_dir):
-    """ItemKNN top 100 per train user (norm as in the reference code)."""
-    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, P.ME_KNN_HOUR, 100, "user",
+    """ItemKNN top 20 per train user (norm as in the reference code)."""
+    return itemknn.itemknn_ranked(knn_split(spark, sf_dir).train, P.ME_KNN_HOUR, P.KNN_TOP_K, "user",
                                   round_digits=P.SCORE_DIGITS)
 
 
 @register("itemknn_topk_cosine")
 def q_itemknn_topk_cosine(spark, sf_dir):
-    """ItemKNN top 100 with item-normalised (cosine) item vectors."""
-    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, P.ME_KNN_HOUR, 100, "item",
+    """ItemKNN top 20 with item-normalised (cosine) item vectors."""
+    return itemknn.itemknn_ranked(knn_split(spark, sf_dir).train, P.ME_KNN_HOUR, P.KNN_TOP_K, "item",
                                   round_digits=P.SCORE_DIGITS)
 
 
 @register("itemknn_topk_last")
 def q_itemknn_topk_last(spark, sf_dir):
     """hour = 0, only each user's last-timestamp events weigh."""
-    return itemknn.itemknn_ranked(me_split(spark, sf_dir).train, 0.0, 100, "user", round_digits=P.SCORE_DIGITS)
+    return itemknn.itemknn_ranked(knn_split(spark, sf_dir).train, 0.0, P.KNN_TOP_K, "user", round_digits=P.SCORE_DIGITS)
 
 
 @register("itemknn_eval")
 def q_itemknn_eval(spark, sf_dir):
-    """R3 + H1 protocol on the multi-event log: hour chosen on validation, report on test."""
-    return B.itemknn_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, val_size=P.ME_VAL_SIZE,
+    """R3 + H1 protocol on the listens of the multi-event log: hour chosen on validation, report on test."""
+    return B.itemknn_benchmark(knn_events(spark, sf_dir), test_ts=P.ME_TEST_TS, val_size=P.ME_VAL_SIZE,
                                gap=P.ME_GAP, hours=P.ME_KNN_HOURS, validation_metric=P.VALIDATION_METRIC,
                                report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
 
@@ -330,9 +342,9 @@ def q_itemknn_eval(spark, sf_dir):
 
 @register("als_topk")
 def q_als_topk(spark, sf_dir):
-    """Implicit ALS factors (rank 64, 5 iterations), top 100 by dot product."""
+    """Implicit ALS factors (rank 64, 100 iterations), top 100 by dot product."""
     s = inter_split(spark, sf_dir, val_size=0)
-    uf, itf = mf.als_factors(s.train, rank=64, reg=0.01, iterations=5, seed=42)
+    uf, itf = mf.als_factors(s.train, rank=64, reg=0.01, iterations=100, seed=42)
     return dot_product_top_k(uf, itf, 100)
 
 
@@ -340,9 +352,8 @@ def q_als_topk(spark, sf_dir):
 def q_als_eval(spark, sf_dir):
     """R4 + H2 + H3: two sampled trials on validation, best refit with seeds 41/42/43, mean test report."""
     ev = adapters.interactions(spark, sf_dir)
-    space = {"iterations": (2, 6, "int"), "regularization": (1e-5, 1.0, "float")}
     return B.factorization_benchmark(ev, model="als", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
-                                     gap=P.INTER_GAP, n_trials=2, space=space, rank=64)
+                                     gap=P.INTER_GAP, n_trials=2, rank=64)
 
 
 @register("bpr_triples")
@@ -355,7 +366,7 @@ def q_bpr_triples(spark, sf_dir):
 def q_bpr_topk(spark, sf_dir):
     """BPR factors by distributed gradient steps, top 100 by dot product."""
     s = inter_split(spark, sf_dir, val_size=0)
-    uf, itf = mf.bpr_fit(s.train, rank=16, learning_rate=0.05, reg=0.01, iterations=3, seed=42)
+    uf, itf = mf.bpr_fit(s.train, rank=64, learning_rate=0.05, reg=0.01, iterations=P.BPR_PASSES, seed=42)
     return dot_product_top_k(uf, itf, 100)
 
 
@@ -428,16 +439,16 @@ def q_unknown_item_bucket(spark, sf_dir):
 
 @register("sparse_linear_topk")
 def q_sparse_linear_topk(spark, sf_dir):
-    """Per-item ridge weights on 20 neighbours, top 150 for the test users."""
-    s = me_split(spark, sf_dir)
-    return sl.sparse_linear_ranked(s.train, s.test.select("uid"), 150, P.SCORE_DIGITS, n_neighbours=20)
+    """Per-item ridge weights on the density's neighbours, top 150 for the test users."""
+    s = knn_split(spark, sf_dir)
+    return sl.sparse_linear_ranked(s.train, s.test.select("uid"), 150, P.SCORE_DIGITS, density=P.SPARSE_DENSITY)
 
 
 @register("sparse_linear_eval")
 def q_sparse_linear_eval(spark, sf_dir):
     """R6 protocol on the multi-event log: report metrics for the test users."""
-    return B.sparse_linear_benchmark(adapters.multi_event(spark, sf_dir), test_ts=P.ME_TEST_TS, gap=P.ME_GAP,
-                                     n_neighbours=20, round_digits=P.SCORE_DIGITS)
+    return B.sparse_linear_benchmark(knn_events(spark, sf_dir), test_ts=P.ME_TEST_TS, gap=P.ME_GAP,
+                                     density=P.SPARSE_DENSITY, round_digits=P.SCORE_DIGITS)
 
 
 # ---------------------------------------------------------------- smaller building blocks
@@ -477,17 +488,16 @@ def q_seq_listen_lists(spark, sf_dir):
 @register("user_history_lengths")
 def q_user_history_lengths(spark, sf_dir):
     """Events per user from the sequential layout, and log10."""
-    seq = me_sequences(spark, sf_dir)
-    return stats.history_lengths(seq).withColumnRenamed("value", "n").join(
-        stats.history_lengths(seq, log10=True).withColumnRenamed("value", "log_n"), "uid")
+    lengths = stats.history_lengths(me_sequences(spark, sf_dir))
+    return lengths.select("uid", F.col("value").alias("n"), F.log10("value").alias("log_n"))
 
 
 @register("itemknn_topk_padded")
 def q_itemknn_topk_padded(spark, sf_dir):
     """ItemKNN lists (hour = 1) filled to 100 with zero-score items, lowest ids first."""
-    tr = me_split(spark, sf_dir).train
+    tr = knn_split(spark, sf_dir).train
     ranked = itemknn.itemknn_ranked(tr, 1.0, 100, "user", round_digits=P.SCORE_DIGITS)
-    return pad_with_zero_scores(ranked, tr.select("item_id"), 100)
+    return pad_with_zero_scores(ranked, tr.select("item_id"), 100, users=tr.select("uid"))
 
 
 @register("popularity_eval_listens")

@@ -17,8 +17,8 @@ from rankfold.functions.exprs import seconds_since
 EVENT_TYPE_MAP = {"view": "listen", "error": "dislike", "click": "like", "purchase": "undislike", "signup": "unlike"}
 # track length given to every listen of the adapter, seconds
 ADAPTER_TRACK_LENGTH = 180
-# users of the embedding table are vec_id < 50, items the rest
-EMBEDDING_USER_LIMIT = 50
+# every tenth vector of the embedding table is a user, the others are items
+EMBEDDING_USER_STEP = 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,15 @@ def multi_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, timestamp, item_id, is_organic, played_ratio_pct, track_length_seconds,
     event_type, event_ord, event_id -- the flat multi-event log of the adapter."""
     ev = _table(spark, sf_dir, "events")
-    kind = F.lit(None).cast("string")
-    order = F.lit(None).cast("int")
+    # an unknown type fails the query rather than losing its events
+    unknown = F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce("event_type", F.lit("null"))))
+    kind = unknown.cast("string")
+    order = unknown.cast("int")
     for src, dst in EVENT_TYPE_MAP.items():
         kind = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(kind)
         order = F.when(F.col("event_type") == src, F.lit(event_kind_order(dst))).otherwise(order)
     is_listen = F.col("event_type") == "view"
-    return ev.filter(F.col("event_type").isin(list(EVENT_TYPE_MAP))).select(
+    return ev.select(
         F.col("user_id").cast("long").alias("uid"),
         seconds_since(F.col("ts"), "2024-01-01 00:00:00").alias("timestamp"),
         F.get_json_object("props", "$.k").cast("long").alias("item_id"),
@@ -96,6 +98,7 @@ def embedding_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     emb = _table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("long").alias("id"),
         F.col("embedding").cast("array<double>").alias("embedding"))
-    users = emb.filter(F.col("id") < EMBEDDING_USER_LIMIT)
-    items = emb.filter(F.col("id") >= EMBEDDING_USER_LIMIT)
+    is_user = F.col("id") % EMBEDDING_USER_STEP == 0
+    users = emb.filter(is_user)
+    items = emb.filter(~is_user)
     return users, items
