@@ -83,7 +83,8 @@ def with_(*ctes: str) -> str:
 
 
 def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str], by: list[str],
-                shared: bool, name: str = "rep", mrr_compat: bool = False, coverage_targets: bool = False) -> str:
+                shared: bool, name: str = "rep", mrr_compat: bool = False, coverage_targets: bool = False,
+                distinct_targets: bool = False, per_user: bool = False) -> str:
     """CTEs ending in ``{name}(by.., metric, k, value)``.
 
     ranked: (by.., [uid,] rank, item_id); ``shared`` means one list per
@@ -94,7 +95,8 @@ def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str
     kmax = max(ks)
     byc = "".join(f"{b}, " for b in by)
     tb = "".join(f"t.{b}, " for b in by)
-    c = [f"{name}_pos AS (SELECT uid, count(*) AS n_pos FROM {targets} GROUP BY uid)",
+    n_pos = "count(DISTINCT item_id)" if distinct_targets else "count(*)"
+    c = [f"{name}_pos AS (SELECT uid, {n_pos} AS n_pos FROM {targets} GROUP BY uid)",
          f"{name}_pairs AS (SELECT DISTINCT uid, item_id FROM {targets})",
          f"{name}_disc AS (SELECT r, sum(1.0 / log2(r + 1)) OVER (ORDER BY r) AS c FROM range(1, {kmax + 1}) t(r))"]
     if shared:
@@ -139,6 +141,8 @@ def metric_ctes(ranked: str, targets: str, num_items_sql: str, metrics: list[str
                 v = f"avg(d{k})"
             elif m == "ndcg":
                 v = f"CASE WHEN avg(i{k}) <> 0 THEN avg(d{k}) / avg(i{k}) ELSE 0.0 END"
+                if per_user:
+                    v = f"avg(CASE WHEN i{k} <> 0 THEN d{k} / i{k} ELSE 0.0 END)"
             else:
                 continue
             parts.append(f"SELECT {byc}'{m}' AS metric, CAST({k} AS INTEGER) AS k, CAST({v} AS DOUBLE) AS value "
@@ -417,6 +421,14 @@ def q_coverage_target_users():
     return _report(["coverage@10", "coverage@50", "coverage@100"], coverage_targets=True)
 
 
+def q_recall_distinct_targets():
+    return _report(["recall@10", "recall@100", "ndcg@10", "ndcg@100"], distinct_targets=True)
+
+
+def q_ndcg_per_user():
+    return _report(["ndcg@10", "ndcg@50", "ndcg@100"], per_user=True)
+
+
 def q_random_eval():
     ctes = [INTER, _inter_split(0)]
     sels = []
@@ -447,6 +459,8 @@ ORACLES.update({
     "metrics_all": q_metrics_all,
     "mrr_compat": q_mrr_compat,
     "coverage_target_users": q_coverage_target_users,
+    "recall_distinct_targets": q_recall_distinct_targets,
+    "ndcg_per_user": q_ndcg_per_user,
     "random_eval": q_random_eval,
     "embedding_topk": q_embedding_topk,
 })
@@ -597,7 +611,7 @@ def q_seq_prepare_test():
     return f"{with_(ME, _seq_ctes())} SELECT * FROM stest"
 
 
-def q_next_item_rows():
+def _next_item_ctes() -> str:
     n = "SELECT count(*) FROM sidx"
     md5 = _md5_int(n, str(P.RANDOM_SEED), "uid", "i")
     return (f"{with_(ME, _seq_ctes())}, ni AS (SELECT uid, "
@@ -605,9 +619,20 @@ def q_next_item_rows():
             f"CASE WHEN len(item_id) <= 1 THEN []::BIGINT[] ELSE list_slice(item_id, 2, len(item_id)) END AS positive_ids "
             f"FROM strain), "
             f"pos AS (SELECT uid, unnest(range(0, len(item_ids))) AS i FROM ni), "
-            f"negs AS (SELECT uid, list({md5} + 1 ORDER BY i) AS negative_ids FROM pos GROUP BY uid) "
-            f"SELECT ni.uid, item_ids, positive_ids, coalesce(negs.negative_ids, []::BIGINT[]) AS negative_ids, "
-            f"CAST(len(item_ids) AS INTEGER) AS length FROM ni LEFT JOIN negs ON ni.uid = negs.uid")
+            f"negs AS (SELECT uid, list({md5} + 1 ORDER BY i) AS negative_ids FROM pos GROUP BY uid), "
+            f"nir AS (SELECT ni.uid, item_ids, positive_ids, coalesce(negs.negative_ids, []::BIGINT[]) AS negative_ids, "
+            f"CAST(len(item_ids) AS INTEGER) AS length FROM ni LEFT JOIN negs ON ni.uid = negs.uid)")
+
+
+def q_next_item_rows():
+    return f"{_next_item_ctes()} SELECT * FROM nir"
+
+
+def q_train_batches():
+    cols = ", ".join(f"flatten(list({c} ORDER BY uid)) AS {c}_ids, list(CAST(len({c}) AS INTEGER) ORDER BY uid) AS {c}_lengths"
+                     for c in ("item_ids", "positive_ids", "negative_ids"))
+    return (f"{_next_item_ctes()}, nb AS (SELECT *, (row_number() OVER (ORDER BY uid) - 1) // 16 AS batch_id FROM nir) "
+            f"SELECT CAST(batch_id AS BIGINT) AS batch_id, list(uid ORDER BY uid) AS uid_ids, {cols} FROM nb GROUP BY batch_id")
 
 
 def q_eval_rows():
@@ -640,6 +665,7 @@ ORACLES.update({
     "seq_prepare_train": q_seq_prepare_train,
     "seq_prepare_test": q_seq_prepare_test,
     "next_item_rows": q_next_item_rows,
+    "train_batches": q_train_batches,
     "eval_rows": q_eval_rows,
     "seq_batches": q_seq_batches,
     "seq_positions": q_seq_positions,

@@ -269,6 +269,20 @@ def q_mrr_compat(spark, sf_dir):
     return evaluate(ranked, s.test, ["mrr@10", "mrr@50", "mrr@100"], mrr_compat=True)
 
 
+@register("recall_distinct_targets")
+def q_recall_distinct_targets(spark, sf_dir):
+    """Recall and NDCG where repeated target events count once."""
+    s, ranked = random_lists(spark, sf_dir)
+    return evaluate(ranked, s.test, ["recall@10", "recall@100", "ndcg@10", "ndcg@100"], dedup_targets=True)
+
+
+@register("ndcg_per_user")
+def q_ndcg_per_user(spark, sf_dir):
+    """D3: NDCG as the mean of per-user ratios."""
+    s, ranked = random_lists(spark, sf_dir)
+    return evaluate(ranked, s.test, ["ndcg@10", "ndcg@50", "ndcg@100"], ndcg_per_user=True)
+
+
 @register("coverage_target_users")
 def q_coverage_target_users(spark, sf_dir):
     """M7: coverage over the lists of target users only."""
@@ -411,6 +425,14 @@ def q_seq_batches(spark, sf_dir):
     return sequences.flatten_batches(rows, ["item_id_train", "item_id_valid"], 16)
 
 
+@register("train_batches")
+def q_train_batches(spark, sf_dir):
+    """Training rows (inputs, positives, negatives) collated into batches of 16."""
+    d = seq_data(spark, sf_dir)
+    rows = sequences.next_item_rows(d.train, d.num_items(), P.SEQ_MAX_LEN, P.RANDOM_SEED)
+    return sequences.flatten_batches(rows, ["item_ids", "positive_ids", "negative_ids"], 16)
+
+
 @register("seq_positions")
 def q_seq_positions(spark, sf_dir):
     """Train items with position and reverse position (newest = 0)."""
