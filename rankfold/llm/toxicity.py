@@ -27,6 +27,8 @@ if any is.  Rows are never merged; only the named columns are read.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,8 +67,8 @@ def word_inputs(data: np.ndarray, off: np.ndarray, powers: Powers):
     s, e = start[first], end[first]
     inputs = [span_hash(S, s, np.minimum(e, s + n), powers) + np.uint64(n) for n in PREFIXES]
     inputs += [span_hash(S, np.maximum(s, e - n), e, powers) + np.uint64(100 + n) for n in SUFFIXES]
-    chars = (mix(np.stack(inputs, axis=1)) % np.uint64(CHAR_SLOTS)).astype(np.int64)
-    return row, index, (h[first] % np.uint64(WORD_SLOTS)).astype(np.int64), chars
+    chars = (mix(np.stack(inputs, axis=1)) % np.uint64(CHAR_SLOTS)).astype(np.int32)
+    return row, index, (h[first] % np.uint64(WORD_SLOTS)).astype(np.int32), chars
 
 
 def window_starts(n: int) -> np.ndarray:
@@ -285,7 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
     model.known = docs_of >= MIN_DOCS
     model.known[0] = False
     model.p["word"][:, 0] = np.where(model.known, z, 0)
-    docs_of, z = _evidence(doc, label, [e[3].ravel() for e in encoded], CHAR_SLOTS)
+    docs_of, z = _evidence(doc, label, [e[3] for e in encoded], CHAR_SLOTS)
     model.known_chars = docs_of >= MIN_DOCS
     model.known_chars[0] = False
     model.p["char"][:, 0] = np.where(model.known_chars, z, 0)
@@ -328,9 +330,10 @@ def _evidence(doc, label, slots, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sampled documents per slot, and how surely the slot goes with the toxic ones:
     the z-score of its log odds beyond what many slots reach by chance, where the
     first embedding component starts."""
-    pairs = np.unique(np.concatenate([np.unique(x) + d * n for d, x in zip(doc.tolist(), slots)]))
-    toxic = label[pairs // n] > 0
-    a, b = (np.bincount(pairs[pick] % n, minlength=n) for pick in (toxic, ~toxic))
+    a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for d, group in itertools.groupby(np.argsort(doc, kind="stable").tolist(), lambda i: doc[i]):
+        held = np.unique(np.concatenate([slots[i].ravel() for i in group]))
+        (a if label[d] > 0 else b)[held] += 1
     A, B = (label > 0).sum(), (label == 0).sum()
     odds = np.log((a + 0.5) / (A - a + 0.5)) - np.log((b + 0.5) / (B - b + 0.5))
     z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
