@@ -12,10 +12,11 @@ are smoothed towards the exact unigram model (Dirichlet prior of weight MU):
 
 How it scales.  Texts are encoded once, in blocks of about ``BLOCK_BYTES``:
 word numbers local to the block and the block's dictionary.  So corpus
-statistics move as one row per distinct word of a block, not per occurrence:
-exact unigram counts are summed over all blocks and joined back.  Bigrams go
-by hash to filter segments, already summed per block; their number grows with
-the corpus.  Segments are built in Spark, one bounded group each, and
+statistics move once per distinct word of a block, not per occurrence: the
+dictionaries, packed by hash segment, meet in one group per segment, which
+hands exact corpus counts back to each block.  Bigrams go by hash to filter
+segments likewise, already summed per block; their number grows with the
+corpus.  Segments are built in Spark, one bounded group each, and
 broadcast in passes of at most ``PASS_BYTES``; a bigram belongs to one
 segment, so the passes' partial sums add up to the same score.
 
@@ -43,6 +44,8 @@ MU = 50.0
 FOLDS, HELD_OUT = 7, 2
 #: text of a block, tokens that a filter segment stands for, filter bytes in one pass
 BLOCK_BYTES, SEGMENT_TOKENS, PASS_BYTES = 8 << 20, 2_000_000, 128 << 20
+#: dictionary entries (distinct words of a block) that are summed together
+SEGMENT_WORDS = 500_000
 #: hash of the end token, which is also what stands before a text's first word
 END = np.uint64(0x656E64)
 
@@ -87,14 +90,47 @@ def _within(data, off):
         yield a, b, data[off[a]:off[b]], off[a:b + 1] - off[a]
 
 
-def _dictionary(batches):
-    """(block, local, hash, n): a row per distinct word of a block."""
+def _by_segment(hashes: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's words by (segment, hash), and the segments in it."""
+    segment = (hashes % np.uint64(segments)).astype(np.int64)
+    order = np.lexsort((hashes, segment))
+    return order, segment[order]
+
+
+def _dictionary(segments: int):
+    """(segment, block, hashes, counts): a block's distinct words and their training
+    counts, packed by hash segment."""
+
+    def run(batches):
+        for batch in batches:
+            for block, hashes, train in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "train"))):
+                h, n = np.frombuffer(hashes, np.uint64), np.frombuffer(train, np.int64)
+                order, segment = _by_segment(h, segments)
+                cut = np.flatnonzero(np.diff(segment)) + 1
+                where = segment[np.concatenate([[0], cut])]
+                pack = lambda a: pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.full(len(where), block)), pack(h), pack(n)], names=["segment", "block", "hashes", "counts"])
+
+    return run
+
+
+def _totals(batches):
+    """Corpus counts of a segment's words, handed back to each block in its order, and
+    (block null) the segment's tokens and distinct words in training."""
     for batch in batches:
-        for block, hashes, train in zip(*(batch.column(c).to_pylist() for c in ("block", "hashes", "train"))):
-            h, n = np.frombuffer(hashes, np.int64), np.frombuffer(train, np.int64)
-            for a in range(0, len(h), 50_000):
-                m = len(h[a:a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(h[a:a + m]), pa.array(n[a:a + m])], names=["block", "local", "hash", "n"])
+        for row in batch.to_pylist():
+            parts = row["parts"]
+            h = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
+            n = np.concatenate([np.frombuffer(p["counts"], np.int64) for p in parts])
+            _, at = np.unique(h, return_inverse=True)
+            total = np.zeros(int(at.max()) + 1, np.int64)
+            np.add.at(total, at, n)
+            back = np.split(total[at], np.cumsum([len(p["counts"]) // 8 for p in parts])[:-1])
+            k = len(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p["block"] for p in parts] + [None], pa.int64()), pa.array([row["segment"]] * (k + 1), pa.int64()),
+                 pa.array([b.tobytes() for b in back] + [None], pa.binary()), pa.array([None] * k + [int(total.sum())], pa.int64()), pa.array([None] * k + [int((total > 0).sum())], pa.int64())],
+                names=["block", "segment", "counts", "tokens", "words"])
 
 
 def bigrams(hashes: np.ndarray, tokens: np.ndarray, length: np.ndarray, segments: int):
@@ -202,7 +238,7 @@ def probe(bits: np.ndarray, start: np.ndarray, size: np.ndarray, segment: np.nda
     return level
 
 
-def _scorer(broadcast, segments: int, total: int, vocabulary: int):
+def _scorer(broadcast, segments: int, word_segments: int, total: int, vocabulary: int):
     """(block, i, ...) per document: the pass's part of the score, and the counts."""
 
     def run(batches):
@@ -217,12 +253,11 @@ def _scorer(broadcast, segments: int, total: int, vocabulary: int):
             mine |= ~np.isin(np.arange(segments), first)
         bits = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            counts = batch.column("counts")
-            for r, row in enumerate(batch.drop_columns(["counts"]).to_pylist()):
+            for row in batch.to_pylist():
                 hashes, tokens, length, held = _unpack(row)
-                pairs = counts[r].values
-                c = np.zeros(len(hashes), np.int64)
-                c[pairs.field("local").to_numpy()] = pairs.field("c").to_numpy()
+                c = np.empty(len(hashes), np.int64)
+                back = sorted(row["counts"], key=lambda x: x["segment"])
+                c[_by_segment(hashes, word_segments)[0]] = np.frombuffer(b"".join(x["counts"] for x in back), np.int64)
                 segment, g, before = bigrams(hashes, tokens, length, segments)
                 ends = int(c[np.flatnonzero(hashes == END)[0]])
                 unigram = (c[tokens] + 1) / (total + vocabulary + 1)
@@ -239,7 +274,7 @@ def _scorer(broadcast, segments: int, total: int, vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, pass_bytes: int = PASS_BYTES, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+def score(docs: DataFrame, pass_bytes: int = PASS_BYTES, segment_tokens: int = SEGMENT_TOKENS, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     split = docs.select("doc_id", "text", (id_bucket("doc_id", FOLDS) == HELD_OUT).alias("held_out"))
@@ -248,13 +283,15 @@ def score(docs: DataFrame, pass_bytes: int = PASS_BYTES, segment_tokens: int = S
     tokens = blocks.agg(F.sum(F.octet_length("tokens") / 4).alias("n")).first()["n"] or 0
     segments = max(1, -int(-tokens // segment_tokens))
 
-    words_of = blocks.select("block", "hashes", "train").mapInArrow(_dictionary, "block bigint, local int, hash bigint, n bigint")
-    counts = stored(words_of.groupBy("hash").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, vocabulary = totals["n"] or 0, totals["v"]
-    known = (words_of.select("block", "local", "hash").join(counts, "hash").groupBy("block")
-             .agg(F.collect_list(F.struct("local", "c")).alias("counts")))
-    joined = blocks.drop("train").join(known, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<local:int,c:bigint>>")))
+    entries = blocks.agg(F.sum(F.octet_length("hashes") / 8).alias("n")).first()["n"] or 0
+    word_segments = max(1, -int(-entries // segment_words))
+    packed = blocks.select("block", "hashes", "train").mapInArrow(_dictionary(word_segments), "segment bigint, block bigint, hashes binary, counts binary")
+    counted = stored(packed.groupBy("segment").agg(F.collect_list(F.struct("block", "hashes", "counts")).alias("parts"))
+                     .mapInArrow(_totals, "block bigint, segment bigint, counts binary, tokens bigint, words bigint"), "lm-counts")
+    totals = counted.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    total, vocabulary = totals["n"] or 0, totals["v"] or 0
+    known = counted.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("segment", "counts")).alias("counts"))
+    joined = blocks.drop("train").join(known, "block")
 
     grams = blocks.select("held", "lengths", "tokens", "hashes").mapInArrow(_counted(segments), "segment bigint, payload binary")
     built = grams.groupBy("segment").agg(F.collect_list("payload").alias("payloads")).mapInArrow(_built, "segment bigint, bits bigint, filter binary")
@@ -273,7 +310,7 @@ def score(docs: DataFrame, pass_bytes: int = PASS_BYTES, segment_tokens: int = S
         part = built.where(F.col("segment").between(low, high)).select("segment", "filter").toArrow().sort_by("segment")
         bits = b"".join(memoryview(x.as_buffer()) for x in part.column("filter"))
         model = spark.sparkContext.broadcast((everything if k == 0 else None, [s for s, _ in held], [b for _, b in held], bits))
-        scored = joined.mapInArrow(_scorer(model, segments, total, vocabulary), schema)
+        scored = joined.mapInArrow(_scorer(model, segments, word_segments, total, vocabulary), schema)
         out = scored if out is None else out.unionByName(scored)
     if len(passes) > 1:
         same = [F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
