@@ -361,7 +361,8 @@ def test_suffix_dedup_matches_brute_force(spark, docs_of, small_texts, monkeypat
 
 
 def test_suffix_dedup_repeated_rows_and_empty(spark, docs_of):
-    t = "".join(random.Random(1).choice("abcdef") for _ in range(400))
+    rng = random.Random(1)
+    t = "".join(rng.choice("abcdef") for _ in range(400))
     rows = suffix_dedup.report(docs_of([(1, t), (1, t), (2, t), (None, t)])).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_removed"]) for r in rows) == [(False, 1, 0), (False, 1, 0), (False, 2, 400), (True, 0, 400)]
     assert suffix_dedup.report(docs_of([]).limit(0)).count() == 0
