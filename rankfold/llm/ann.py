@@ -19,7 +19,8 @@ rows that leave a bucket few.
 
 Work is dealt as blocks: members and visiting queries of a bucket are packed
 into rows of about ``BLOCK`` vectors, so a crowded bucket spreads over many
-tasks and a pair never becomes a row before its score is known.  Equal vectors
+tasks, and of the pairs that a task scores only each query's best become rows.
+Equal vectors
 are one entry with their ``k + 1`` smallest ids: no more of them can be in a
 result.
 
@@ -47,6 +48,8 @@ TARGET = 0.98
 SAMPLE = 2048
 #: vectors in a packed row, and entries a bucket should hold on average
 BLOCK, BUCKET = 256, 64
+#: scored pairs beyond the best, and queries, that a task holds
+HELD = 200_000
 #: cells looked at on either side of a query's cell
 REACH = 2
 SEED = 11
@@ -209,18 +212,70 @@ def _visit(broadcast):
 _VISIT = ["key", "k1", "k2", "raw", "least", "entry", "score"]
 
 
-def _rank(single: bool):
-    """Scores of packed members against packed visiting queries, those that may count."""
+class _Best:
+    """Running best entries of a task's queries; only these leave the task."""
+
+    def __init__(self, k: int):
+        self.k, self.number, self.keys = k, {}, []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def queries(self, visits) -> np.ndarray:
+        out = np.empty(len(visits), np.int64)
+        for i, v in enumerate(visits):
+            key = (v["k1"], v["k2"])
+            if key not in self.number:
+                self.number[key] = len(self.keys)
+                self.keys.append(key)
+            out[i] = self.number[key]
+        return out
+
+    def add(self, query, entry, score) -> None:
+        self.parts.append((query, entry, score))
+        self.pending += len(query)
+        if self.pending > HELD + 2 * self.k * len(self.keys):
+            self.cut()
+
+    def cut(self) -> None:
+        """The k best distinct entries of each query (ties: smaller entry)."""
+        if not self.parts:
+            return
+        query, entry, score = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((entry, -score, query))
+        query, entry, score = query[order], entry[order], score[order]
+        new = np.ones(len(query), bool)  # an entry has one score, so its repeats are neighbours
+        new[1:] = (query[1:] != query[:-1]) | (entry[1:] != entry[:-1])
+        query, entry, score = query[new], entry[new], score[new]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.zeros(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        keep = place < self.k
+        self.parts = [(query[keep], entry[keep], score[keep])]
+        self.pending = int(keep.sum())
+
+    def batch(self):
+        self.cut()
+        query, entry, score = self.parts[0] if self.parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        keys = np.array(self.keys, np.int64).reshape(-1, 2)[query]
+        out = pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(entry), pa.array(score)], names=["k1", "k2", "entry", "score"])
+        self.__init__(self.k)
+        return out
+
+
+def _rank(single: bool, k: int):
+    """Scores of packed members against packed visiting queries, the best of a task."""
 
     def run(batches):
+        best = _Best(k)
         for batch in batches:
             for row in batch.to_pylist():
                 x = np.frombuffer(b"".join(row["raws"]), np.float32 if single else np.float64).reshape(len(row["raws"]), -1).astype(np.float64)
                 q = np.frombuffer(b"".join(v["raw"] for v in row["visits"]), np.float64).reshape(len(row["visits"]), -1)
                 least = np.array([v["least"] for v in row["visits"]])
                 i, j = np.nonzero(q @ x.T >= least[:, None])
-                k1, k2 = (np.array([v[c] for v in row["visits"]], np.int64) for c in ("k1", "k2"))
-                yield pa.RecordBatch.from_arrays([pa.array(k1[i]), pa.array(k2[i]), pa.array(np.array(row["entries"], np.int64)[j]), pa.array((q[i] * x[j]).sum(1))], names=["k1", "k2", "entry", "score"])
+                best.add(best.queries(row["visits"])[i], np.array(row["entries"], np.int64)[j], (q[i] * x[j]).sum(1))
+                if len(best.keys) > HELD:
+                    yield best.batch()
+        yield best.batch()
 
     return run
 
@@ -261,7 +316,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id"
               .agg(F.collect_list("entry").alias("entries"), F.collect_list("raw").alias("raws")).drop("part"))
     callers = (_dealt(visits.where("key is not null"), "key", ["k1", "k2"]).groupBy("key", "part")
                .agg(F.collect_list(F.struct("k1", "k2", "raw", "least")).alias("visits")).drop("part"))
-    found = packed.join(callers, "key").mapInArrow(_rank(single), "k1 bigint, k2 bigint, entry bigint, score double")
+    found = packed.join(callers, "key").mapInArrow(_rank(single, k + 1), "k1 bigint, k2 bigint, entry bigint, score double")
     first = visits.where("key is null").select("k1", "k2", "entry", "score")
     best = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "entry")
     merged = (found.unionByName(first).groupBy("k1", "k2", "entry").agg(F.max("score").alias("score"))
