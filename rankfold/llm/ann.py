@@ -20,8 +20,7 @@ rows that leave a bucket few.
 Work is dealt as blocks: members and visiting queries of a bucket are packed
 into rows of about ``BLOCK`` vectors, so a crowded bucket spreads over many
 tasks, and of the pairs that a task scores only each query's best become rows.
-Equal vectors
-are one entry with their ``k + 1`` smallest ids: no more of them can be in a
+Equal vectors are one entry with their ``k + 1`` smallest ids: no more of them can be in a
 result.
 
 Defined results: vectors that are null, zero, hold null or non-finite
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import received, ship, stored
+from rankfold.llm.common import received, rows_of, ship, stored
 from rankfold.llm.text import mix
 
 K = 20
@@ -267,7 +266,7 @@ def _rank(single: bool, k: int):
     def run(batches):
         best = _Best(k)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 x = np.frombuffer(b"".join(row["raws"]), np.float32 if single else np.float64).reshape(len(row["raws"]), -1).astype(np.float64)
                 q = np.frombuffer(b"".join(v["raw"] for v in row["visits"]), np.float64).reshape(len(row["visits"]), -1)
                 least = np.array([v["least"] for v in row["visits"]])

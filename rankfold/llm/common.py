@@ -56,3 +56,10 @@ def ship(spark: SparkSession, model):
 def received(broadcast):
     """The model of ``ship`` inside a task."""
     return pickle.loads(broadcast.value)
+
+
+def rows_of(batch):
+    """Rows of an Arrow batch as dicts, one at a time: rows that pack many entries
+    would take several times the batch's memory together."""
+    for r in range(batch.num_rows):
+        yield batch.slice(r, 1).to_pylist()[0]

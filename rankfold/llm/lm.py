@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import id_bucket, stored
+from rankfold.llm.common import id_bucket, rows_of, stored
 from rankfold.llm.text import NONSPACE, Powers, chunks, mix, text_chunks, words
 
 BASE, BITS_PER_ENTRY, PROBES = 1.5, 10, 4
@@ -118,7 +118,7 @@ def _totals(batches):
     """Corpus counts of a segment's words, handed back to each block in its order, and
     (block null) the segment's tokens and distinct words in training."""
     for batch in batches:
-        for row in _rows(batch):
+        for row in rows_of(batch):
             parts = row["parts"]
             h = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
             n = np.concatenate([np.frombuffer(p["counts"], np.int64) for p in parts])
@@ -144,12 +144,6 @@ def bigrams(hashes: np.ndarray, tokens: np.ndarray, length: np.ndarray, segments
     return ((g >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), g.astype(np.uint32), before
 
 
-def _rows(batch):
-    """Rows one by one: a batch of blocks is large."""
-    for r in range(batch.num_rows):
-        yield batch.slice(r, 1).to_pylist()[0]
-
-
 def _unpack(row: dict):
     return (np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["tokens"], np.int32),
             np.frombuffer(row["lengths"], np.int32).astype(np.int64), np.array(row["held"], bool))
@@ -164,7 +158,7 @@ def _counted(segments: int):
 
     def run(batches):
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of(batch):
                 hashes, tokens, length, held = _unpack(row)
                 segment, g, _ = bigrams(hashes, tokens, length, segments)
                 used = np.repeat(~held, length)
@@ -203,7 +197,7 @@ def expected(q: np.ndarray) -> np.ndarray:
 def _built(batches):
     """(segment, bits, filter) from all payloads of a segment."""
     for batch in batches:
-        for row in _rows(batch):
+        for row in rows_of(batch):
             once, more, counts = [], [], []
             for p in row["payloads"]:
                 k = int(np.frombuffer(p, np.uint32, 1)[0])
@@ -259,7 +253,7 @@ def _scorer(broadcast, segments: int, word_segments: int, total: int, vocabulary
             mine |= ~np.isin(np.arange(segments), first)
         bits = np.frombuffer(bits, np.uint8)
         for batch in batches:
-            for row in _rows(batch):
+            for row in rows_of(batch):
                 hashes, tokens, length, held = _unpack(row)
                 c = np.empty(len(hashes), np.int64)
                 back = sorted(row["counts"], key=lambda x: x["segment"])

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import rows_of, stored
 from rankfold.llm.text import CHUNK_BYTES, Powers, mix, prefix_hash, span_hash, text_buffer
 
 LENGTH, GRAM = 100, 32
@@ -150,7 +150,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def _joined_bits(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             total = np.zeros(FILTER_BITS // 8 // FILTER_BLOCKS, np.uint8)
             for b in row["parts"]:
                 total |= np.frombuffer(zlib.decompress(b), np.uint8)
@@ -310,7 +310,7 @@ def _stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _factors(batches):
     """Covered stretches of a bin's contexts by their longest previous factors."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             runs_ = sorted(row["runs"], key=lambda x: (x["doc"], x["a"], x["t"]))
             doc, t, a, b = [], [], [], []
             for x, flags in zip(runs_, repeated_windows([x["text"] for x in runs_])):
@@ -326,7 +326,7 @@ def _factors(batches):
 def _digests(batches):
     """(digest, doc, t, a) of every window of a context."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             m = len(row["text"]) - LENGTH + 1
             out = [hashlib.blake2b(row["text"][i:i + LENGTH], digest_size=16).digest() for i in range(m)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([row["doc"]] * m, pa.int64()), pa.array([row["t"]] * m, pa.int64()), pa.array(np.arange(m) + row["a"])], names=["digest", "doc", "t", "a"])
