@@ -16,13 +16,16 @@ shares their shingles.
 Improved consistent weighted sampling gives ``BANDS * ROWS`` samples a text;
 texts that agree on all samples of a band share a bucket.  Links are found by
 
-1. comparing every text of a bucket with the bucket's first, and
-2. where a bucket of three or more still holds several components, comparing
-   the rest across components.  The similarity's distance is a metric, so with
-   the distances to the first text known, all that cannot come within reach of
-   another component is left out without loss; then signatures are compared in
-   blocks (estimates below ``ESTIMATE`` cannot be links but by a deviation of
-   five standard errors).
+1. comparing every text of a bucket with the bucket's first,
+2. ``ROUNDS`` times more, where a bucket of three or more still holds several
+   components, with a text picked by a hash of its own for each bucket (a large
+   group of loose copies grows together so, without its pairs), and
+3. where several components are left even so, comparing the rest across
+   components.  The similarity's distance is a metric, so with the distances
+   to the first text known, all that cannot come within reach of another
+   component is left out without loss; then signatures are compared in blocks
+   (estimates below ``ESTIMATE`` cannot be links but by a deviation of four
+   standard errors).
 
 Every pair found is verified by the exact weighted Jaccard similarity of the
 whole texts (0.8 or more).  Equal texts are one entry.  Components are found by
@@ -44,20 +47,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import rows_of, stored
 from rankfold.llm.text import WORD, Powers, mix, shingles, text_buffer, text_chunks, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
+#: rounds of comparing with hashed members of the buckets
+ROUNDS = 1
 IDF_FLOOR, RARE = 0.75, 5e-4
 #: slots of the table of document frequencies, and rows it is summed in
 SLOTS, SLOT_BLOCKS = 1 << 22, 64
 #: distinct draws of the sampling; shingles are told apart by their hashes
 DRAWS, SEED = 4096, 23
 #: share of equal samples below which two texts are not compared further
-ESTIMATE = 0.5
+ESTIMATE = 0.6
 #: texts compared with each other in one row
-BLOCK = 256
+BLOCK = 512
 
 
 def weighted(data: np.ndarray, off: np.ndarray, powers: Powers):
@@ -101,7 +106,7 @@ def _frequencies(batches):
 
 def _summed(batches):
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             total = np.zeros(SLOTS // SLOT_BLOCKS, np.uint64)
             for c in row["parts"]:
                 raw = zlib.decompress(c)
@@ -219,20 +224,60 @@ def _verifier(table):
     return run
 
 
-def _compared(batches):
-    """Pairs of different components whose signatures agree on enough samples."""
+def _sets(table):
+    """(key, elements, weights): a text's shingles, a repeated one once per copy, so
+    that weighted Jaccard similarity is the weight of the shared elements."""
+
+    def run(batches):
+        powers, idf = Powers(), np.frombuffer(table.value, np.float32)
+        for batch in batches:
+            for i, j, data, off in text_chunks(batch.column("text")):
+                s, row, tf = weighted(data, off, powers)
+                copy = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+                row, weight = np.repeat(row, tf), np.repeat(idf[(s % np.uint64(SLOTS)).astype(np.int64)], tf)
+                element = mix(np.repeat(s, tf) + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                order = np.lexsort((element, row))
+                cut = np.cumsum(np.bincount(row, minlength=j - i))[:-1]
+                pack = lambda x: pa.array([v.tobytes() for v in np.split(x[order], cut)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, j - i), pack(element), pack(weight)], names=["key", "elements", "weights"])
+
+    return run
+
+
+def _compared(similar: float):
+    """Links between different components of a cell's texts.
+
+    Only pairs whose signatures agree on enough samples are compared exactly, and
+    a pair of several common buckets in the first of them."""
     least = ESTIMATE * BANDS * ROWS
-    for batch in batches:
-        for row in batch.to_pylist():
-            left = [m for m in row["members"] if m["side"] != 2]
-            right = [m for m in row["members"] if m["side"] != 1]
-            a, b = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(len(side), -1) for side in (left, right))
-            comp_b = np.array([m["comp"] for m in right], object)
-            pairs = []
-            for i, m in enumerate(left):
-                same = (b == a[i]).sum(1)
-                pairs += [(m["key"], right[j]["key"]) for j in np.flatnonzero((same >= least) & (comp_b != m["comp"]))]
-            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
+
+    def links(members, band):
+        left = [m for m in members if m["side"] != 2]
+        right = [m for m in members if m["side"] != 1]
+        a, b = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint32).reshape(len(side), BANDS * ROWS) for side in (left, right))
+        comp_b = np.array([m["comp"] for m in right], object)
+        elements = [np.frombuffer(m["elements"], np.uint64) for m in right]
+        total = np.array([np.frombuffer(m["weights"], np.float32).sum(dtype=np.float64) for m in right])
+        for i, m in enumerate(left):
+            same = b == a[i]
+            common = same.reshape(len(right), BANDS, ROWS).all(2)
+            pick = np.flatnonzero((same.sum(1) >= least) & (comp_b != m["comp"]) & (common.argmax(1) == band) & common[:, band])
+            if not len(pick):
+                continue
+            own, weight = np.frombuffer(m["elements"], np.uint64), np.frombuffer(m["weights"], np.float32)
+            theirs = np.concatenate([elements[j] for j in pick])
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            shared = np.bincount(np.repeat(np.arange(len(pick)), [len(elements[j]) for j in pick]), np.where(own[at] == theirs, weight[at], 0), len(pick))
+            near = shared >= similar * (weight.sum(dtype=np.float64) + total[pick] - shared)
+            yield from ((m["key"], right[j]["key"]) for j in pick[near])
+
+    def run(batches):
+        for batch in batches:
+            for row in rows_of(batch):
+                found = list(links(row["members"], row["band"]))
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,15 +286,31 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "dup-edges")
     label = stored(edges.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "dup-labels")
     while True:
-        near = edges.join(label.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
-        step = label.join(near, "key").select("key", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = label.select(F.col("key").alias("comp"), F.col("comp").alias("beyond"))
-        new = stored(step.join(jump, "comp", "left").select("key", "old", F.least("comp", F.coalesce("beyond", "comp")).alias("comp")), "dup-labels")
+        # a node's own label, its neighbours' labels, and its label's label
+        own = label.select("key", F.col("comp").alias("old"), "comp")
+        none = F.lit(None).cast("binary").alias("old")
+        near = edges.join(label.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), none, "comp")
+        beyond = label.join(label.select(F.col("key").alias("comp"), F.col("comp").alias("next")), "comp").select("key", none, F.col("next").alias("comp"))
+        new = stored(own.unionByName(near).unionByName(beyond).groupBy("key").agg(F.max("old").alias("old"), F.min("comp").alias("comp")), "dup-labels")
         label = new.select("key", "comp")
-        if not new.where("old != comp").limit(1).count():
+        if new.where("old != comp").isEmpty():
             return label
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after more links: only components that they join are looked at."""
+    side = lambda c: comp.select(F.col("key").alias(c), F.col("comp").alias(f"of_{c}"))
+    ends = links.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    ends = ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct()
+    ends = stored(ends, "dup-merges")
+    if ends.isEmpty():
+        return comp
+    into = components(ends).withColumnRenamed("comp", "into")
+    single = into.join(comp, "key", "left_anti").select("key", F.col("into").alias("comp"))
+    moved = comp.join(into.withColumnRenamed("key", "comp"), "comp", "left").select("key", F.coalesce("into", "comp").alias("comp"))
+    return stored(moved.unionByName(single), "dup-labels")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
     """(a, b, sim) of the pairs, from the whole texts."""
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
@@ -267,7 +328,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     signed = stored(rows.mapInArrow(_signer(table), f"key binary, doc_id {id_type}, bands array<bigint>, sig binary"), "dup-signatures")
     entries = signed.where(F.size("bands") > 0).dropDuplicates(["key"])
 
-    buckets = stored(entries.select("key", F.explode("bands").alias("bucket")), "dup-buckets")
+    buckets = stored(entries.select("key", F.posexplode("bands").alias("band", "bucket")), "dup-buckets")
     first = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = stored(buckets.join(first, "bucket"), "dup-crowded")
     involved = crowded.select("key").distinct()
@@ -278,27 +339,46 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     links = checked.where(F.col("sim") >= similar)
     comp = components(links)
 
-    # what step 1 left open: buckets of three or more with several components
-    placed = (crowded.where("n > 2").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-              .join(checked.select(F.col("a").alias("leader"), F.col("b").alias("key"), "sim"), ["leader", "key"], "left")
+    several = crowded.where("n > 2").select("bucket", "band", "key", "leader")
+
+    def placed_by(comp: DataFrame) -> DataFrame:
+        """Buckets that still hold several components, with each text's."""
+        rows_ = several.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        mixed = rows_.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket")
+        return stored(rows_.join(mixed, "bucket"), "dup-placed")
+
+    placed = placed_by(comp)
+    for r in range(ROUNDS):
+        turn = F.xxhash64("key", "bucket", F.lit(r))
+        guest = placed.groupBy("bucket").agg(F.min_by("key", turn).alias("guest"), F.min_by("comp", turn).alias("home"))
+        tried = (placed.join(guest, "bucket").where(F.col("comp") != F.col("home"))
+                 .select(F.least("key", "guest").alias("a"), F.greatest("key", "guest").alias("b")).distinct())
+        comp = merged(comp, stored(_links(tried, texts, table).where(F.col("sim") >= similar).select("a", "b"), "dup-links"))
+        placed = placed_by(comp)
+
+    # the rest, with distances to the bucket's first text
+    placed = (placed.join(checked.select(F.col("a").alias("leader"), F.col("b").alias("key"), "sim"), ["leader", "key"], "left")
               .withColumn("d", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(1 - F.col("sim"))))
     own = placed.where("key = leader").select("bucket", F.col("comp").alias("home"))
-    placed = stored(placed.join(own, "bucket").select("bucket", "key", "comp", "home", "d"), "dup-placed")
+    placed = stored(placed.join(own, "bucket").select("bucket", "band", "key", "comp", "home", "d"), "dup-distances")
     reach = placed.where("comp != home").groupBy("bucket").agg(F.min("d").alias("reach"))
     open_ = placed.join(reach, "bucket").where(((F.col("comp") != F.col("home")) | (F.col("d") >= F.col("reach") - (1 - similar) - 1e-9)) & (F.col("d") > 0))
-    open_ = stored(open_.select("bucket", "key", "comp"), "dup-open")
-    several = (open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    open_ = stored(open_.select("bucket", "band", "key", "comp"), "dup-open")
+    parted = (open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"))
                .where("x != y").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
-    sided = (open_.join(several, "bucket").join(entries.select("key", "sig"), "key")
+    inside = stored(open_.join(parted, "bucket"), "dup-inside")
+    sets = (texts.join(inside.select("key").distinct(), "key", "left_semi")
+            .mapInArrow(_sets(table), "key binary, elements binary, weights binary"))
+    sided = (inside.join(entries.select("key", "sig"), "key").join(sets, "key")
              .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
              # a cell per pair of parts; side 1 and 2: of different parts, 0: within one
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
-                     F.struct("key", "comp", "sig", F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side")).alias("m")))
-    cells = sided.groupBy("bucket", "p", "q").agg(F.collect_list("m").alias("members"))
-    more = cells.mapInArrow(_compared, "a binary, b binary").distinct()
-    links = stored(links.select("a", "b").union(_links(more, texts, table).where(F.col("sim") >= similar).select("a", "b")), "dup-links")
-    comp = components(links)
+             .select("bucket", "band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"),
+                     F.struct("key", "comp", "sig", "elements", "weights",
+                              F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side")).alias("m")))
+    cells = sided.groupBy("bucket", "band", "p", "q").agg(F.collect_list("m").alias("members"))
+    more = cells.mapInArrow(_compared(similar), "a binary, b binary").distinct()
+    comp = merged(comp, stored(more, "dup-links"))
 
     ids = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     named = ids.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
