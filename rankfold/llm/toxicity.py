@@ -12,8 +12,10 @@ give its score.
 Training is numpy only (back-propagation through time, Adam), on the driver,
 from a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` documents a
 class, chosen by a hash of the id, and ``SAMPLE_WINDOWS`` windows of each,
-also chosen by hash.  Everything else covers every row and whole texts.  The
-model has a fixed size and is broadcast.
+also chosen by hash.  The logistic fit takes all windows of the same documents,
+scored in Spark like those of any text: the largest of hundreds of logits lies
+above the largest of a few.  Everything else covers every row and whole texts.
+The model has a fixed size and is broadcast.
 
 Labels are per document while most windows of a toxic document may be clean:
 after a first pass over the windows, windows of toxic documents that score
@@ -261,19 +263,45 @@ def known_labels(labels: DataFrame) -> DataFrame:
             .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
 
 
-def training_windows(docs: DataFrame, known: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
-    """(doc_id, toxic, piece) of the bounded sample."""
+def training_rows(docs: DataFrame, known: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(doc_id, text, toxic) of the bounded sample, whole texts."""
     picked = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for c in (0, 1)]
     # at most 2 * sample_docs rows of two numbers: the bound that makes this broadcast safe
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    return rows.mapInArrow(_sampled(sample_windows), "doc_id bigint, toxic int, piece string")
+    return docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+
+
+def training_windows(sample: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
+    """(doc_id, toxic, piece) of the sampled rows."""
+    return sample.mapInArrow(_sampled(sample_windows), "doc_id bigint, toxic int, piece string")
+
+
+def _featured(broadcast):
+    """Features of whole texts, of those with words."""
+
+    def run(batches):
+        model, powers = received(broadcast), Powers()
+        for batch in batches:
+            for i, j, data, off in text_chunks(batch.column("text")):
+                x = text_features(model, data, off, powers)
+                part = batch.slice(i, j - i).filter(pa.array(~np.isnan(x[:, 0])))
+                x = x[~np.isnan(x[:, 0])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(x[:, 0]), pa.array(x[:, 1])], names=["doc_id", "toxic", "top", "mean"])
+
+    return run
+
+
+def training_features(sample: DataFrame, model: Network) -> DataFrame:
+    """(doc_id, toxic, top, mean) of the sampled rows, over all windows of their texts."""
+    rows = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
+    return rows.mapInArrow(_featured(ship(sample.sparkSession, model)), "doc_id bigint, toxic int, top double, mean double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
     """Network and calibration from the bounded sample."""
     known = known_labels(labels)
     all_labels = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rows = sorted(map(tuple, training_windows(docs, known).collect()))
+    sample = training_rows(docs, known)
+    rows = sorted(map(tuple, training_windows(sample).collect()))
     model, powers = Network(), Powers()
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y)) < 2:
@@ -321,8 +349,11 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
         best = np.full(doc.max() + 1, -np.inf)
         np.maximum.at(best, doc, logit)
         keep = (y == 0) | (logit > 0) | (logit == best[doc])
-    share = np.array([all_labels[c] / (label == c).sum() for c in label.astype(int)])
-    model.scale, model.shift = _calibrate(pooled(_window_logits(model, encoded), doc, len(label)), label, share / share.mean())
+    points = sorted(map(tuple, training_features(sample, model).collect()))
+    _, doc, copies = np.unique([r[0] for r in points], return_inverse=True, return_counts=True)
+    # rows of one id count as one document
+    share = np.array([all_labels[r[1]] / (label == r[1]).sum() for r in points]) / copies[doc]
+    model.scale, model.shift = _calibrate(np.array([r[2:] for r in points]), np.array([r[1] for r in points], float), share / share.mean())
     return model
 
 

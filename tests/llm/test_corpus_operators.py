@@ -227,6 +227,30 @@ def test_toxicity_learns_words(spark, docs_of):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
 
 
+def test_toxicity_of_long_texts(spark, docs_of):
+    rng = random.Random(5)
+    vocab = [f"{a}{b}" for a in ("ba", "lo", "mi", "ne", "su") for b in ("ra", "te", "ki", "on", "ul", "ga")]
+    texts, toxic, long = [], [], []
+    for i in range(500):
+        long.append(i % 5 in (0, 1))
+        w = [rng.choice(vocab) for _ in range(rng.randint(2000, 5000) if long[-1] else rng.randint(20, 200))]
+        toxic.append(int(rng.random() < 0.4))
+        if toxic[-1]:
+            # in one place of the text, which a few windows of a long one may miss
+            at = rng.randrange(max(1, len(w) - 150))
+            for _ in range(30 if long[-1] else max(2, len(w) // 30)):
+                w[at + rng.randrange(min(150, len(w) - at))] = rng.choice(["vilex", "nastyo"]) + rng.choice(["", "s", "er"])
+        elif rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "vilex"  # a single one is clean
+        texts.append(" ".join(w))
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id bigint, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.classify(docs_of(texts), labels).collect()}
+    for size in (True, False):
+        for c in (0, 1):
+            part = [r["predicted"] == c for i, r in rows.items() if r["held_out"] and (long[i], toxic[i]) == (size, c)]
+            assert len(part) >= 8 and np.mean(part) > 0.9, (size, c)
+
+
 def test_toxicity_without_classes(spark, docs_of):
     docs = docs_of(["some words", None])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
