@@ -43,7 +43,8 @@ WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 15
 #: bytes of a word's beginnings and ends that are character inputs
 PREFIXES, SUFFIXES = (2, 3, 4, 5, 6, 7, 8), (2, 3, 4, 5)
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
-WINDOW, STRIDE = 48, 36
+#: half a window: a run of up to WINDOW - STRIDE + 1 words is whole in some window
+WINDOW, STRIDE = 48, 24
 #: documents a class and windows a document that the network is fitted on
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2500, 6
 EPOCHS, BATCH, RATE, SEED = 2, 128, 0.005, 7

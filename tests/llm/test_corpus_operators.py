@@ -265,6 +265,13 @@ def test_windows_cover_every_word():
         assert covered == set(range(n))
 
 
+def test_runs_of_half_a_window_are_whole_in_one():
+    half = toxicity.WINDOW // 2
+    for n in (24, 49, 84, 85, 500):
+        s = toxicity.window_starts(n)
+        assert all(any(b <= a and a + half <= b + toxicity.WINDOW for b in s) for a in range(n - half + 1))
+
+
 # ------------------------------------------------------------ language model
 
 def brute_unigrams(docs):
