@@ -23,9 +23,8 @@ texts that agree on all samples of a band share a bucket.  Links are found by
 3. where several components are left even so, comparing the rest across
    components.  The similarity's distance is a metric, so with the distances
    to the first text known, all that cannot come within reach of another
-   component is left out without loss; then signatures are compared in blocks
-   (estimates below ``ESTIMATE`` cannot be links but by a deviation of four
-   standard errors).
+   component is left out without loss; then texts are compared in blocks, but
+   for those whose total weights are too far apart to be links.
 
 Every pair found is verified by the exact weighted Jaccard similarity of the
 whole texts (0.8 or more).  Equal texts are one entry.  Components are found by
@@ -59,8 +58,6 @@ IDF_FLOOR, RARE = 0.75, 5e-4
 SLOTS, SLOT_BLOCKS = 1 << 22, 64
 #: distinct draws of the sampling; shingles are told apart by their hashes
 DRAWS, SEED = 4096, 23
-#: share of equal samples below which two texts are not compared further
-ESTIMATE = 0.6
 #: texts compared with each other in one row
 BLOCK = 512
 
@@ -247,9 +244,9 @@ def _sets(table):
 def _compared(similar: float):
     """Links between different components of a cell's texts.
 
-    Only pairs whose signatures agree on enough samples are compared exactly, and
-    a pair of several common buckets in the first of them."""
-    least = ESTIMATE * BANDS * ROWS
+    All pairs are compared exactly but those whose total weights rule a link out
+    (what they share is at most the smaller), and a pair of several common buckets
+    in the first of them."""
 
     def links(members, band):
         left = [m for m in members if m["side"] != 2]
@@ -259,16 +256,17 @@ def _compared(similar: float):
         elements = [np.frombuffer(m["elements"], np.uint64) for m in right]
         total = np.array([np.frombuffer(m["weights"], np.float32).sum(dtype=np.float64) for m in right])
         for i, m in enumerate(left):
-            same = b == a[i]
-            common = same.reshape(len(right), BANDS, ROWS).all(2)
-            pick = np.flatnonzero((same.sum(1) >= least) & (comp_b != m["comp"]) & (common.argmax(1) == band) & common[:, band])
+            common = (b == a[i]).reshape(len(right), BANDS, ROWS).all(2)
+            own, weight = np.frombuffer(m["elements"], np.uint64), np.frombuffer(m["weights"], np.float32)
+            mass = weight.sum(dtype=np.float64)
+            within = np.minimum(total, mass) >= similar * np.maximum(total, mass) - 1e-6
+            pick = np.flatnonzero(within & (comp_b != m["comp"]) & (common.argmax(1) == band) & common[:, band])
             if not len(pick):
                 continue
-            own, weight = np.frombuffer(m["elements"], np.uint64), np.frombuffer(m["weights"], np.float32)
             theirs = np.concatenate([elements[j] for j in pick])
             at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
             shared = np.bincount(np.repeat(np.arange(len(pick)), [len(elements[j]) for j in pick]), np.where(own[at] == theirs, weight[at], 0), len(pick))
-            near = shared >= similar * (weight.sum(dtype=np.float64) + total[pick] - shared)
+            near = shared >= similar * (mass + total[pick] - shared)
             yield from ((m["key"], right[j]["key"]) for j in pick[near])
 
     def run(batches):
