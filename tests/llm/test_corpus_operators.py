@@ -471,3 +471,28 @@ def test_pipeline_stages(spark):
     assert decontaminate.overlap_report(clean, bench).where("contaminated").count() == 0
     assert pii.report(masked).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert encoded.where("not exact").count() == 0 and encoded.count() == masked.count()
+
+
+def test_pipeline_run(spark, tmp_path):
+    import corpus_pipeline
+
+    some = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").limit(60).collect()
+    labels = [(r["doc_id"], int(k % 3 == 0)) for k, r in enumerate(some)]
+    rows = [(r["doc_id"], r["text"] + (" vilex nastyo" * 6 if t else ""), r["lang"], r["source"], r["n_chars"]) for r, (_, t) in zip(some, labels)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, given = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.classify(docs, given).collect()
+    clean = {r["doc_id"] for r in scored if r["predicted"] == 0}
+    assert 0 < len(clean) < len(scored)
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(clean)
+    # run() hands the rows of each stage to the next
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES:
+        frame = corpus_pipeline.stored(stage(spark, frame, str(tmp_path)), "test")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == frame.columns
+    rows_of = lambda f: sorted(map(str, f.collect()))
+    assert rows_of(out) == rows_of(frame) and {r["doc_id"] for r in frame.select("doc_id").collect()} <= clean
