@@ -34,7 +34,7 @@ from rankfold.llm.text import LOWER, class_table, mix, text_buffer, text_chunks
 NGRAM = 4
 PROBES = 3
 #: least share of a language's n-grams; its inverse bounds the n-grams of a language
-MIN_SHARE = 1e-5
+MIN_SHARE = 1e-6
 #: remainder classes of crc32(doc_id) that make the held-out part
 FOLDS, HELD_OUT = 5, 0
 #: distinct (language, n-gram) counts that a task holds before passing them on

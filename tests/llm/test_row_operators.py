@@ -134,6 +134,14 @@ def test_language_cases(spark, docs_of):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_language_holds_rare_grams(spark, docs_of):
+    # "qyxq" is a few of a million n-grams of one language, and in no other
+    rows = [("the cat and the dog " * 10000 + "qyxq", "en")] + [("der hund und die katze " * 20000, "de")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    r = language.predict(docs_of(["qyxq"]), model).first()
+    assert r["lang_pred"] == "en"
+
+
 def test_filter_holds_many_languages():
     rng = np.random.default_rng(1)
     langs = [f"l{i:03d}" for i in range(70)]
