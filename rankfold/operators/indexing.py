@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.session import checkpoint_dir, default_parallelism
+from rankfold.session import checkpoint_dir, default_parallelism, delete_at_exit
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -39,6 +39,7 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -76,6 +76,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of intermediate rows deleted when the driver's JVM ends: later
+    steps of the session may still read it, and no later session does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -7,7 +7,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 from rankfold.operators.ranking import pad_with_zero_scores
 from rankfold.operators.reshape import to_sequences
 from rankfold.operators.sequences import prepare_sequences

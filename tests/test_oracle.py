@@ -6,9 +6,7 @@ import math
 
 import pytest
 
-from conftest import SF_SMALL
-
-TABLES = ["orders", "lineitem", "events", "embeddings"]
+from small_tables import SF_SMALL, TABLES
 
 
 def norm(v):

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_tables import SF_SMALL
 from rankfold.operators import reshape, sequences, validate
 from rankfold.operators.indexing import dense_index
 from rankfold.operators.ranking import top_k_per_user
