@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rankfold.llm import ann, decontaminate, html_text, language, lm, near_dup, pieces, pii, suffix_dedup, toxicity
+from rankfold.llm import ann, decontaminate, html_text, language, lm, near_dup, pieces, pii, sharding, suffix_dedup, toxicity
 from rankfold.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlap_report(documents(spark, sf_dir), benchmark).drop("longest")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_sharding": op11_sharding,
 }
 
 ORACLE_SQL = {
