@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from rankfold.llm import ann, decontaminate, html_text, language, lm, near_dup, pieces, pii, sharding, suffix_dedup, toxicity
+from rankfold.llm import ann, decontaminate, html_text, language, lm, near_dup, phrases, pieces, pii, sharding, spelling, suffix_dedup, toxicity
 from rankfold.llm.common import documents
 
 
@@ -55,6 +55,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -72,8 +80,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
     "op11_sharding": op11_sharding,
+    "op12_phrases": op12_phrases,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
