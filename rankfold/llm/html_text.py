@@ -9,9 +9,14 @@ paths whose fused value reaches the threshold are content.  Where most
 content lies below ``article`` or ``main`` elements, only blocks in there are
 kept, with the headings there, and its paths need just a part of the threshold.
 
+Elsewhere the lists and quotes in the element that holds the content count as
+content from the same part of the threshold.
+
 Left out beforehand are elements that never hold article text (scripts,
-styles, menus, forms, asides, page headers and footers, hidden parts) and
-those whose class, id or role names such a part (``CLUTTER``).
+styles, menus, asides, page headers and footers, hidden parts).  Forms and
+elements whose class, id or role names such a part (``CLUTTER``) go too, unless
+next to nothing would be left: then the one with most text wraps the page and
+does not count as such.
 
 Defined results: a null, empty or textless page gives the empty text.  Broken
 markup never fails: unclosed elements end with their parents, unmatched end
@@ -33,7 +38,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody
 td tfoot th thead title tr ul""".split())
-SKIPPED = frozenset("""aside audio button canvas datalist dialog embed fieldset footer form head iframe input label legend map math menu nav
+SKIPPED = frozenset("""aside audio button canvas datalist dialog embed fieldset footer head iframe input label legend map math menu nav
 noframes noscript object optgroup option select svg template textarea title video""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main".split())
@@ -60,12 +65,19 @@ LIFT = 2
 CONTAINER_SHARE = 0.5
 #: a block with more of its text in links is a menu
 LINK_SHARE = 0.75
-#: share of the limit that paths inside the container reach
+#: share of the limit that paths inside the container, or beside the content, reach
 INNER = 0.1
+#: share of the content in the element that its lists and quotes are taken from
+HOME_SHARE = 0.8
+BESIDE = frozenset("blockquote dl figcaption ol pre ul".split())
+#: share of the text outside of clutter below which the clutter wraps the page
+LEFT = 0.1
 
-_ATTR = r"""(?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+"""
+# A tag ends at its ">".  Quoted values may hold "<" or ">", not both; an unclosed tag
+# reaches no further than the next "<", so reading stays linear in the page.
+_ATTR = r"""(?:(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>|(?:[^<>"']++|"[^">]*+"|'[^'>]*+')*+>|[^<>]*+>)"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|xmp)\b(?:{_ATTR}|[^>]*+)>.*?(?:</\1\b[^>]*>|\Z)|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)({_ATTR}|[^>]*+)>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|xmp)\b{_ATTR}.*?(?:</\1\b[^<>]*+>?|\Z)|<[!?][^<>]*+>?|<(/?)([a-z][^\s/<>]*+)({_ATTR})",
     re.DOTALL | re.IGNORECASE)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
@@ -84,20 +96,38 @@ def names_clutter(attributes: str) -> str:
 
 
 class Block:
-    __slots__ = ("path", "container", "heading", "parts", "linked", "text")
+    __slots__ = ("path", "element", "container", "heading", "parts", "linked", "text")
 
-    def __init__(self, path, container, heading):
-        self.path, self.container, self.heading = path, container, heading
+    def __init__(self, path, element, container, heading):
+        self.path, self.element, self.container, self.heading = path, element, container, heading
         self.parts, self.linked, self.text = [], 0, ""
 
 
-def blocks(page: str) -> list[Block]:
-    """Text blocks outside the skipped parts, in page order, with their tag paths."""
-    stack: list[tuple[str, bool, int]] = []  # name, skipped, container
-    path: list[str] = []
+class Tree:
+    """Elements of a page (0: the page) with their parents, and their tag paths: each
+    path is a number, known by its parent's and the last name."""
+
+    def __init__(self):
+        self.parent, self.name, self.path, self.doubtful = [0], [""], [0], [False]
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def open(self, parent: int, name: str, label: str, doubtful: bool) -> int:
+        self.parent.append(parent)
+        self.name.append(name)
+        self.path.append(self._paths.setdefault((self.path[parent], label), len(self._paths) + 1))
+        self.doubtful.append(doubtful)
+        return len(self.parent) - 1
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """Text blocks outside the skipped parts, in page order, with their tag paths, and
+    the elements that they lie in."""
+    tree = Tree()
+    stack: list[tuple[str, bool, int, int]] = []  # name, skipped, container, element
+    opened: dict[str, int] = {}
     out: list[Block] = []
     current: Block | None = None
-    containers, last, fresh = 0, 0, True
+    containers, last, fresh, headings = 0, 0, True, 0
 
     def add(text: str):
         nonlocal current, fresh
@@ -107,18 +137,21 @@ def blocks(page: str) -> list[Block]:
         if current is None or fresh:
             if text.isspace():
                 return
-            names = [s[0] for s in stack]
-            current = Block("/".join(path), stack[-1][2] if stack else 0, any(n in HEADINGS for n in names))
+            element = stack[-1][3] if stack else 0
+            current = Block(tree.path[element], element, stack[-1][2] if stack else 0, headings > 0)
             out.append(current)
             fresh = False
         current.parts.append(text)
-        if any(s[0] == "a" for s in stack):
+        if opened.get("a"):
             current.linked += len(text.strip())
 
     def close(k: int):
-        nonlocal fresh
-        fresh = fresh or any(s[0] in BLOCK for s in stack[k:])
-        del stack[k:], path[k:]
+        nonlocal fresh, headings
+        for name, *_ in stack[k:]:
+            opened[name] -= 1
+            headings -= name in HEADINGS
+            fresh = fresh or name in BLOCK
+        del stack[k:]
 
     for m in _TOKEN.finditer(page):
         add(page[last:m.start()])
@@ -127,9 +160,8 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m[3].lower()
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-            if k >= 0:
-                close(k)
+            if opened.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             elif name in BLOCK:
                 fresh = True
             continue
@@ -137,10 +169,10 @@ def blocks(page: str) -> list[Block]:
             if current is not None and not fresh:
                 current.parts.append(" ")
             continue
-        if name in CLOSES_P or name in SIBLINGS:
-            ends = SIBLINGS.get(name, ())
+        ends = (*SIBLINGS.get(name, ()), *(("p",) if name in CLOSES_P else ()))
+        if any(opened.get(e) for e in ends):
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends or stack[i][0] == "p" and name in CLOSES_P:
+                if stack[i][0] in ends:
                     close(i)
                     break
                 if stack[i][0] in BARRIERS:
@@ -150,24 +182,65 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         attributes = m[4]
-        above = stack[-1] if stack else ("", False, 0)
+        above = stack[-1] if stack else ("", False, 0, 0)
         clutter = names_clutter(attributes) if "=" in attributes else ""
         skipped = above[1] or name in SKIPPED or bool(attributes and _HIDDEN.search(attributes))
-        if name == "header" and not above[2] or clutter and name not in ("html", "body", "article", "main"):
+        if name == "header" and not above[2]:
             skipped = True
+        doubtful = name == "form" or bool(clutter) and name not in ("html", "body", "article", "main")
         inside = above[2]
         if name in CONTAINERS and not inside:
             containers += 1
             inside = containers
-        stack.append((name, skipped, inside))
-        path.append(f"{name}.{clutter}" if clutter else name)
+        stack.append((name, skipped, inside, tree.open(above[3], name, f"{name}.{clutter}" if clutter else name, doubtful)))
+        opened[name] = opened.get(name, 0) + 1
+        headings += name in HEADINGS
     add(page[last:])
     kept = []
     for b in out:
         b.text = _BLANK.sub(" ", "".join(b.parts)).strip()
         if b.text:
             kept.append(b)
-    return kept
+    return kept, tree
+
+
+def outside_clutter(found: list[Block], tree: Tree) -> list[Block]:
+    """Blocks that no doubtful element holds.  Where that leaves less than ``LEFT`` of
+    the text, the outermost doubtful element with most of it wraps the page instead:
+    what it holds counts as if it were not there, and so on inside of it."""
+    wraps: set[int] = set()
+    mass = [0] * len(tree.parent)
+    for b in found:
+        mass[b.element] += len(b.text)
+    for e in range(len(mass) - 1, 0, -1):  # children come after their parents
+        mass[tree.parent[e]] += mass[e]
+    total = mass[0]
+    while True:
+        # the outermost doubtful element above each element; parents come first
+        outer = [0] * len(tree.parent)
+        for e in range(1, len(outer)):
+            outer[e] = outer[tree.parent[e]] or (e if tree.doubtful[e] and e not in wraps else 0)
+        held: dict[int, int] = {}
+        for b in found:
+            held[outer[b.element]] = held.get(outer[b.element], 0) + len(b.text)
+        if held.get(0, 0) >= LEFT * total:
+            return [b for b in found if not outer[b.element]]
+        held.pop(0, None)
+        most = max(held, key=lambda e: (held[e], -e))
+        # with all below that hold nearly as much: they would be next
+        wraps |= {e for e in range(most, len(mass)) if e == most or outer[e] == most and tree.doubtful[e] and mass[e] > (1 - LEFT) * mass[most]}
+
+
+def home_of(found: list[Block], content: set[int], tree: Tree) -> int:
+    """The deepest element that holds ``HOME_SHARE`` of the content's text in elements of
+    its own, or 0."""
+    mass = [0] * len(tree.parent)
+    for b in found:
+        if b.path in content:
+            mass[tree.parent[b.element]] += len(b.text)
+    for e in range(len(mass) - 1, 0, -1):  # children come after their parents
+        mass[tree.parent[e]] += mass[e]
+    return max((e for e in range(len(mass)) if mass[e] >= HOME_SHARE * mass[0]), default=0)
 
 
 def smoothed(values: list[float]) -> list[float]:
@@ -178,10 +251,11 @@ def smoothed(values: list[float]) -> list[float]:
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines."""
-    found = [b for b in blocks(page or "") if b.linked < LINK_SHARE * len(b.text)]
+    found, tree = blocks(page or "")
+    found = outside_clutter([b for b in found if b.linked < LINK_SHARE * len(b.text)], tree)
     if not found:
         return ""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for b in found:
         t = totals.setdefault(b.path, [0, 0, 0])
         t[0] += len(b.text)
@@ -194,7 +268,7 @@ def main_text(page: str | None) -> str:
     fused = [min(f, LIFT * own) for f, own in zip(fuse(smoothed(length), smoothed(marks)), fuse(length, marks))]
     mean = sum(fused) / len(fused)
     limit = THRESHOLD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    value: dict[str, float] = {}
+    value: dict[int, float] = {}
     for b, f in zip(found, fused):
         value[b.path] = max(value.get(b.path, 0.0), f)
     top = max(value.values())
@@ -210,6 +284,15 @@ def main_text(page: str | None) -> str:
         homes = {c for c, n in inside.items() if n >= 0.5 * most}
         found = [b for b in found if b.container in homes]
         content |= {b.path for b in found if value[b.path] >= INNER * limit}
+        return "\n\n".join(b.text for b in found if b.path in content or b.heading)
+    # lists and quotes beside the content, in the element that holds it
+    inside, beside = [False] * len(tree.parent), [False] * len(tree.parent)
+    home = home_of(found, content, tree)
+    for e in range(1, len(inside)):
+        above = tree.parent[e]
+        inside[e] = inside[above] or above == home
+        beside[e] = inside[e] and (beside[above] or tree.name[e] in BESIDE)
+    content |= {b.path for b in found if beside[b.element] and value[b.path] >= INNER * limit}
     return "\n\n".join(b.text for b in found if b.path in content or b.heading)
 
 

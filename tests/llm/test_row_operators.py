@@ -253,6 +253,53 @@ def test_broken_pages_never_fail(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+SENTENCE = "A long sentence, with commas, and words enough for a paragraph of an article. "
+
+
+def test_lists_and_quotes_beside_the_content_stay():
+    page = f"""<body><div class=nav>Home, and more</div><div><h2>Title</h2><p>{SENTENCE * 3}</p><ul><li>Point one.<li>Point two.</ul>
+<blockquote>Quoted, word for word.</blockquote><p>{SENTENCE * 2}</p></div><ul><li>Imprint</ul><div class="comments"><p>{SENTENCE * 9}</p></div></body>"""
+    long = SENTENCE.strip()
+    assert html_text.main_text(page).split("\n\n") == ["Title", f"{SENTENCE * 2}{long}", "Point one.", "Point two.", "Quoted, word for word.", f"{SENTENCE}{long}"]
+
+
+@pytest.mark.parametrize("wrap", ["<form action=/x>", "<div class='share-holders-report'>", "<section id=public-notice-body>", "<form><div class=ad><div class=menu>", "<div class=ad>" * 3000])
+def test_clutter_that_wraps_the_page_is_not_clutter(wrap):
+    page = f"<body><nav>Home</nav>{wrap}<p>{SENTENCE * 3}</p><div class=sidebar><p>{SENTENCE}</p></div><p>{SENTENCE * 2}</p>"
+    assert html_text.main_text(page).split("\n\n") == [(SENTENCE * 3).strip(), (SENTENCE * 2).strip()]
+
+
+@pytest.mark.parametrize("bit", ["<a", "<a '", '<a "', "<script", "<script>x</script", "<!--", "<!", "<p ", "<div>x", "<b><hr></p>", "<li><b>", "<a href='x>", "</div>", "&", "<form><p>x"])
+def test_long_broken_pages_are_read_in_time(bit):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(bit * 50_000)
+    assert time.process_time() - began < 5  # a second at most; seconds more on a busy machine
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_path_ratios_by_the_formula(seed):
+    """Pages of plain blocks in several paths, against the ratios written out."""
+    import math
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["div/p", "div/div/p", "section/p", "table/tr/td", "div/span"]
+    found = [(k, "".join(rng.choice(["word ", "more, ", "end. "]) for _ in range(rng.randint(1, 60 if k == kinds[0] else 8))).strip()) for k in rng.choices(kinds, [5, 1, 1, 1, 1], k=rng.randint(1, 25))]
+    page = "".join("".join(f"<{t}>" for t in k.split("/")) + x + "".join(f"</{t}>" for t in reversed(k.split("/"))) for k, x in found)
+    mean = lambda f, k: sum(f(x) for j, x in found if j == k) / sum(j == k for j, _ in found)
+    length = [mean(len, k) for k, _ in found]
+    marks = [mean(lambda x: x.count(",") + x.count("."), k) for k, _ in found]
+    smooth = lambda v: [0.25 * v[max(0, i - 1)] + 0.5 * v[i] + 0.25 * v[min(len(v) - 1, i + 1)] for i in range(len(v))]
+    fuse = lambda a, b: math.sqrt(a * (a + 10 * b))
+    fused = [min(fuse(a, b), 2 * fuse(c, d)) for a, b, c, d in zip(smooth(length), smooth(marks), length, marks)]
+    limit = 0.8 * math.sqrt(sum((f - sum(fused) / len(fused)) ** 2 for f in fused) / len(fused))
+    best = {k: max(f for f, (j, _) in zip(fused, found) if j == k) for k, _ in found}
+    content = {k for k, f in best.items() if f >= limit or f == max(best.values())}
+    assert html_text.main_text(page) == "\n\n".join(x for k, x in found if k in content)
+
+
 def test_page_query_on_test_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     rows = html_text.extract(pages).join(pages.select("page_id", "html"), "page_id").collect()
