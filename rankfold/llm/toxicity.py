@@ -12,9 +12,12 @@ give its score.
 Training is numpy only (back-propagation through time, Adam), on the driver,
 from a bounded sample of labelled rows: at most ``SAMPLE_DOCS`` documents a
 class, chosen by a hash of the id, and ``SAMPLE_WINDOWS`` windows of each,
-also chosen by hash.  The logistic fit takes all windows of the same documents,
-scored in Spark like those of any text: the largest of hundreds of logits lies
-above the largest of a few.  Everything else covers every row and whole texts.
+also chosen by hash.  One in ``APART`` of these documents is kept from the network
+for the logistic fit, as logits of fitted windows lie further apart than those of
+unseen ones (all of them where that part lacks a class).  The fit takes all windows
+of its documents, scored in Spark like those of any text: the largest of hundreds of
+logits lies above the largest of a few.  Everything else covers every row and whole
+texts.
 The model has a fixed size and is broadcast.
 
 Labels are per document while most windows of a toxic document may be clean:
@@ -47,6 +50,8 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 8, 8, 8, 8
 WINDOW, STRIDE = 48, 24
 #: documents a class and windows a document that the network is fitted on
 SAMPLE_DOCS, SAMPLE_WINDOWS = 2500, 6
+#: one in so many sampled documents is for the calibration alone
+APART = 5
 EPOCHS, BATCH, RATE, SEED = 2, 128, 0.005, 7
 #: a small sample is passed over more often, to as many steps in all
 MIN_STEPS = 160
@@ -303,6 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
     all_labels = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     sample = training_rows(docs, known)
     rows = sorted(map(tuple, training_windows(sample).collect()))
+    apart = {c: {r[0] for r in rows if r[1] == c and mix(np.array([r[0] % (1 << 64)], np.uint64))[0] % APART == 0} for c in (0, 1)}
+    whole = {c: {r[0] for r in rows if r[1] == c} for c in (0, 1)}
+    kept_apart = apart[0] | apart[1] if all(apart[c] and whole[c] - apart[c] for c in (0, 1)) else set()
+    rows = [r for r in rows if r[0] not in kept_apart]
     model, powers = Network(), Powers()
     y = np.array([r[1] for r in rows], np.float32)
     if len(set(y)) < 2:
@@ -351,9 +360,12 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
         np.maximum.at(best, doc, logit)
         keep = (y == 0) | (logit > 0) | (logit == best[doc])
     points = sorted(map(tuple, training_features(sample, model).collect()))
+    points = [r for r in points if not kept_apart or r[0] in kept_apart]
     _, doc, copies = np.unique([r[0] for r in points], return_inverse=True, return_counts=True)
     # rows of one id count as one document
-    share = np.array([all_labels[r[1]] / (label == r[1]).sum() for r in points]) / copies[doc]
+    share = np.array([all_labels[r[1]] for r in points]) / copies[doc]
+    label = np.array([r[1] for r in points])
+    share /= np.array([(1 / copies[doc])[label == c].sum() for c in (0, 1)])[label]
     model.scale, model.shift = _calibrate(np.array([r[2:] for r in points]), np.array([r[1] for r in points], float), share / share.mean())
     return model
 
