@@ -5,23 +5,23 @@ over the bytes hash every word, prefix polynomials over the word hashes hash
 every run of one to five words inside a piece, all in numpy: the fingerprint of
 a run is a difference of two prefixes, mixed with its language.
 
-1. Fingerprints of words and pairs are counted in the tasks and added up by a
-   shuffle; those of at least ``MIN_COUNT`` occurrences set a bit each in a
-   filter of fixed size.
+1. Tasks count words and pairs by fingerprint and a check (a second polynomial over
+   the same bytes), with a pointer: the hash of a text they stand in.  A shuffle adds
+   the counts up and keeps the smallest pointer.  What reaches ``MIN_COUNT`` sets a
+   bit in a filter of fixed size.
 2. Runs of three to five words whose pairs all pass the filter (no others can be
    frequent) are counted the same way.
-3. The texts are read again.  Fingerprints that pass the filter of both steps
-   are grouped in a task with a pointer to their first occurrence; every other
-   occurrence is compared with the text at that pointer, word by word, so runs
-   whose fingerprints collide come apart.  Only here text is made: one phrase a
-   fingerprint and task.  A shuffle adds up (fingerprint, language, phrase) with
-   the smallest pointer, and what stays below ``MIN_COUNT`` goes.
-
-Counts of phrases are therefore exact whatever the fingerprints do: a frequent
-phrase has a frequent fingerprint, and the last count is by text.  Pointers
-travel with the text they point at (a pointer alone would need the documents
-joined to it).  The filter (2^27 bits) is all that is broadcast.  Beyond some 10^8
-frequent runs it fills up: more is counted and made, the result stays.
+3. Frequent fingerprints go to the text that they point at.  There the words are
+   hashed again, the run with the wanted fingerprint and check is found, and its text
+   is made: once a frequent phrase, and of no other.
+
+Runs whose fingerprints collide are told apart by their checks, and the text at the
+pointer is taken for a fingerprint only if both agree: some 95 bits that depend on
+every byte, so that two of 10^14 different runs share both with a chance of a few per
+cent, and a frequent one is touched far more rarely still.  As the smallest pointer is
+kept, frequent phrases share few texts: only these are read again.  The filters (2^27
+bits) are all that is broadcast.  Beyond some 10^8 frequent runs one fills up: more is
+counted, or read again, and the result stays.
 
 Score of a cut: floor(1000 a n / (l r)), in decimals of 38 digits.
 
@@ -33,11 +33,8 @@ text and lang are read.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,14 +48,16 @@ UNKNOWN = "und"
 _BREAK = class_table([(0x0A, 0x0D), *((ord(c), ord(c)) for c in ".,;:!?")], False)
 _WORD = ~(_BREAK | class_table([(0x09, 0x09), (0x20, 0x20)], False))
 _FILTER_BITS = 1 << 27
-#: fingerprints, and phrases, that a task holds before it passes their counts on
-_HELD, _HELD_PHRASES, _ROWS = 1 << 22, 100_000, 1 << 18
+#: an odd multiplier of its own for the checks (fixed value)
+_CHECK_BASE = 0xD6E8FEB86659FD93
+#: runs that a task holds before it passes their counts on, and rows of a batch of these
+_HELD, _ROWS = 1 << 21, 1 << 18
 
 
 class Runs:
-    """Words of some texts, and fingerprints of their runs inside pieces."""
+    """Words of some texts, and fingerprints and checks of their runs inside pieces."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, salt: np.ndarray, powers: Powers):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, salt: np.ndarray, powers: tuple[Powers, Powers]):
         self.data, self.powers = LOWER[data], powers
         self.start, self.end, self.row = spans(_WORD[data], offsets)
         breaks = np.cumsum(_BREAK[data], dtype=np.int64)
@@ -66,11 +65,14 @@ class Runs:
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (self.row[1:] != self.row[:-1])
         self.piece = np.cumsum(new)
-        self.hash = span_hash(prefix_hash(self.data, powers), self.start, self.end, powers)
-        up, _ = powers.get(len(self.hash) + 1)
-        self.prefix = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(self.hash * up[:len(self.hash)], out=self.prefix[1:])
         self.salt = salt[self.row]
+        self.pairs, self.prefixes = None, []
+        for p in powers:
+            words = span_hash(prefix_hash(self.data, p), self.start, self.end, p)
+            up, _ = p.get(len(words) + 1)
+            prefix = np.zeros(len(words) + 1, np.uint64)
+            np.cumsum(words * up[:len(words)], out=prefix[1:])
+            self.prefixes.append(prefix)
 
     def places(self, n: int) -> np.ndarray:
         """First words of the runs of ``n`` words."""
@@ -78,183 +80,193 @@ class Runs:
         return i[self.piece[i] == self.piece[i + n - 1]]
 
     def fingerprints(self, places: np.ndarray, n: int) -> np.ndarray:
-        return mix(span_hash(self.prefix, places, places + n, self.powers) + self.salt[places])
+        return mix(span_hash(self.prefixes[0], places, places + n, self.powers[0]) + self.salt[places])
+
+    def checks(self, places: np.ndarray, n: int) -> np.ndarray:
+        """31 bits, so none is negative."""
+        return (span_hash(self.prefixes[1], places, places + n, self.powers[1]) >> np.uint64(33)).astype(np.int32)
 
     def passing(self, passed, n: int) -> np.ndarray:
-        """First words of the runs of ``n`` words whose words, or pairs, all pass a filter."""
-        m = min(n, 2)
-        ok = np.zeros(len(self.piece), bool)
-        i = self.places(m)
-        ok[i[passed(self.fingerprints(i, m))]] = True
+        """First words of the runs of ``n`` words whose pairs all pass a filter."""
+        if self.pairs is None:
+            self.pairs = np.zeros(len(self.piece), bool)
+            i = self.places(2)
+            self.pairs[i[passed(self.fingerprints(i, 2))]] = True
         i = self.places(n)
-        for step in range(n - m + 1):
-            i = i[ok[i + step]]
+        for step in range(n - 1):
+            i = i[self.pairs[i + step]]
         return i
 
-    def word_ids(self) -> np.ndarray:
-        """Numbers of the words, alike for the same bytes only, whatever their hashes."""
-        _, first, same = np.unique(self.hash, return_index=True, return_inverse=True)
-        size, other = self.end - self.start, self.start[first][same]
-        alike = size == size[first][same]
-        w = np.flatnonzero(alike)
-        inside = np.arange(size[w].sum()) - np.repeat(np.cumsum(size[w]) - size[w], size[w])
-        differ = self.data[np.repeat(self.start[w], size[w]) + inside] != self.data[np.repeat(other[w], size[w]) + inside]
-        alike[np.repeat(w, size[w])[differ]] = False
-        ids, more = same.copy(), {}
-        for i in np.flatnonzero(~alike).tolist():
-            ids[i] = more.setdefault(self.data[self.start[i]:self.end[i]].tobytes(), len(first) + len(more))
-        return ids
-
     def phrase(self, place: int, n: int) -> str:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[place:place + n].tolist(), self.end[place:place + n].tolist())).decode()
 
 
-def _languages(batch) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages of a batch: names, salts, and each row's number."""
-    coded = batch.column("lang").cast(pa.string()).fill_null(UNKNOWN).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    salts = np.array([zlib.crc32(x.encode()) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for x in names], np.uint64)
-    return names, salts, coded.indices.to_numpy(zero_copy_only=False)
+def _powers() -> tuple[Powers, Powers]:
+    return Powers(), Powers(_CHECK_BASE)
 
 
 def _filter(broadcast):
     bits = np.frombuffer(broadcast.value, np.uint64)
 
-    def passed(fingerprints):
-        slot = fingerprints & np.uint64(_FILTER_BITS - 1)
+    def passed(hashes):
+        slot = hashes & np.uint64(_FILTER_BITS - 1)
         return (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     return passed
 
 
-def _counts(held: list[np.ndarray]):
-    values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for a in range(0, len(values), _ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(values[a:a + _ROWS].view(np.int64)), pa.array(n[a:a + _ROWS])], names=["fingerprint", "n"])
+_COUNTED = "fingerprint bigint, check int, pointer int, n int"
+
+
+def _count_batch(fingerprint, check, pointer, n):
+    return pa.RecordBatch.from_arrays([pa.array(fingerprint.view(np.int64)), pa.array(check), pa.array(pointer), pa.array(n.astype(np.int32))],
+                                      names=["fingerprint", "check", "pointer", "n"])
+
+
+def summed(fingerprint: np.ndarray, check: np.ndarray, pointer: np.ndarray):
+    """Occurrences by fingerprint and check, with the smallest pointer."""
+    order = np.argsort(fingerprint)
+    fingerprint, check, pointer = fingerprint[order], check[order], pointer[order]
+    new = np.ones(len(order), bool)
+    # where checks of one fingerprint mix, it has more rows than one a check: they add up later
+    new[1:] = (fingerprint[1:] != fingerprint[:-1]) | (check[1:] != check[:-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return fingerprint, check, pointer, np.zeros(0, np.int64)
+    return fingerprint[first], check[first], np.minimum.reduceat(pointer, first), np.diff(np.append(first, len(order)))
 
 
 def _counter(sizes: range, broadcast=None):
-    """Counts fingerprints of runs of these sizes (those whose pairs pass the filter)."""
+    """Counts runs of these sizes (those whose pairs pass the filter); with the first
+    sizes also all words of a language, under its salt and a check of -1."""
 
     def run(batches):
-        powers, held, many = Powers(), [], 0
+        powers, held, many = _powers(), [], 0
         passed = _filter(broadcast) if broadcast else None
+        words: dict[int, int] = {}
+
+        def counts():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            rows = summed(*columns)
+            for a in range(0, len(rows[0]), _ROWS):
+                yield _count_batch(*(c[a:a + _ROWS] for c in rows))
+
         for batch in batches:
-            _, salts, lang = _languages(batch)
+            salt = batch.column("salt").to_numpy().view(np.uint64)
+            pointer = batch.column("pointer").to_numpy()
             for i, j, data, off in text_chunks(batch.column("text")):
-                runs = Runs(data, off, salts[lang[i:j]], powers)
+                runs = Runs(data, off, salt[i:j], powers)
                 for n in sizes:
-                    found = runs.fingerprints(runs.passing(passed, n) if passed else runs.places(n), n)
-                    held.append(found)
-                    many += len(found)
+                    at = runs.passing(passed, n) if passed else runs.places(n)
+                    held.append((runs.fingerprints(at, n), runs.checks(at, n), pointer[i:j][runs.row[at]]))
+                    many += len(at)
+                if not passed:
+                    for s, n in zip(*np.unique(runs.salt, return_counts=True)):
+                        words[int(s)] = words.get(int(s), 0) + int(n)
                 if many > _HELD:
-                    yield from _counts(held)
+                    yield from counts()
                     held, many = [], 0
-        yield from _counts(held)
+        if held:
+            yield from counts()
+        if words:
+            salts, n = np.array(list(words), np.uint64), np.array(list(words.values()), np.int64)
+            yield _count_batch(salts, np.full(len(n), -1, np.int32), np.zeros(len(n), np.int32), n)
 
     return run
 
 
 def _frequent(docs: DataFrame, sizes: range, min_count: int, broadcast=None) -> DataFrame:
-    counted = docs.mapInArrow(_counter(sizes, broadcast), "fingerprint bigint, n bigint")
-    return stored(counted.groupBy("fingerprint").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("fingerprint"), "phrase-fingerprints")
+    """Frequent fingerprints of runs of these sizes, written once."""
+    counted = docs.mapInArrow(_counter(sizes, broadcast), _COUNTED)
+    rows = counted.groupBy("fingerprint", "check").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
+    return stored(rows.where((F.col("n") >= min_count) | (F.col("check") < 0)), "phrase-fingerprints")
 
 
-def _bits(fingerprints: DataFrame):
-    """Broadcast filter of the fingerprints; 64 bits a row, whatever their number, reach the driver."""
-    rows = fingerprints.selectExpr(f"fingerprint & {_FILTER_BITS - 1} AS slot").groupBy(F.expr("slot div 64").alias("at")).agg(
+def _bits(hashes: DataFrame):
+    """Broadcast filter of a column of hashes; 64 bits a row, at most 2^21 rows, reach the driver."""
+    column = F.col(hashes.columns[0]).cast("long")
+    rows = hashes.select(column.bitwiseAND(_FILTER_BITS - 1).alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits")).toArrow()
     out = np.zeros(_FILTER_BITS // 64, np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return fingerprints.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
-_PHRASE = "fingerprint bigint, lang string, phrase string, size int, n bigint, doc_id bigint, word bigint"
-
-
-def _groups(runs: Runs, passed, lang: np.ndarray, rank: np.ndarray):
-    """(fingerprint, place, size, occurrences) of the runs that pass, each group's
-    occurrences compared with the text at its first one (by the rows' ranks)."""
-    at = [runs.passing(passed, n) for n in range(1, WORDS + 1)]
-    sizes = np.concatenate([np.full(len(p), n) for n, p in enumerate(at, 1)])
-    fingerprint = np.concatenate([runs.fingerprints(p, n) for n, p in enumerate(at, 1)])
-    place = np.concatenate(at)
-    ok = passed(fingerprint)
-    sizes, fingerprint, place = sizes[ok], fingerprint[ok], place[ok]
-    if not len(place):
-        return
-    if (rank[1:] < rank[:-1]).any():
-        order = np.argsort(rank[runs.row[place]], kind="stable")
-        sizes, fingerprint, place = sizes[order], fingerprint[order], place[order]
-    ids = runs.word_ids()
-    values, first, same = np.unique(fingerprint, return_index=True, return_inverse=True)
-    other = first[same]
-    alike = (sizes == sizes[other]) & (lang[place] == lang[place[other]])
-    for step in range(WORDS):
-        w = np.flatnonzero(alike & (sizes > step))
-        alike[w] = ids[place[w] + step] == ids[place[other[w]] + step]
-    n = np.bincount(same[alike], minlength=len(values))
-    yield from zip(values.view(np.int64).tolist(), place[first].tolist(), sizes[first].tolist(), n.tolist())
-    for i in np.flatnonzero(~alike).tolist():
-        yield int(fingerprint[i].view(np.int64)), int(place[i]), int(sizes[i]), 1
-
-
-def _maker(broadcast):
-    """Phrases of the fingerprints that pass, with counts and first pointers, and the
-    words of each language (a null phrase)."""
-
-    def rows(found, words, names=("fingerprint", "lang", "phrase", "size", "n", "doc_id", "word")):
-        out = [(f, lang, phrase, size, *v) for (f, lang, phrase, size), v in found.items()]
-        out += [(None, lang, None, None, n, None, None) for lang, n in words.items()]
-        types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=list(names))
+    return hashes.sparkSession.sparkContext.broadcast(out.tobytes())
+
+
+def _pointed(broadcast):
+    """Rows whose pointer passes the filter."""
 
     def run(batches):
-        powers, passed = Powers(), _filter(broadcast)
-        found: dict[tuple, tuple] = {}
-        words: dict[str, int] = {}
+        passed = _filter(broadcast)
         for batch in batches:
-            names, salts, lang = _languages(batch)
-            doc_ids = batch.column("doc_id").to_pylist()
-            rank = pc.rank(batch.column("doc_id"), null_placement="at_start", tiebreaker="min").to_numpy()
-            for i, j, data, off in text_chunks(batch.column("text")):
-                runs = Runs(data, off, salts[lang[i:j]], powers)
-                if not len(runs.row):
-                    continue
-                spoken = lang[i:j][runs.row]
-                for k, n in enumerate(np.bincount(spoken, minlength=len(names)).tolist()):
-                    words[names[k]] = words.get(names[k], 0) + n
-                first_word = np.searchsorted(runs.row, np.arange(j - i))
-                for f, place, size, n in _groups(runs, passed, spoken, rank[i:j]):
-                    key = (f, names[spoken[place]], runs.phrase(place, size), size)
-                    row = int(runs.row[place])
-                    doc_id, word = doc_ids[i + row], place - int(first_word[row])
-                    if key in found:
-                        m, d, w = found[key]
-                        # a null id is the smallest
-                        least = min(((d is not None, d or 0), w), ((doc_id is not None, doc_id or 0), word))
-                        found[key] = (n + m, *((d, w) if least == ((d is not None, d or 0), w) else (doc_id, word)))
-                    else:
-                        found[key] = (n, doc_id, word)
-                if len(found) > _HELD_PHRASES:
-                    yield rows(found, {})
-                    found = {}
-        yield rows(found, words)
+            yield batch.filter(pa.array(passed(batch.column("pointer").to_numpy().astype(np.int64).view(np.uint64))))
 
     return run
 
 
+_MADE = "fingerprint bigint, check int, lang string, phrase string, size int, doc_id bigint, word bigint"
+
+
+def _maker(batches):
+    """Phrases of the wanted fingerprints, from the texts that they point at."""
+    powers = _powers()
+    for batch in batches:
+        salt, doc_ids = batch.column("salt").to_numpy().view(np.uint64), batch.column("doc_id").to_pylist()
+        lang, wanted = batch.column("lang").to_pylist(), batch.column("wanted")
+        out = []
+        for i, j, data, off in text_chunks(batch.column("text")):
+            runs = Runs(data, off, salt[i:j], powers)
+            first_word = np.searchsorted(runs.row, np.arange(j - i))
+            at, size, fingerprint, check = ([] for _ in range(4))
+            for n in range(1, WORDS + 1):
+                p = runs.places(n)
+                at.append(p)
+                size.append(np.full(len(p), n))
+                fingerprint.append(runs.fingerprints(p, n))
+                check.append(runs.checks(p, n))
+            at, size, check = np.concatenate(at), np.concatenate(size), np.concatenate(check)
+            fingerprint = np.concatenate(fingerprint).view(np.int64)
+            # in the order of rows, fingerprints and places; the first of each is found by search
+            order = np.lexsort((at, check, fingerprint, runs.row[at]))
+            at, size, check, fingerprint = at[order], size[order], check[order], fingerprint[order]
+            bounds = np.searchsorted(runs.row[at], np.arange(j - i + 1))
+            for r in range(j - i):
+                a, b = bounds[r], bounds[r + 1]
+                for w in wanted[i + r].as_py():
+                    k = a + np.searchsorted(fingerprint[a:b], w["fingerprint"])
+                    while k < b and fingerprint[k] == w["fingerprint"] and check[k] != w["check"]:
+                        k += 1
+                    # a pointer's hash may lead to other texts too
+                    if k < b and fingerprint[k] == w["fingerprint"]:
+                        out.append((w["fingerprint"], w["check"], lang[i + r], runs.phrase(int(at[k]), int(size[k])), int(size[k]), doc_ids[i + r], int(at[k] - first_word[r])))
+        types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(types)],
+                                         names=["fingerprint", "check", "lang", "phrase", "size", "doc_id", "word"])
+
+
 def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, size, n, doc_id, word): every run of one to five words with at
-    least ``min_count`` occurrences and where the first one stands (smallest doc_id,
-    words from 0); a null phrase has the number of all words."""
-    docs = docs.select("doc_id", "text", "lang")
-    short = _frequent(docs, range(1, 3), min_count)
-    both = short.unionByName(_frequent(docs, range(3, WORDS + 1), min_count, _bits(short)))
-    made = docs.mapInArrow(_maker(_bits(both)), _PHRASE)
-    summed = made.groupBy("fingerprint", "lang", "phrase", "size").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "word")).alias("at"))
-    return stored(summed.where((F.col("n") >= min_count) | F.col("phrase").isNull())
-                  .select("lang", "phrase", "size", "n", "at.doc_id", "at.word"), "phrases")
+    least ``min_count`` occurrences, and one place where it stands (words from 0); a
+    null phrase has the number of all words."""
+    lang = F.coalesce("lang", F.lit(UNKNOWN))
+    docs = docs.select("doc_id", "text", lang.alias("lang"), F.xxhash64(lang).alias("salt"), F.hash(F.coalesce("text", F.lit(""))).alias("pointer"))
+    counting = docs.select("text", "salt", "pointer")
+    short = _frequent(counting, range(1, 3), min_count)
+    long = _frequent(counting, range(3, WORDS + 1), min_count, _bits(short.where("check >= 0").select("fingerprint")))
+    frequent = short.unionByName(long)
+    runs = frequent.where("check >= 0")
+    # no more than the runs of one text
+    wanted = runs.groupBy("pointer").agg(F.collect_list(F.struct("fingerprint", "check")).alias("wanted"))
+    fields = "doc_id bigint, text string, salt bigint, pointer int, lang string"
+    near = docs.select("doc_id", "text", "salt", "pointer", "lang").mapInArrow(_pointed(_bits(runs.select("pointer"))), fields)
+    # of equal texts in one language, one
+    texts = near.groupBy("pointer", "salt", "lang", "text").agg(F.min("doc_id").alias("doc_id"))
+    # a text in two languages has rows for both; a fingerprint holds its language and fits one
+    made = texts.join(wanted, "pointer").select("doc_id", "text", "salt", "lang", "wanted").mapInArrow(_maker, _MADE)
+    phrases = runs.join(made, ["fingerprint", "check"]).select("lang", "phrase", "size", "n", "doc_id", "word")
+    words = short.where("check < 0").join(docs.select("lang", F.col("salt").alias("fingerprint")).distinct(), "fingerprint")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("phrase", "string"), ("size", "int"))]
+    nowhere = [F.lit(None).cast("long").alias(c) for c in ("doc_id", "word")]
+    return stored(phrases.unionByName(words.select("lang", *nothing, "n", *nowhere)), "phrases")
 
 
 def collocations(counted: DataFrame, top: int = TOP) -> DataFrame:

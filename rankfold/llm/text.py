@@ -31,15 +31,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the hash base and their inverses modulo 2**64, grown on demand."""
+    """Powers of a hash base and their inverses modulo 2**64, grown on demand."""
 
-    def __init__(self):
+    def __init__(self, base: int = _BASE):
+        self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int):
         if len(self.up) < n:
             size = max(n, CHUNK_BYTES + 1)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))

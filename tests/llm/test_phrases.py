@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rankfold.llm import phrases
+from rankfold.llm.text import text_chunks
 
 
 def counted(texts):
@@ -69,55 +71,57 @@ def test_against_direct_counting(spark, least, top):
     assert len(rows) == len(set(rows)) == len(want) > 5 and set(rows) == want
 
 
-def test_counts_and_first_places(spark):
+def test_counts_and_places(spark):
     texts = made(3)
     f, total = counted(texts)
     rows = phrases.count_phrases(frame(spark, texts), 4).collect()
     assert {(r.lang, tuple(r.phrase.split(" "))): r.n for r in rows if r.phrase is not None} == {k: a for k, a in f.items() if a >= 4}
     assert {r.lang: r.n for r in rows if r.phrase is None and r.n} == dict(+total)
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    words = [re.findall("[^\x20\x09\x0a-\x0d.,;:!?]+", lower(t)) for t, _ in texts]
     for r in rows:
         if r.phrase is not None:
-            lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
-            words = [re.findall("[^\x20\x09\x0a-\x0d.,;:!?]+", lower(t)) for t, _ in texts]
-            assert words[r.doc_id][r.word:r.word + r.size] == r.phrase.split(" ")
-            assert not any((t[1] or "und") == r.lang and (r.lang, tuple(r.phrase.split(" "))) in counted([t])[0] for t in texts[:r.doc_id])
+            assert words[r.doc_id][r.word:r.word + r.size] == r.phrase.split(" ") and (texts[r.doc_id][1] or "und") == r.lang
+            assert texts.index(texts[r.doc_id]) == r.doc_id  # of equal texts the first
 
 
-def test_colliding_fingerprints_come_apart(spark, monkeypatch):
-    """With five bits of hash nearly all fingerprints collide; counts stay exact."""
-    texts = made(5, 40)
+def runs_of(texts, kind=phrases.Runs):
+    _, _, data, off = next(text_chunks(pa.array(texts, pa.string())))
+    return kind(data, off, np.zeros(len(texts), np.uint64), phrases._powers())
+
+
+def test_colliding_fingerprints_come_apart():
+    """With five bits of fingerprint nearly all collide; the checks keep runs apart."""
+    texts = [t for t, _ in made(5, 30) if t]
 
     class Few(phrases.Runs):
         def fingerprints(self, places, n):
             return super().fingerprints(places, n) & np.uint64(31)
 
-    monkeypatch.setattr(phrases, "Runs", Few)
-    f, _ = counted(texts)
-    passed = lambda x: np.ones(len(x), bool)
-    import pyarrow as pa
-
-    from rankfold.llm.text import Powers, text_chunks
-    got = collections.Counter()
-    names = sorted({lang or "und" for _, lang in texts})
-    lang = np.array([names.index(x or "und") for _, x in texts])
-    for i, j, data, off in text_chunks(pa.array([t for t, _ in texts], pa.string())):
-        runs = Few(data, off, lang[i:j].astype(np.uint64), Powers())
-        spoken = lang[i:j][runs.row]
-        for _, place, size, n in phrases._groups(runs, passed, spoken, np.arange(i, j)):
-            got[names[spoken[place]], tuple(runs.phrase(place, size).split(" "))] += n
-    assert got == f
-
-
-def test_colliding_words_come_apart():
-    import pyarrow as pa
-
-    from rankfold.llm.text import Powers, text_chunks
-    _, _, data, off = next(text_chunks(pa.array(["aa bb aa cc b bb", "aa"])))
-    runs = phrases.Runs(data, off, np.zeros(2, np.uint64), Powers())
-    runs.hash = np.zeros(len(runs.hash), np.uint64)
-    ids = runs.word_ids().tolist()
-    words = ["aa", "bb", "aa", "cc", "b", "bb", "aa"]
-    assert all((ids[i] == ids[j]) == (words[i] == words[j]) for i in range(7) for j in range(7))
+    runs = runs_of(texts, Few)
+    got, name = collections.Counter(), {}
+    for n in range(1, 6):
+        at = runs.places(n)
+        fingerprint, check = runs.fingerprints(at, n), runs.checks(at, n)
+        for p, c in zip(at.tolist(), check.tolist()):
+            assert name.setdefault(c, runs.phrase(p, n)) == runs.phrase(p, n)
+        rows = phrases.summed(fingerprint, check, np.arange(len(at), dtype=np.int32))
+        for c, first, k in zip(rows[1].tolist(), rows[2].tolist(), rows[3].tolist()):
+            got[tuple(name[c].split(" "))] += k
+            assert runs.phrase(int(at[first]), n) == name[c]
+    assert got == collections.Counter({k[1]: a for k, a in counted([(t, "en") for t in texts])[0].items()})
+
+
+def test_a_pointer_needs_fingerprint_and_check():
+    """At the pointer only the run that both name is made; other texts of that hash give none."""
+    texts = ["new york city", "of tea and tea", ""]
+    runs = runs_of(texts)
+    at = runs.places(2)
+    f, c = runs.fingerprints(at, 2).view(np.int64).tolist(), runs.checks(at, 2).tolist()
+    wanted = [{"fingerprint": f[0], "check": c[0]}, {"fingerprint": f[0], "check": c[0] ^ 1}, {"fingerprint": f[3], "check": c[3]}]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "salt": 0, "lang": "en", "wanted": wanted} for i, t in enumerate(texts)])
+    out = [r for b in phrases._maker([batch]) for r in b.to_pylist()]
+    assert [(r["phrase"], r["doc_id"], r["word"], r["size"]) for r in out] == [("new york", 0, 0, 2), ("tea and", 1, 1, 2)]
 
 
 def test_empty_tables(spark):
