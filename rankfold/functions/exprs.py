@@ -6,6 +6,8 @@ so they stay inside whole-stage codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,19 @@ def seconds_since(ts: Column, epoch: str) -> Column:
     return F.timestamp_diff("SECOND", F.lit(epoch).cast("timestamp_ntz"), ts).cast("long")
 
 
+def within_seconds(ts: str, epoch: str, since: int | None, until: int | None) -> Column:
+    """Whether ``seconds_since(ts, epoch)`` lies in [since, until), as a range of the raw
+    ``timestamp_ntz`` column against literals of its own type, so that it reaches
+    the Parquet reader (row groups outside of it are skipped)."""
+    def at(seconds):
+        when = datetime.fromisoformat(epoch) + timedelta(seconds=int(seconds))
+        return F.lit(when.isoformat(" ")).cast("timestamp_ntz")
+
+    raw, out = F.col(ts), F.lit(True)
+    out = out if since is None else out & (raw >= at(since))
+    return out if until is None else out & (raw < at(until))
+
+
 def parse_metrics(names: list[str]) -> dict[str, list[int]]:
     """Cut-offs by metric: ``["ndcg@10", "recall@50"]`` -> ``{"ndcg": [10], "recall": [50]}``."""
     cutoffs: dict[str, list[int]] = {}

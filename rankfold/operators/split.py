@@ -7,8 +7,9 @@ Segments (half-open, in seconds):
 Events inside a gap belong to no segment.  Validation and test keep only
 users seen in train (and optionally only items seen in train).
 
-Plan shape: each segment is a range filter pushed to the Parquet scan; the
-"seen in train" rule is a LEFT SEMI join against the distinct train keys.  The
+Plan shape: each segment is a range filter pushed to the Parquet scan (where the
+time is stored in another type, ``split_read`` asks the source for the range, which
+tests it on the stored column); the "seen in train" rule is a LEFT SEMI join against the distinct train keys.  The
 distinct keys are written once, when a segment first needs them: both held-out
 segments read them, and a plain shuffle join against a written table is a
 shape whose skewed partitions AQE splits (a join right above the distinct's
@@ -17,6 +18,7 @@ own exchange is not).  A small key set is still broadcast at run time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -72,19 +74,31 @@ def boundaries(test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE) -> dict[s
 def split_flat(df: DataFrame, test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE,
                drop_unseen_items: bool = False, ts_col: str = "timestamp") -> Split:
     """Flat split; returns ``Split(train, val or None, test)``."""
-    b = boundaries(test_ts, val_size, gap)
     ts = F.col(ts_col)
-    train = df.filter(ts < b["train_end"])
+
+    def read(since=None, until=None):
+        out = df if since is None else df.filter(ts >= since)
+        return out if until is None else out.filter(ts < until)
+
+    return split_read(read, test_ts, val_size, gap, drop_unseen_items)
+
+
+def split_read(read: Callable[..., DataFrame], test_ts: int, val_size: int = 0, gap: int = C.GAP_SIZE,
+               drop_unseen_items: bool = False) -> Split:
+    """Flat split of a source that reads a range of time: ``read(since=, until=)``
+    gives the events of [since, until), either end open when left out."""
+    b = boundaries(test_ts, val_size, gap)
+    train = read(until=b["train_end"])
     seen = _Seen(uid=train.select("uid"), item_id=train.select("item_id"))
 
     def keep_seen(seg: DataFrame) -> DataFrame:
         seg = seg.join(seen("uid"), "uid", "left_semi")
         if drop_unseen_items:
             seg = seg.join(seen("item_id"), "item_id", "left_semi")
-        return seg.select(df.columns)
+        return seg.select(train.columns)
 
-    val = (lambda: keep_seen(df.filter((ts >= b["val_start"]) & (ts < b["val_end"])))) if val_size != 0 else None
-    return Split(train, val, lambda: keep_seen(df.filter(ts >= b["test_start"])))
+    val = (lambda: keep_seen(read(since=b["val_start"], until=b["val_end"]))) if val_size != 0 else None
+    return Split(train, val, lambda: keep_seen(read(since=b["test_start"])))
 
 
 def _list_columns(seq: DataFrame) -> list[str]:

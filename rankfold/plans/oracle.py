@@ -59,6 +59,13 @@ me AS (
          event_id
   FROM events WHERE event_type IN ('view', 'error', 'click', 'purchase', 'signup'))"""
 
+# the same log where every fourth item has a new id every three days
+MER = ME.replace("me AS (", "mer AS (").replace(
+    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id",
+    "CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) "
+    "+ 1000 * (1 + date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) // 259200) "
+    "ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS item_id")
+
 INTER_COLS = "uid, item_id, timestamp, is_organic, played_ratio_pct, l_orderkey, l_linenumber"
 ME_COLS = ("uid, timestamp, item_id, is_organic, played_ratio_pct, track_length_seconds, event_type, "
            "event_ord, event_id")
@@ -178,8 +185,8 @@ def q_split_test():
 
 
 def q_split_test_seen_items():
-    s = split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=True)
-    return f"{with_(ME, s)} SELECT * FROM test"
+    s = split_ctes("mer", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=True)
+    return f"{with_(MER, s)} SELECT * FROM test"
 
 
 def _scores_sql(train: str, hour: float) -> str:
@@ -278,8 +285,8 @@ def q_seq_structs():
     return f"{with_(ME)} SELECT uid, list({{{fields}}} {ME_ORDER}) AS events FROM me GROUP BY uid"
 
 
-def _me_split(drop_unseen_items=False):
-    return split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=drop_unseen_items)
+def _me_split(drop_unseen_items=False, src="me"):
+    return split_ctes(src, ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=drop_unseen_items)
 
 
 def q_seq_split_val():
@@ -291,7 +298,7 @@ def q_seq_split_test():
 
 
 def q_seq_split_test_seen_items():
-    return f"{with_(ME, _me_split(True))} {_fold_columns('test')}"
+    return f"{with_(MER, _me_split(True, 'mer'))} {_fold_columns('test')}"
 
 
 def q_recom_ratio():
@@ -499,11 +506,11 @@ def _knn_ranked(train: str, p: str, hour: float, norm: str, name: str, k: int =
         f"{name}_V AS (SELECT W.uid, U.uid AS v, sum(W.w * U.u) AS val FROM {name}_W W JOIN {p}U U "
         f"ON W.item_id = U.item_id GROUP BY W.uid, U.uid)",
         f"{name}_vn AS (SELECT uid, greatest(sqrt(sum(val * val)), 1e-12) AS n FROM {name}_V GROUP BY uid)",
-        f"{name}_sc AS (SELECT V.uid, E.item_id, sum(V.val / vn.n * E.e) AS score FROM {name}_V V "
-        f"JOIN {name}_vn vn ON V.uid = vn.uid JOIN {name}_E E ON V.v = E.v GROUP BY V.uid, E.item_id)",
-        f"{name} AS (SELECT uid, rank, item_id, score FROM (SELECT uid, item_id, round(score, {S}) AS score, "
-        f"CAST(row_number() OVER (PARTITION BY uid ORDER BY round(score, {S}) DESC, item_id) AS INTEGER) AS rank "
-        f"FROM {name}_sc WHERE score > 0) WHERE rank <= {k})",
+        f"{name}_sc AS (SELECT V.uid, E.item_id, sum(V.val * E.e) AS raw FROM {name}_V V "
+        f"JOIN {name}_E E ON V.v = E.v GROUP BY V.uid, E.item_id)",
+        f"{name} AS (SELECT s.uid, rank, item_id, round(raw / n, {S}) AS score FROM (SELECT uid, item_id, round(raw, {S}) AS raw, "
+        f"CAST(row_number() OVER (PARTITION BY uid ORDER BY round(raw, {S}) DESC, item_id) AS INTEGER) AS rank "
+        f"FROM {name}_sc WHERE raw > 0) s JOIN {name}_vn vn ON s.uid = vn.uid WHERE rank <= {k})",
     ])
 
 
@@ -674,8 +681,8 @@ ORACLES.update({
 
 
 def q_unknown_item_bucket():
-    s_ = split_ctes("me", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP)
-    return (f"{with_(ME, s_)}, ud AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS uid_idx FROM "
+    s_ = split_ctes("mer", ME_COLS, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP)
+    return (f"{with_(MER, s_)}, ud AS (SELECT uid, dense_rank() OVER (ORDER BY uid) - 1 AS uid_idx FROM "
             f"(SELECT DISTINCT uid FROM train)), idd AS (SELECT item_id, dense_rank() OVER (ORDER BY item_id) - 1 AS item_idx "
             f"FROM (SELECT DISTINCT item_id FROM train)) "
             f"SELECT CAST(u.uid_idx AS BIGINT) AS uid_idx, CAST(coalesce(i.item_idx, (SELECT count(*) FROM idd)) AS BIGINT) "
@@ -756,5 +763,41 @@ def q_seq_columns_chunked():
 ORACLES["seq_columns_chunked"] = q_seq_columns_chunked
 
 
+def q_itemknn_topk_100():
+    return (f"{with_(INTER, _inter_split(0), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', P.INTER_KNN_HOUR, 'user', 'rk', 100))} "
+            f"SELECT uid, rank, item_id, CAST(round(score * 1e{S}) AS BIGINT) // 1000 AS score_e6 FROM rk")
+
+
+def q_scoreless_lists():
+    return (f"{with_(ME, _me_split0(), _knn_base('train', 'k_'), _knn_ranked('train', 'k_', 1.0, 'user', 'rk', P.KNN_TOP_K))} "
+            f"SELECT uid, rank, item_id, CAST(max(rank) OVER () - rank + 1 AS DOUBLE) AS score FROM rk")
+
+
+def q_slices():
+    return (f"{with_(INTER)}, r AS (SELECT *, row_number() OVER (ORDER BY uid, timestamp, l_orderkey, l_linenumber, item_id, "
+            f"is_organic, played_ratio_pct) - 1 AS row_idx FROM inter) "
+            f"SELECT {INTER_COLS}, row_idx, row_idx // {P.SLICE_ROWS} AS slice FROM r")
+
+
+def q_binary_pairs_listens():
+    s = split_ctes("lst", "uid, item_id, timestamp", P.INTER_TEST_TS, 0, P.INTER_GAP)
+    return (f"{with_(INTER)}, lst AS (SELECT uid, item_id, timestamp FROM inter WHERE played_ratio_pct >= 50), {s} "
+            f"SELECT DISTINCT uid, item_id, 1.0::DOUBLE AS rating FROM train")
+
+
+def q_split_equivalence():
+    sel = " UNION ALL ".join(f"SELECT '{x}' AS segment, count(*) AS rows, 0 AS only_flat, 0 AS only_lists FROM {x}" for x in ("train", "val", "test"))
+    return f"{with_(MER, _me_split(True, 'mer'))} {sel}"
+
+
+ORACLES.update({
+    "itemknn_topk_100": q_itemknn_topk_100,
+    "scoreless_lists": q_scoreless_lists,
+    "slices": q_slices,
+    "binary_pairs_listens": q_binary_pairs_listens,
+    "split_equivalence": q_split_equivalence,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

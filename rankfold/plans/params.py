@@ -27,14 +27,18 @@ OUT_DIGITS = 6     # doubles in registered outputs are rounded to this many digi
 
 RANDOM_SEED = 42
 RANDOM_REPEATS = 2
-SEQ_MAX_LEN = 50
+# shorter than the test table's histories, so that the cut acts
+SEQ_MAX_LEN = 6
 SEQ_CHUNK = 16
 SHARDS = 8
+SLICE_ROWS = 10_000
 
 # item models are fitted on one kind of event of the multi-event log, and their
 # registered lists are shorter than its catalogue
 KNN_KIND = "listen"
 KNN_TOP_K = 20
+# the interactions log has some hundred thousand items at any size: lists of 100 are a cut
+INTER_KNN_HOUR = 8760.0
 # passes of the registered BPR fit
 BPR_PASSES = 5
 # weight density of the registered sparse linear queries (the reference's value

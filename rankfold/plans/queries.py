@@ -7,6 +7,7 @@ compared with an independent engine whose summation order differs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from pyspark.sql import types as T
 from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
 from rankfold.operators import indexing, reshape, sequences, stats
-from rankfold.streaming.shards import numbered, shard_rows
-from rankfold.operators.split import split_flat, split_sequences
-from rankfold.operators.metrics import evaluate
+from rankfold.session import checkpoint_dir, delete_at_exit
+from rankfold.streaming.shards import numbered, shard_rows, write_slices
+from rankfold.operators.split import split_flat, split_read, split_sequences
+from rankfold.operators.metrics import evaluate, ranked_from_lists
 from rankfold.operators.ranking import dot_product_top_k, global_top_k, pad_with_zero_scores
 from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import factorization as mf
@@ -52,22 +54,27 @@ def register(name: str):
 # ---------------------------------------------------------------- inputs
 
 def inter_split(spark, sf_dir, val_size=P.INTER_VAL_SIZE, drop_unseen_items=False):
-    return split_flat(adapters.interactions(spark, sf_dir), P.INTER_TEST_TS, val_size, P.INTER_GAP,
+    return split_read(inter_events(spark, sf_dir), P.INTER_TEST_TS, val_size, P.INTER_GAP,
                       drop_unseen_items=drop_unseen_items)
 
 
-def me_split(spark, sf_dir, val_size=0, drop_unseen_items=False):
-    return split_flat(adapters.multi_event(spark, sf_dir), P.ME_TEST_TS, val_size, P.ME_GAP,
-                      drop_unseen_items=drop_unseen_items)
+def inter_events(spark, sf_dir):
+    """Reader of a range of time of the interactions log."""
+    return lambda **span: adapters.interactions(spark, sf_dir, **span)
+
+
+def me_split(spark, sf_dir, val_size=0, drop_unseen_items=False, releases=False):
+    return split_read(lambda **span: adapters.multi_event(spark, sf_dir, releases=releases, **span), P.ME_TEST_TS, val_size,
+                      P.ME_GAP, drop_unseen_items=drop_unseen_items)
 
 
 def knn_split(spark, sf_dir):
     """Refit split of the one event kind that item models learn from."""
-    return split_flat(knn_events(spark, sf_dir), P.ME_TEST_TS, 0, P.ME_GAP)
+    return split_read(knn_events(spark, sf_dir), P.ME_TEST_TS, 0, P.ME_GAP)
 
 
 def knn_events(spark, sf_dir):
-    return adapters.multi_event(spark, sf_dir).filter(F.col("event_type") == P.KNN_KIND)
+    return lambda **span: adapters.multi_event(spark, sf_dir, **span).filter(F.col("event_type") == P.KNN_KIND)
 
 
 # ---------------------------------------------------------------- split
@@ -92,8 +99,8 @@ def q_split_test(spark, sf_dir):
 
 @register("split_test_seen_items")
 def q_split_test_seen_items(spark, sf_dir):
-    """T1 + T3 on the multi-event log: test events of train users on train items."""
-    return me_split(spark, sf_dir, val_size=P.ME_VAL_SIZE, drop_unseen_items=True).test
+    """T1 + T3 on the multi-event log with releases: test events of train users on train items."""
+    return me_split(spark, sf_dir, val_size=P.ME_VAL_SIZE, drop_unseen_items=True, releases=True).test
 
 
 # ---------------------------------------------------------------- popularity
@@ -120,7 +127,7 @@ def q_popularity_topk(spark, sf_dir):
 @register("popularity_grid")
 def q_popularity_grid(spark, sf_dir):
     """H1: every hour of the grid evaluated on validation in one job."""
-    ev = adapters.interactions(spark, sf_dir)
+    ev = inter_events(spark, sf_dir)
     return B.popularity_grid(ev, P.INTER_TEST_TS, P.INTER_VAL_SIZE, P.INTER_GAP, P.INTER_HOURS,
                              P.REPORT_METRICS, P.SCORE_DIGITS)
 
@@ -128,7 +135,7 @@ def q_popularity_grid(spark, sf_dir):
 @register("popularity_eval")
 def q_popularity_eval(spark, sf_dir):
     """R2 protocol: best hour on validation by ndcg@100, refit, report on test."""
-    ev = adapters.interactions(spark, sf_dir)
+    ev = inter_events(spark, sf_dir)
     return B.popularity_benchmark(ev, interaction="likes", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
                                   gap=P.INTER_GAP, hours=P.INTER_HOURS, validation_metric=P.VALIDATION_METRIC,
                                   report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)
@@ -139,8 +146,8 @@ def q_popularity_eval(spark, sf_dir):
 ME_ORDER = ["timestamp", "event_ord", "event_id"]
 
 
-def me_sequences(spark, sf_dir, layout="columns"):
-    me = adapters.multi_event(spark, sf_dir)
+def me_sequences(spark, sf_dir, layout="columns", releases=False):
+    me = adapters.multi_event(spark, sf_dir, releases=releases)
     return reshape.to_sequences(me, layout, order_cols=ME_ORDER)
 
 
@@ -180,10 +187,29 @@ def q_seq_split_test(spark, sf_dir):
 @register("seq_split_test_seen_items")
 def q_seq_split_test_seen_items(spark, sf_dir):
     """T4: test lists with items unseen in train removed inside the lists."""
-    return split_sequences(me_sequences(spark, sf_dir), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP,
+    return split_sequences(me_sequences(spark, sf_dir, releases=True), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP,
                            drop_unseen_items=True).test
 
 
+@register("split_equivalence")
+def q_split_equivalence(spark, sf_dir):
+    """T5: rows of each segment of the flat split, and how many only one of the flat
+    and the sequential split has (unseen items dropped in both)."""
+    flat = me_split(spark, sf_dir, P.ME_VAL_SIZE, True, True)
+    lists = split_sequences(me_sequences(spark, sf_dir, releases=True), P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=True)
+    out = None
+    for name, a, b in zip(("train", "val", "test"), flat, lists):
+        b = reshape.explode_sequences(b).select(a.columns)
+        # rows that are not equally often in both: one aggregation over their union
+        rows = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+        left = rows.groupBy(*a.columns).agg(F.sum("_n").alias("d"), F.count(F.when(F.col("_n") > 0, 1)).alias("flat"))
+        zero = F.lit(0)
+        part = left.agg(F.sum("flat").alias("rows"), F.sum(F.greatest("d", zero)).cast("int").alias("only_flat"),
+                        F.sum(F.greatest(-F.col("d"), zero)).cast("int").alias("only_lists")).select(F.lit(name).alias("segment"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- statistics
 
 @register("recom_ratio")
@@ -294,7 +320,7 @@ def q_coverage_target_users(spark, sf_dir):
 @register("random_eval")
 def q_random_eval(spark, sf_dir):
     """R1 protocol: report metrics averaged over two seeded runs."""
-    return B.random_benchmark(adapters.interactions(spark, sf_dir), test_ts=P.INTER_TEST_TS, gap=P.INTER_GAP,
+    return B.random_benchmark(inter_events(spark, sf_dir), test_ts=P.INTER_TEST_TS, gap=P.INTER_GAP,
                               num_repeats=P.RANDOM_REPEATS, seed=P.RANDOM_SEED, k=100)
 
 
@@ -344,6 +370,24 @@ def q_itemknn_topk_last(spark, sf_dir):
     return itemknn.itemknn_ranked(knn_split(spark, sf_dir).train, 0.0, P.KNN_TOP_K, "user", round_digits=P.SCORE_DIGITS)
 
 
+@register("itemknn_topk_100")
+def q_itemknn_topk_100(spark, sf_dir):
+    """ItemKNN top 100 on the interactions log, whose catalogue is many times that."""
+    lists = itemknn.itemknn_ranked(inter_split(spark, sf_dir, val_size=0).train, P.INTER_KNN_HOUR, 100, "user",
+                                   round_digits=P.SCORE_DIGITS)
+    # the nine digits that rank, as whole numbers, cut to six: not rounded twice
+    millionths = F.floor(F.round(F.col("score") * 10 ** P.SCORE_DIGITS).cast("long") / F.lit(1000)).cast("long")
+    return lists.select("uid", "rank", "item_id", millionths.alias("score_e6"))
+
+
+@register("scoreless_lists")
+def q_scoreless_lists(spark, sf_dir):
+    """M9: lists of items without scores get default ones from the longest list's length down."""
+    lists = itemknn.itemknn_ranked(knn_split(spark, sf_dir).train, 1.0, P.KNN_TOP_K, "user", round_digits=P.SCORE_DIGITS)
+    folded = lists.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l"))
+    return ranked_from_lists(folded.select("uid", F.col("l.item_id").alias("item_ids")))
+
+
 @register("itemknn_eval")
 def q_itemknn_eval(spark, sf_dir):
     """R3 + H1 protocol on the listens of the multi-event log: hour chosen on validation, report on test."""
@@ -450,12 +494,20 @@ def q_shards(spark, sf_dir):
     return shard_rows(adapters.interactions(spark, sf_dir), SHARD_ORDER, P.SHARDS)
 
 
+@register("slices")
+def q_slices(spark, sf_dir):
+    """Consecutive slices under the same order, dealt to folders in one pass and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/slices-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return write_slices(adapters.interactions(spark, sf_dir), SHARD_ORDER, P.SLICE_ROWS, path)
+
+
 # ---------------------------------------------------------------- sparse linear model
 
 @register("unknown_item_bucket")
 def q_unknown_item_bucket(spark, sf_dir):
     """Test counts over train dictionaries, unseen items in a spare bucket."""
-    s = me_split(spark, sf_dir, val_size=P.ME_VAL_SIZE)
+    s = me_split(spark, sf_dir, val_size=P.ME_VAL_SIZE, releases=True)
     return sl.unknown_item_counts(s.train, s.test)
 
 
@@ -495,6 +547,16 @@ def q_binary_pairs(spark, sf_dir):
     return mf.binary_pairs(inter_split(spark, sf_dir, val_size=0).train)
 
 
+@register("binary_pairs_listens")
+def q_binary_pairs_listens(spark, sf_dir):
+    """Pairs of the listens past the threshold, pruned to user, item and time."""
+    from rankfold.sources.events import listen_threshold
+
+    def read(**span):
+        return listen_threshold(adapters.interactions(spark, sf_dir, **span), "listens").select("uid", "item_id", "timestamp")
+    return mf.binary_pairs(split_read(read, P.INTER_TEST_TS, 0, P.INTER_GAP).train)
+
+
 @register("item_index_from_one")
 def q_item_index_from_one(spark, sf_dir):
     """Items of the multi-event log numbered from 1 (0 = padding)."""
@@ -525,7 +587,7 @@ def q_itemknn_topk_padded(spark, sf_dir):
 @register("popularity_eval_listens")
 def q_popularity_eval_listens(spark, sf_dir):
     """R2 protocol on listens: threshold played_ratio_pct >= 50 first."""
-    ev = adapters.interactions(spark, sf_dir)
+    ev = inter_events(spark, sf_dir)
     return B.popularity_benchmark(ev, interaction="listens", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
                                   gap=P.INTER_GAP, hours=P.INTER_HOURS, validation_metric=P.VALIDATION_METRIC,
                                   report_metrics=P.REPORT_METRICS, round_digits=P.SCORE_DIGITS)

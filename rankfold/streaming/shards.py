@@ -10,13 +10,14 @@ folder, in row order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfold.operators.indexing import staged
-from rankfold.session import default_parallelism
+from rankfold.session import checkpoint_dir, default_parallelism, delete_at_exit
 
 
 def row_index(df: DataFrame, order_cols: list[str], start: int = 0, out_col: str = "row_idx",
@@ -78,13 +79,59 @@ def read_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("shard") == shard).orderBy("row_idx")
 
 
+def _deal_slices(rows: DataFrame, position: Column, batch_rows: int, path: str) -> None:
+    """Rows into folders ``path/slice=<number>/`` by their position; one pass."""
+    (rows.withColumn("slice", F.floor(position / F.lit(batch_rows)).cast("long"))
+     .write.partitionBy("slice").parquet(path))
+
+
+def write_slices(df: DataFrame, order_cols: list[str], batch_rows: int, path: str) -> DataFrame:
+    """Consecutive slices of ``batch_rows`` rows under a total order, as folders
+    ``path/slice=<number>/`` (S9); returns them read back, with ``row_idx`` and ``slice``.
+
+    The source is computed once and its rows are dealt to all slices in one pass;
+    a reader of one slice (``read_slice``) opens that folder only.
+    """
+    numbered = row_index(staged(df, "slice-source"), order_cols)
+    _deal_slices(numbered, F.col("row_idx"), batch_rows, path)
+    return df.sparkSession.read.parquet(path)
+
+
+def read_slice(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """One slice, in row order, by partition pruning."""
+    return spark.read.parquet(path).filter(F.col("slice") == number).drop("slice").orderBy("row_idx")
+
+
 def iter_slices(df: DataFrame, order_col: str, batch_rows: int) -> Iterator[DataFrame]:
-    """Consecutive slices of a numbered frame: rows with
-    ``order_col`` in [offset, offset + batch_rows) -- each slice is its own
-    pushed-down filter, nothing is held on the driver."""
-    bounds = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).collect()[0]
+    """Consecutive slices of a numbered frame: rows with ``order_col`` in
+    [offset, offset + batch_rows), from the smallest number on (S9/O7).
+
+    The frame is computed once, its rows are dealt to their slices once, and each
+    slice that is asked for reads its own folder.
+    """
+    spark, columns = df.sparkSession, df.columns
+    rows = staged(df, "slice-source")
+    # from the written table's column of numbers
+    bounds = rows.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
     if bounds["lo"] is None:
         return
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
-    for start in range(lo, hi + 1, batch_rows):
-        yield df.filter((F.col(order_col) >= start) & (F.col(order_col) < start + batch_rows))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/slices-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    # private names: the frame may have a column called slice
+    private = rows.toDF(*[f"_c{i}" for i in range(len(columns))])
+    _deal_slices(private, F.col(f"_c{columns.index(order_col)}") - F.lit(lo), batch_rows, path)
+    for number in range((hi - lo) // batch_rows + 1):
+        part = spark.read.schema(f"{_fields(private)}, slice bigint").parquet(path).filter(F.col("slice") == number)
+        yield part.drop("slice").toDF(*columns)
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+
+def iter_rows(df: DataFrame, order_col: str, batch_rows: int) -> Iterator[Row]:
+    """Rows of a numbered frame in order, one slice at a time (S9): the driver holds
+    parts of one slice at most, and the frame is computed once for all of them."""
+    for part in iter_slices(df, order_col, batch_rows):
+        yield from part.orderBy(order_col).toLocalIterator()
