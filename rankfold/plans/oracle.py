@@ -799,5 +799,71 @@ ORACLES.update({
 })
 
 
+# ---------------------------------------------------------------- sparse inverse, step by step
+
+def _inverse_ctes(train: str, density: float, steps: int = 4, tol: float = 1e-4, l2: float = 10.0) -> str:
+    """CTEs ending in ``icol(i, j, p)``, the kept columns, with ``ia`` (A) and ``ix`` (X)."""
+    def cte(name, sql):
+        return f"{name} AS MATERIALIZED ({sql})"
+
+    def largest(src, value):
+        return (f"SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY j ORDER BY round(abs({value}), 9) DESC, i) AS k "
+                f"FROM {src}) WHERE k <= (SELECT n FROM inn)")
+
+    out = [cte("ix", f"SELECT uid, item_id, CAST(count(*) AS DOUBLE) AS x FROM {train} GROUP BY uid, item_id"),
+           cte("inn", f"SELECT greatest(1, ceil({density!r} * count(DISTINCT item_id))) AS n FROM ix"),
+           cte("ia", f"SELECT a.item_id AS i, b.item_id AS j, sum(a.x * b.x) + CASE WHEN a.item_id = b.item_id THEN {l2!r} ELSE 0.0 END AS v "
+                     "FROM ix a JOIN ix b ON a.uid = b.uid GROUP BY a.item_id, b.item_id"),
+           cte("idg", "SELECT i, v AS d FROM ia WHERE i = j"),
+           cte("ir0", "SELECT i, i AS j, CAST(1 AS DOUBLE) AS r FROM idg")]
+    for t in range(1, steps + 1):
+        out += [cte(f"iz{t}", largest(f"(SELECT r.i, r.j, r.r / idg.d AS z FROM ir{t - 1} r JOIN idg ON idg.i = r.i)", "z")),
+                cte(f"iq{t}", f"SELECT a.i, z.j, sum(a.v * z.z) AS q FROM iz{t} z JOIN ia a ON a.j = z.i GROUP BY a.i, z.j"),
+                cte(f"ib{t}", f"SELECT i, j, sum(r) AS r, sum(q) AS q FROM (SELECT i, j, r, CAST(0 AS DOUBLE) AS q FROM ir{t - 1} "
+                              f"UNION ALL SELECT i, j, CAST(0 AS DOUBLE), q FROM iq{t}) GROUP BY i, j"),
+                cte(f"il{t}", f"SELECT j, sum(r * q) / sum(q * q) AS alpha FROM ib{t} GROUP BY j"),
+                cte(f"ir{t}", f"SELECT b.i, b.j, b.r - l.alpha * b.q AS r FROM ib{t} b JOIN il{t} l ON l.j = b.j WHERE abs(b.r - l.alpha * b.q) >= {tol!r}")]
+    steps_sql = " UNION ALL ".join(f"SELECT z.i, z.j, l.alpha * z.z AS p FROM iz{t} z JOIN il{t} l ON l.j = z.j" for t in range(1, steps + 1))
+    out += [cte("ip", f"SELECT i, j, sum(p) AS p FROM ({steps_sql}) GROUP BY i, j"),
+            cte("icol", f"SELECT i, j, p FROM ip WHERE i = j UNION ALL SELECT i, j, p FROM ({largest('(SELECT * FROM ip WHERE i <> j)', 'p')})")]
+    return ", ".join(out)
+
+
+def _inverse_ranked(users: str, k: int) -> str:
+    """CTE ``ilist(uid, rank, item_id, score)`` for the users of a table."""
+    return (f"isc AS (SELECT x.uid, c.j AS item_id, round(sum(x.x * -c.p / d.p), {S}) AS score FROM ix x JOIN icol c ON c.i = x.item_id AND c.i <> c.j "
+            f"JOIN icol d ON d.j = c.j AND d.i = d.j WHERE x.uid IN (SELECT uid FROM {users}) GROUP BY x.uid, c.j), "
+            f"ilist AS (SELECT * FROM (SELECT uid, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, item_id) AS INTEGER) AS rank, item_id, score "
+            f"FROM isc) WHERE rank <= {k})")
+
+
+def q_sparse_inverse_residual():
+    return (f"{with_(INTER, _inter_split(0), _inverse_ctes('train', P.SPARSE_LOG_DENSITY))}, "
+            f"q AS (SELECT a.i, c.j, sum(a.v * c.p) AS q FROM icol c JOIN ia a ON a.j = c.i GROUP BY a.i, c.j), "
+            f"res AS (SELECT j, sum(power(CASE WHEN i = j THEN 1 ELSE 0 END - q, 2)) AS residual FROM q GROUP BY j) "
+            f"SELECT j AS item_id, entries, round(residual, {D}) AS residual FROM (SELECT j, count(*) AS entries FROM icol GROUP BY j) JOIN res USING (j)")
+
+
+def q_sparse_linear_topk():
+    return (f"{with_(INTER, _inter_split(0), _inverse_ctes('train', P.SPARSE_LOG_DENSITY), _inverse_ranked('test', 150))}, "
+            f"fill AS (SELECT uid, CAST(r.range AS INTEGER) AS rank, (SELECT min(item_id) FROM ix) AS item_id, CAST(-1 AS DOUBLE) AS score "
+            f"FROM (SELECT DISTINCT uid FROM test) u, range(1, 151) r WHERE r.range > (SELECT count(*) FROM ilist l WHERE l.uid = u.uid)) "
+            f"SELECT uid, rank, item_id, CAST(floor(CAST(round(score * 1e{S}) AS BIGINT) / 100000.0) AS BIGINT) AS score_e4 "
+            f"FROM (SELECT * FROM ilist UNION ALL SELECT * FROM fill)")
+
+
+def q_sparse_linear_eval():
+    m = metric_ctes("ilist", "test", "SELECT count(DISTINCT item_id) FROM lm", P.REPORT_METRICS, [], shared=False)
+    return (f"{with_(ME, _me_split0(), _inverse_ctes('train', P.SPARSE_DENSITY), _inverse_ranked('test', 150), m)} "
+            f"SELECT metric, k, round(value, {D}) AS value FROM rep")
+
+
+ORACLES.update({
+    "sparse_inverse_residual": q_sparse_inverse_residual,
+    "sparse_linear_topk": q_sparse_linear_topk,
+    "sparse_linear_eval": q_sparse_linear_eval,
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: fn() for name, fn in ORACLES.items()}

@@ -44,6 +44,8 @@ BPR_PASSES = 5
 # weight density of the registered sparse linear queries (the reference's value
 # is meant for millions of items; here it would leave one weight an item)
 SPARSE_DENSITY = 0.1
+# on the interactions log (thousands of items at sf0.01)
+SPARSE_LOG_DENSITY = 0.004
 
 
 def train_end(test_ts: int, val_size: int, gap: int) -> int:

@@ -26,6 +26,7 @@ from rankfold.recommenders.random import random_ranked
 from rankfold.recommenders import factorization as mf
 from rankfold.recommenders import itemknn
 from rankfold.recommenders import popularity as pop
+from rankfold.recommenders import sparse_inverse
 from rankfold.recommenders import sparse_linear as sl
 from rankfold.sources import adapters
 
@@ -513,9 +514,18 @@ def q_unknown_item_bucket(spark, sf_dir):
 
 @register("sparse_linear_topk")
 def q_sparse_linear_topk(spark, sf_dir):
-    """Per-item ridge weights on the density's neighbours, top 150 for the test users."""
-    s = knn_split(spark, sf_dir)
-    return sl.sparse_linear_ranked(s.train, s.test.select("uid"), 150, P.SCORE_DIGITS, density=P.SPARSE_DENSITY)
+    """Sparse inverse on the interactions log, lists of 150 for the test users, padded."""
+    s = inter_split(spark, sf_dir, val_size=0)
+    lists = sparse_inverse.SparseInverse(s.train, density=P.SPARSE_LOG_DENSITY).ranked(s.test.select("uid"), 150, P.SCORE_DIGITS, pad=True)
+    # the nine digits that rank, as whole numbers, cut to four: not rounded twice
+    cut = F.floor(F.round(F.col("score") * 10 ** P.SCORE_DIGITS).cast("long") / F.lit(100_000)).cast("long")
+    return lists.select("uid", "rank", "item_id", cut.alias("score_e4"))
+
+
+@register("sparse_inverse_residual")
+def q_sparse_inverse_residual(spark, sf_dir):
+    """Entries of every item's column of the sparse inverse, and its squared residual."""
+    return sparse_inverse.SparseInverse(inter_split(spark, sf_dir, val_size=0).train, density=P.SPARSE_LOG_DENSITY).residuals()
 
 
 @register("sparse_linear_eval")
