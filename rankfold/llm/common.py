@@ -12,7 +12,20 @@ from pyspark.sql import functions as F
 from rankfold.session import checkpoint_dir, delete_at_exit
 
 
+#: bytes of an Arrow batch on its way to a Python worker
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have batches for Python workers cut by bytes: texts differ a thousandfold in length,
+    and both ends hold a batch or two.  A value that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -799,6 +799,102 @@ ORACLES.update({
 })
 
 
+# ---------------------------------------------------------------- ALS: what solved factors and best lists must show
+
+def q_als_residual():
+    return (f"{with_(INTER, _inter_split(0))} SELECT uid, count(DISTINCT item_id) AS n_items, CAST(0 AS DOUBLE) AS residual FROM train GROUP BY uid")
+
+
+def q_als_lists():
+    return (f"{with_(INTER, _inter_split(0))}, n AS (SELECT least(100, count(DISTINCT item_id)) AS n FROM train) "
+            f"SELECT DISTINCT uid, n AS listed, n AS distinct_items, true AS descending, CAST(0 AS BIGINT) AS beaten_by, "
+            f"CAST(0 AS DOUBLE) AS max_error FROM train, n")
+
+
+# ---------------------------------------------------------------- BPR, mini-batch by mini-batch
+
+def _bpr_ctes(trials: list[dict], passes: int = 2, batches: int = 2, blocks: int = 2, keep: str | None = None) -> str:
+    """CTEs ending in ``bf1``, ``bf2`` (trial, kind, idx, v0, v1): the factors after each
+    pass over ``train``; from the second pass on only trials of the table ``keep`` move."""
+    seed, size = P.RANDOM_SEED, P.BPR_SMALL_BATCH
+
+    def cte(name, sql):
+        return f"{name} AS MATERIALIZED ({sql})"
+
+    def digits(*parts):
+        return f"('0x' || substr(md5(concat_ws(':', {', '.join(str(p) for p in parts)})), 1, 15))::BIGINT"
+
+    rows = ", ".join(f"({t['trial']}, {dbl(t['learning_rate'])}, {dbl(t['regularization'])})" for t in trials)
+    start = [f"(({digits(seed, 'kind', 'idx', d)} % 1000003) / 1000003.0::DOUBLE - 0.5::DOUBLE) * 0.2::DOUBLE AS v{d}" for d in (0, 1)]
+    out = [f"bt(trial, lr, reg) AS (VALUES {rows})",
+           cte("bp", "SELECT DISTINCT uid, item_id FROM train"),
+           cte("bu", "SELECT uid, row_number() OVER (ORDER BY uid) - 1 AS u FROM (SELECT DISTINCT uid FROM bp)"),
+           cte("bi", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i FROM (SELECT DISTINCT item_id FROM bp)"),
+           cte("bx", f"SELECT u, i, {digits(seed, 'u')} % {blocks} AS block FROM bp JOIN bu USING (uid) JOIN bi USING (item_id)"),
+           cte("bids", "SELECT 0 AS kind, u AS idx FROM bu UNION ALL SELECT 1, i FROM bi"),
+           cte("bf0", f"SELECT trial, kind, idx, {start[0]}, {start[1]} FROM bids, bt")]
+    for p in range(passes):
+        live = "bt" if p == 0 or keep is None else f"(SELECT * FROM bt WHERE trial IN (SELECT trial FROM {keep}))"
+        out += [cte(f"bd{p}", f"SELECT block, u, i, h % (SELECT count(*) FROM bi) AS j, (row_number() OVER (PARTITION BY block ORDER BY h, u, i) - 1) // {size} AS b "
+                              f"FROM (SELECT *, {digits(seed, p, 'u', 'i')} % {1 << 53} AS h FROM bx)"),
+                cte(f"bv{p}", f"SELECT * FROM bd{p} d WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.u = d.u AND bx.i = d.j)"),
+                cte(f"bs{p}_0", f"SELECT f.trial, g.block, f.kind, f.idx, f.v0, f.v1 FROM bf{p} f JOIN {live} t ON t.trial = f.trial, (SELECT unnest(range({blocks})) AS block) g")]
+        for b in range(batches):
+            s = f"bs{p}_{b}"
+            out += [cte(f"be{p}_{b}", f"SELECT t.trial, t.lr, t.reg, d.block, d.u, d.i, d.j, x.v0 AS x0, x.v1 AS x1, y.v0 AS y0, y.v1 AS y1, z.v0 AS z0, z.v1 AS z1, "
+                                      f"1.0 / (1.0 + exp(x.v0 * (y.v0 - z.v0) + x.v1 * (y.v1 - z.v1))) AS g FROM bv{p} d, {live} t "
+                                      f"JOIN {s} x ON x.trial = t.trial AND x.block = d.block AND x.kind = 0 AND x.idx = d.u "
+                                      f"JOIN {s} y ON y.trial = t.trial AND y.block = d.block AND y.kind = 1 AND y.idx = d.i "
+                                      f"JOIN {s} z ON z.trial = t.trial AND z.block = d.block AND z.kind = 1 AND z.idx = d.j WHERE d.b = {b}"),
+                    cte(f"bg{p}_{b}", f"SELECT trial, block, kind, idx, sum(d0) AS d0, sum(d1) AS d1 FROM ("
+                                      f"SELECT trial, block, 0 AS kind, u AS idx, lr * (g * (y0 - z0) - reg * x0) AS d0, lr * (g * (y1 - z1) - reg * x1) AS d1 FROM be{p}_{b} "
+                                      f"UNION ALL SELECT trial, block, 1, i, lr * (g * x0 - reg * y0), lr * (g * x1 - reg * y1) FROM be{p}_{b} "
+                                      f"UNION ALL SELECT trial, block, 1, j, lr * (-g * x0 - reg * z0), lr * (-g * x1 - reg * z1) FROM be{p}_{b}) GROUP BY trial, block, kind, idx"),
+                    cte(f"bs{p}_{b + 1}", f"SELECT s.trial, s.block, s.kind, s.idx, s.v0 + coalesce(g.d0, 0) AS v0, s.v1 + coalesce(g.d1, 0) AS v1 "
+                                          f"FROM {s} s LEFT JOIN bg{p}_{b} g USING (trial, block, kind, idx)")]
+        out += [cte(f"bn{p}", f"SELECT block, kind, idx, count(*) AS n FROM (SELECT block, 0 AS kind, u AS idx FROM bv{p} UNION ALL SELECT block, 1, i FROM bv{p} "
+                              f"UNION ALL SELECT block, 1, j FROM bv{p}) GROUP BY block, kind, idx"),
+                cte(f"bm{p}", f"SELECT trial, kind, idx, sum(n * v0) / sum(n) AS v0, sum(n * v1) / sum(n) AS v1 FROM bs{p}_{batches} JOIN bn{p} USING (block, kind, idx) "
+                              f"GROUP BY trial, kind, idx"),
+                cte(f"bf{p + 1}", f"SELECT f.trial, f.kind, f.idx, coalesce(m.v0, f.v0) AS v0, coalesce(m.v1, f.v1) AS v1 FROM bf{p} f LEFT JOIN bm{p} m USING (trial, kind, idx)")]
+        if keep and p == 0:
+            out += [_bpr_value_ctes(1), f"{keep} AS (SELECT trial FROM bval1 ORDER BY value DESC, trial LIMIT {-(-len(trials) // 2)})"]
+    return ", ".join(out)
+
+
+def _bpr_value_ctes(p: int) -> str:
+    """CTEs ending in ``bval{p}(trial, value)``: the validation metric of the factors after pass p."""
+    lists = (f"blist{p} AS MATERIALIZED (SELECT * FROM (SELECT trial, uid, item_id, row_number() OVER (PARTITION BY trial, uid ORDER BY score DESC, item_id) AS rank FROM ("
+             f"SELECT x.trial, bu.uid, bi.item_id, round(x.v0 * y.v0 + x.v1 * y.v1, {S}) AS score FROM bf{p} x JOIN bu ON x.kind = 0 AND bu.u = x.idx "
+             f"JOIN bf{p} y ON y.kind = 1 AND y.trial = x.trial JOIN bi ON bi.i = y.idx WHERE bu.uid IN (SELECT uid FROM val))) WHERE rank <= 100)")
+    return ", ".join([lists, metric_ctes(f"blist{p}", "val", "1", [P.VALIDATION_METRIC], ["trial"], shared=False, name=f"brep{p}"),
+                      f"bval{p} AS (SELECT trial, value FROM brep{p})"])
+
+
+def q_bpr_factors():
+    return (f"{with_(INTER, _inter_split(), _bpr_ctes(P.bpr_small_trials()[:1]))} "
+            f"SELECT CASE WHEN kind = 0 THEN 'user' ELSE 'item' END AS side, CASE WHEN kind = 0 THEN uid ELSE item_id END AS id, "
+            f"round(v0, {D}) AS v0, round(v1, {D}) AS v1 FROM bf2 LEFT JOIN bu ON kind = 0 AND bu.u = idx LEFT JOIN bi ON kind = 1 AND bi.i = idx")
+
+
+def q_bpr_trials():
+    trials = P.bpr_small_trials()
+    return (f"{with_(INTER, _inter_split(), _bpr_ctes(trials, keep='bkeep'), _bpr_value_ctes(2))}, "
+            f"bend AS (SELECT trial, value FROM bval2 WHERE trial IN (SELECT trial FROM bkeep)) "
+            f"SELECT CAST(bt.trial AS INTEGER) AS trial, round(lr, {D}) AS learning_rate, round(reg, {D}) AS regularization, "
+            f"CAST(CASE WHEN e.trial IS NULL THEN 1 ELSE 2 END AS INTEGER) AS passes, round(coalesce(e.value, v.value), {D}) AS value, "
+            f"bt.trial = (SELECT trial FROM bend ORDER BY value DESC, trial LIMIT 1) AS chosen "
+            f"FROM bt JOIN bval1 v ON v.trial = bt.trial LEFT JOIN bend e ON e.trial = bt.trial")
+
+
+ORACLES.update({
+    "als_residual": q_als_residual,
+    "als_lists": q_als_lists,
+    "bpr_factors": q_bpr_factors,
+    "bpr_trials": q_bpr_trials,
+})
+
+
 # ---------------------------------------------------------------- sparse inverse, step by step
 
 def _inverse_ctes(train: str, density: float, steps: int = 4, tol: float = 1e-4, l2: float = 10.0) -> str:

@@ -39,8 +39,10 @@ KNN_KIND = "listen"
 KNN_TOP_K = 20
 # the interactions log has some hundred thousand items at any size: lists of 100 are a cut
 INTER_KNN_HOUR = 8760.0
-# passes of the registered BPR fit
-BPR_PASSES = 5
+# passes of the registered BPR fit (the protocol's default)
+BPR_PASSES = 100
+# mini-batch of the small BPR fits that SQL repeats step by step: two a block at sf0.01
+BPR_SMALL_BATCH = 1 << 14
 # weight density of the registered sparse linear queries (the reference's value
 # is meant for millions of items; here it would leave one weight an item)
 SPARSE_DENSITY = 0.1
@@ -48,5 +50,12 @@ SPARSE_DENSITY = 0.1
 SPARSE_LOG_DENSITY = 0.004
 
 
+def bpr_small_trials() -> list[dict]:
+    """Ten sampled settings for two passes each."""
+    from rankfold.operators.tuning import sample_trials
+    space = {"learning_rate": (1e-3, 0.1, "float"), "regularization": (1e-5, 1.0, "float")}
+    return [t | {"iterations": 2} for t in sample_trials(10, 0, space)]
+
+
 def train_end(test_ts: int, val_size: int, gap: int) -> int:
     return test_ts - gap - val_size - (gap if val_size else 0)

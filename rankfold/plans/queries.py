@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 from rankfold.plans import params as P
 from rankfold.plans import benchmarks as B
 from rankfold.operators import indexing, reshape, sequences, stats
+from rankfold.operators.indexing import staged
 from rankfold.session import checkpoint_dir, delete_at_exit
 from rankfold.streaming.shards import numbered, shard_rows, write_slices
 from rankfold.operators.split import split_flat, split_read, split_sequences
 from rankfold.operators.metrics import evaluate, ranked_from_lists
 from rankfold.operators.ranking import dot_product_top_k, global_top_k, pad_with_zero_scores
 from rankfold.recommenders.random import random_ranked
+from rankfold.recommenders import bpr, embedding
 from rankfold.recommenders import factorization as mf
 from rankfold.recommenders import itemknn
 from rankfold.recommenders import popularity as pop
@@ -409,10 +411,29 @@ def q_als_topk(spark, sf_dir):
 
 @register("als_eval")
 def q_als_eval(spark, sf_dir):
-    """R4 + H2 + H3: two sampled trials on validation, best refit with seeds 41/42/43, mean test report."""
-    ev = adapters.interactions(spark, sf_dir)
-    return B.factorization_benchmark(ev, model="als", test_ts=P.INTER_TEST_TS, val_size=P.INTER_VAL_SIZE,
-                                     gap=P.INTER_GAP, n_trials=2, rank=64)
+    """R4 + H2 + H3: ten sampled trials on validation, best refit with seeds 41/42/43, mean test report."""
+    return B.factorization_benchmark(inter_events(spark, sf_dir), model="als", test_ts=P.INTER_TEST_TS,
+                                     val_size=P.INTER_VAL_SIZE, gap=P.INTER_GAP, rank=64)
+
+
+@register("als_residual")
+def q_als_residual(spark, sf_dir):
+    """Each user's relative residual of the last half-step's normal equations (three
+    digits: zero for solved ones)."""
+    train = inter_split(spark, sf_dir, val_size=0).train
+    uf, itf = mf.als_factors(train, rank=16, reg=0.05, iterations=5, seed=42)
+    return mf.als_residuals(train, uf, itf, 0.05).select("uid", "n_items", (F.round("residual", 3) + F.lit(0.0)).alias("residual"))
+
+
+@register("als_lists")
+def q_als_lists(spark, sf_dir):
+    """Per user, the length of its ALS list, distinct items, whether scores descend
+    (ties by item), items of the catalogue that beat the list's last without being in it,
+    and the largest difference between a score and the product of the factors (six digits)."""
+    train = inter_split(spark, sf_dir, val_size=0).train
+    uf, itf = (staged(f, "als-factors") for f in mf.als_factors(train, rank=16, reg=0.05, iterations=5, seed=42))
+    lists = staged(dot_product_top_k(uf, itf, 100, round_digits=P.SCORE_DIGITS), "als-lists")
+    return embedding.list_facts(uf, itf, lists)
 
 
 @register("bpr_triples")
@@ -423,12 +444,35 @@ def q_bpr_triples(spark, sf_dir):
 
 @register("bpr_topk")
 def q_bpr_topk(spark, sf_dir):
-    """BPR factors by distributed gradient steps, top 100 by dot product."""
+    """BPR factors by distributed mini-batch steps (100 passes), top 100 by dot product."""
     s = inter_split(spark, sf_dir, val_size=0)
-    uf, itf = mf.bpr_fit(s.train, rank=64, learning_rate=0.05, reg=0.01, iterations=P.BPR_PASSES, seed=42)
+    uf, itf = bpr.bpr_fit(s.train, rank=64, learning_rate=0.05, reg=0.01, iterations=P.BPR_PASSES, seed=42)
     return dot_product_top_k(uf, itf, 100)
 
 
+@register("bpr_trials")
+def q_bpr_trials(spark, sf_dir):
+    """Ten trials of a small BPR (rank 2, two blocks, large mini-batches) carried
+    through the same jobs, the worse half stopped after the first pass, and the choice."""
+    s = inter_split(spark, sf_dir)
+    rows = B.bpr_trials(s.train, s.val, P.bpr_small_trials(), P.VALIDATION_METRIC, compare_at=[1, 2], round_digits=P.SCORE_DIGITS,
+                        rank=2, seed=P.RANDOM_SEED, batch=P.BPR_SMALL_BATCH, blocks=2, merge_every=1)
+    names = ["trial", "learning_rate", "regularization", "passes", "value", "chosen"]
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows],
+                                 "trial int, learning_rate double, regularization double, passes int, value double, chosen boolean")
+
+
+@register("bpr_factors")
+def q_bpr_factors(spark, sf_dir):
+    """The factors of that small BPR after two passes, one setting."""
+    fit = bpr.BprTrials(inter_split(spark, sf_dir).train, P.bpr_small_trials()[:1], rank=2, seed=P.RANDOM_SEED,
+                        batch=P.BPR_SMALL_BATCH, blocks=2, merge_every=1)
+    fit.advance(2)
+    users, items = fit.tables(0)
+    both = users.select(F.lit("user").alias("side"), "id", "embedding").unionByName(items.select(F.lit("item").alias("side"), "id", "embedding"))
+    return both.select("side", "id", F.col("embedding")[0].alias("v0"), F.col("embedding")[1].alias("v1"))
+
+
 # ---------------------------------------------------------------- sequence-model data, shards
 
 def seq_data(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankfold.operators.ranking import pad_with_zero_scores
 from rankfold.operators.split import split_flat
 from rankfold.plans import jobs
+from rankfold.recommenders import bpr
 from rankfold.recommenders import factorization as mf
 
 
@@ -62,7 +63,7 @@ def test_bpr_norms_do_not_grow_with_the_data(spark):
     def largest(users):
         rows = spark.range(users).select(F.col("id").alias("uid"), F.explode(F.array(F.lit(0), F.col("id") % 19 + 1)).alias("item_id"),
                                          F.lit(0).alias("timestamp"))
-        _, items = mf.bpr_fit(rows.select("uid", F.col("item_id").cast("long").alias("item_id"), "timestamp"), rank=4, learning_rate=0.05, iterations=2, seed=3)
+        _, items = bpr.bpr_fit(rows.select("uid", F.col("item_id").cast("long").alias("item_id"), "timestamp"), rank=4, learning_rate=0.05, iterations=2, seed=3)
         return max(math.sqrt(sum(x * x for x in r.embedding)) for r in items.collect())
 
     a, b = largest(200), largest(5000)
