@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import received, ship, stored
+from rankfold.llm.common import received, returning_memory, ship, stored
 from rankfold.llm.text import text_buffer
 
 #: consecutive words that make a window
@@ -183,10 +183,20 @@ def _scanner(broadcast, keep: list[str], text: str):
     return run
 
 
+def _after(first, second):
+    """Both functions over batches in one worker."""
+
+    def run(batches):
+        yield from second(first(batches))
+
+    return run
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ("doc_id", "text"),
-                  text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+                  text: str = "text", max_words: int = MAX_WORDS, then=None) -> DataFrame:
     """The kept columns and, per row: ``n_words``, the ``longest`` match in words,
-    ``hits`` (disjoint spans of word positions) and the ``items`` found."""
+    ``hits`` (disjoint spans of word positions) and the ``items`` found.  ``then``, a
+    function over these batches and its fields, goes on with them in the same task."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     # a word takes two characters with its separator, so this is no fewer than the words
@@ -198,9 +208,13 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     for g in range(groups):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()
         automaton = SuffixAutomaton([(r["item_id"], item_words(r["text"].encode())) for r in rows], window)
-        out = out.mapInArrow(_scanner(ship(spark, automaton), keep, text), f"{fields}, {_FOUND}")
+        scan = _scanner(ship(spark, automaton), keep, text)
         if g + 1 < groups:
-            out = stored(out, "decontaminate")
+            out = stored(out.mapInArrow(returning_memory(scan), f"{fields}, {_FOUND}"), "decontaminate")
+        elif then is None:
+            out = out.mapInArrow(returning_memory(scan), f"{fields}, {_FOUND}")
+        else:
+            out = out.mapInArrow(returning_memory(_after(scan, then[0])), then[1])
     return out
 
 
@@ -253,8 +267,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """The documents without their hit spans; those with more than ``max_coverage``
     of their words hit are removed.  ``n_chars`` follows the new text."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    found = find_overlaps(docs, benchmark, window, keep=tuple(names))
-    return found.mapInArrow(_cutter(names, max_coverage), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    fields = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    return find_overlaps(docs, benchmark, window, keep=tuple(names), then=(_cutter(names, max_coverage), fields))
 
 
 ORACLE = r"""

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import rows_of, stored
+from rankfold.llm.common import returning_memory, rows_of, stored
 from rankfold.llm.text import WORD, Powers, mix, shingles, text_buffer, text_chunks, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -114,10 +114,10 @@ def _summed(batches):
 def slot_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
     """idf per slot over all documents (SLOTS numbers, whatever the corpus)."""
     schema = "block int, task int, counts binary"
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies, schema)
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(returning_memory(_frequencies), schema)
     for spread in (64, 1):  # in two steps: a row never gathers more than a share of the tasks
         parts = (parts.groupBy("block", F.pmod("task", F.lit(spread)).alias("task")).agg(F.collect_list("counts").alias("parts"))
-                 .mapInArrow(_summed, schema))
+                 .mapInArrow(returning_memory(_summed), schema))
     df = np.zeros((SLOT_BLOCKS, SLOTS // SLOT_BLOCKS))
     for r in parts.collect():
         df[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
@@ -314,7 +314,7 @@ def _links(pairs: DataFrame, texts: DataFrame, table) -> DataFrame:
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verifier(table), "a binary, b binary, sim double")
+    return both.mapInArrow(returning_memory(_verifier(table)), "a binary, b binary, sim double")
 
 
 def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
@@ -323,7 +323,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     # SLOTS numbers: the bound that makes this broadcast safe
     table = docs.sparkSession.sparkContext.broadcast(slot_weights(rows).tobytes())
     id_type = dict(rows.dtypes)["doc_id"]
-    signed = stored(rows.mapInArrow(_signer(table), f"key binary, doc_id {id_type}, bands array<bigint>, sig binary"), "dup-signatures")
+    signed = stored(rows.mapInArrow(returning_memory(_signer(table)), f"key binary, doc_id {id_type}, bands array<bigint>, sig binary"), "dup-signatures")
     entries = signed.where(F.size("bands") > 0).dropDuplicates(["key"])
 
     buckets = stored(entries.select("key", F.posexplode("bands").alias("band", "bucket")), "dup-buckets")
@@ -366,7 +366,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
                .where("x != y").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")))
     inside = stored(open_.join(parted, "bucket"), "dup-inside")
     sets = (texts.join(inside.select("key").distinct(), "key", "left_semi")
-            .mapInArrow(_sets(table), "key binary, elements binary, weights binary"))
+            .mapInArrow(returning_memory(_sets(table)), "key binary, elements binary, weights binary"))
     sided = (inside.join(entries.select("key", "sig"), "key").join(sets, "key")
              .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
              # a cell per pair of parts; side 1 and 2: of different parts, 0: within one
@@ -375,7 +375,7 @@ def classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
                      F.struct("key", "comp", "sig", "elements", "weights",
                               F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2).alias("side")).alias("m")))
     cells = sided.groupBy("bucket", "band", "p", "q").agg(F.collect_list("m").alias("members"))
-    more = cells.mapInArrow(_compared(similar), "a binary, b binary").distinct()
+    more = cells.mapInArrow(returning_memory(_compared(similar)), "a binary, b binary").distinct()
     comp = merged(comp, stored(more, "dup-links"))
 
     ids = signed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))

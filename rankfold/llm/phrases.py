@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import returning_memory, stored
 from rankfold.llm.text import LOWER, Powers, class_table, mix, prefix_hash, span_hash, spans, text_chunks
 
 #: longest phrase in words, occurrences of a phrase, factor of the score, phrases a language
@@ -177,7 +177,7 @@ def _counter(sizes: range, broadcast=None):
 
 def _frequent(docs: DataFrame, sizes: range, min_count: int, broadcast=None) -> DataFrame:
     """Frequent fingerprints of runs of these sizes, written once."""
-    counted = docs.mapInArrow(_counter(sizes, broadcast), _COUNTED)
+    counted = docs.mapInArrow(returning_memory(_counter(sizes, broadcast)), _COUNTED)
     rows = counted.groupBy("fingerprint", "check").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"))
     return stored(rows.where((F.col("n") >= min_count) | (F.col("check") < 0)), "phrase-fingerprints")
 
@@ -257,11 +257,11 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     # no more than the runs of one text
     wanted = runs.groupBy("pointer").agg(F.collect_list(F.struct("fingerprint", "check")).alias("wanted"))
     fields = "doc_id bigint, text string, salt bigint, pointer int, lang string"
-    near = docs.select("doc_id", "text", "salt", "pointer", "lang").mapInArrow(_pointed(_bits(runs.select("pointer"))), fields)
+    near = docs.select("doc_id", "text", "salt", "pointer", "lang").mapInArrow(returning_memory(_pointed(_bits(runs.select("pointer")))), fields)
     # of equal texts in one language, one
     texts = near.groupBy("pointer", "salt", "lang", "text").agg(F.min("doc_id").alias("doc_id"))
     # a text in two languages has rows for both; a fingerprint holds its language and fits one
-    made = texts.join(wanted, "pointer").select("doc_id", "text", "salt", "lang", "wanted").mapInArrow(_maker, _MADE)
+    made = texts.join(wanted, "pointer").select("doc_id", "text", "salt", "lang", "wanted").mapInArrow(returning_memory(_maker), _MADE)
     phrases = runs.join(made, ["fingerprint", "check"]).select("lang", "phrase", "size", "n", "doc_id", "word")
     words = short.where("check < 0").join(docs.select("lang", F.col("salt").alias("fingerprint")).distinct(), "fingerprint")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("phrase", "string"), ("size", "int"))]

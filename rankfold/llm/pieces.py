@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rankfold.llm.common import received, ship
+from rankfold.llm.common import received, returning_memory, ship
 from rankfold.llm.text import text_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -216,7 +216,7 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "te
     automaton = Automaton(vocabulary or Vocabulary.load())
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
     fields += ", ids array<int>, n_tokens bigint" + ", exact boolean" * check
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_encoder(ship(docs.sparkSession, automaton), list(keep), text, check), fields)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(returning_memory(_encoder(ship(docs.sparkSession, automaton), list(keep), text, check)), fields)
 
 
 def _decoder(broadcast, keep: list[str], ids: str):
@@ -233,4 +233,4 @@ def decode(tokens: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids: str = "i
     """The kept columns with the ``text`` that the ids stand for (null ids: null)."""
     automaton = Automaton(vocabulary or Vocabulary.load())
     fields = ", ".join(f"`{c}` {t}" for c, t in tokens.select(*keep).dtypes) + ", text string"
-    return tokens.select(*dict.fromkeys([*keep, ids])).mapInArrow(_decoder(ship(tokens.sparkSession, automaton), list(keep), ids), fields)
+    return tokens.select(*dict.fromkeys([*keep, ids])).mapInArrow(returning_memory(_decoder(ship(tokens.sparkSession, automaton), list(keep), ids)), fields)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import returning_memory, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: distinct seeds that a pattern needs, confidence to be accepted, rounds of scoring
@@ -189,7 +189,7 @@ def scan(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     rows = docs.select(*dict.fromkeys([*keep, "text"])).withColumn("row", F.monotonically_increasing_id())
     names = [*keep, "row"]
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*names).dtypes)
-    return stored(rows.mapInArrow(_scanner(names), f"{fields}, base {_SPANS}, seen {_SEEN}"), "pii-scan")
+    return stored(rows.mapInArrow(returning_memory(_scanner(names)), f"{fields}, base {_SPANS}, seen {_SEEN}"), "pii-scan")
 
 
 def learn(scanned: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -267,4 +267,4 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets."""
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     found = find(docs, tuple(names)).drop("base")
-    return found.mapInArrow(_redactor(names), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return found.mapInArrow(returning_memory(_redactor(names)), "doc_id bigint, text string, lang string, source string, n_chars bigint")

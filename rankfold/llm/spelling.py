@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import returning_memory, stored
 from rankfold.llm.text import text_buffer
 
 #: code points and occurrences that make a word
@@ -89,7 +89,7 @@ def _counted(batches):
 
 def vocabulary(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """(word, n): the words of all texts with at least ``min_count`` occurrences."""
-    counted = docs.select("doc_id", "text").mapInArrow(_counted, "word string, n bigint")
+    counted = docs.select("doc_id", "text").mapInArrow(returning_memory(_counted), "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
@@ -286,7 +286,7 @@ def near_pairs(words: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
         parts = stored(_halves(again.where("hi - lo > 1")), "spelling-parts")
     for r in ready:
         parts = parts.unionByName(r)
-    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(_pairs, "word string, near string, near_n bigint")
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(returning_memory(_pairs), "word string, near string, near_n bigint")
 
 
 def group(words: DataFrame, part_words: int = PART_WORDS) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import id_bucket, received, ship
+from rankfold.llm.common import id_bucket, received, returning_memory, ship
 from rankfold.llm.text import LOWER, WORD, Powers, mix, prefix_hash, span_hash, spans, text_chunks
 
 WORD_SLOTS, CHAR_SLOTS = 1 << 14, 1 << 15
@@ -278,7 +278,7 @@ def training_rows(docs: DataFrame, known: DataFrame, sample_docs: int = SAMPLE_D
 
 def training_windows(sample: DataFrame, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
     """(doc_id, toxic, piece) of the sampled rows."""
-    return sample.mapInArrow(_sampled(sample_windows), "doc_id bigint, toxic int, piece string")
+    return sample.mapInArrow(returning_memory(_sampled(sample_windows)), "doc_id bigint, toxic int, piece string")
 
 
 def _featured(broadcast):
@@ -299,7 +299,7 @@ def _featured(broadcast):
 def training_features(sample: DataFrame, model: Network) -> DataFrame:
     """(doc_id, toxic, top, mean) of the sampled rows, over all windows of their texts."""
     rows = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic", "text")
-    return rows.mapInArrow(_featured(ship(sample.sparkSession, model)), "doc_id bigint, toxic int, top double, mean double")
+    return rows.mapInArrow(returning_memory(_featured(ship(sample.sparkSession, model))), "doc_id bigint, toxic int, top double, mean double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS) -> Network:
@@ -440,7 +440,7 @@ def score(docs: DataFrame, model: Network, keep: tuple[str, ...] = ("doc_id",))
     """The kept columns with ``score`` and ``predicted``; ``text`` is what is scored."""
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return rows.mapInArrow(_scorer(ship(docs.sparkSession, model), list(keep)), f"{fields}, score double, predicted int")
+    return rows.mapInArrow(returning_memory(_scorer(ship(docs.sparkSession, model), list(keep))), f"{fields}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
