@@ -60,6 +60,13 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("--dst_dir", default=None)
     t.add_argument("--file_name", default="multi_event")
 
+    e = sub.add_parser("evaluate")
+    e.add_argument("--ranked", required=True, help="Parquet of uid, rank, item_id and, if at hand, score")
+    e.add_argument("--targets", required=True, help="Parquet of uid, item_id: the held-out events")
+    e.add_argument("--items", default=None, help="Parquet of item_id: all items, for coverage")
+    e.add_argument("--metrics", nargs="+", default=C.METRICS)
+    e.add_argument("--out", default=None)
+
     a = p.parse_args(argv)
     from rankfold.plans import jobs
     from rankfold.session import get_session
@@ -82,6 +89,9 @@ def main(argv: list[str] | None = None) -> None:
                 out = f"{a.out.rstrip('/')}/{a.model}_{size}_{inter}" if a.out else None
                 rep = jobs.run_benchmark(spark, a.model, a.data_dir, size, inter, out_path=out, **kw)
                 print(json.dumps({"size": size, "interaction": inter, "metrics": _report_dict(rep)}, indent=2))
+    elif a.cmd == "evaluate":
+        rep = jobs.evaluate_lists(spark, a.ranked, a.targets, a.metrics, a.items, a.out)
+        print(json.dumps(_report_dict(rep), indent=2))
     elif a.cmd == "multievent":
         print(jobs.make_multievent(spark, a.src_dir, a.dst_dir, a.file_name))
     elif a.cmd == "sequential":

@@ -102,24 +102,30 @@ def map_ids(df: DataFrame, col: str, dictionary: DataFrame, idx_col: str, *, str
     return j.select(*cols)
 
 
-def map_ids_in_lists(seq: DataFrame, list_col: str, dictionary: DataFrame, idx_col: str) -> DataFrame:
+def map_ids_in_lists(seq: DataFrame, list_col: str, dictionary: DataFrame, idx_col: str, *,
+                     max_rows_per_key: int | None = None) -> DataFrame:
     """Strict replacement inside list elements, order kept.
 
-    posexplode -> equi join with the dictionary -> regroup by user in
-    position order.  Scales with the number of list elements; no literal map.
+    posexplode -> equi join with the dictionary, an item that many lists hold spread
+    over sub-keys -> regroup by row in position order.  Histories cut into bounded
+    rows (``chunk``) are regrouped chunk by chunk, so neither a hot item nor a hot
+    user ends in one task.  Scales with the number of list elements; no literal map.
     """
+    from rankfold.operators.skew import DEFAULT_MAX_ROWS_PER_KEY, salted_join
+
     key = dictionary.columns[0]
-    others = [c for c in seq.columns if c not in ("uid", list_col)]
-    ex = seq.select("uid", F.posexplode(list_col).alias("_pos", "_v"))
-    j = ex.join(dictionary.withColumnRenamed(key, "_v"), "_v", "left")
+    keys = ["uid", "chunk"] if "chunk" in seq.columns else ["uid"]
+    others = [c for c in seq.columns if c not in (*keys, list_col)]
+    ex = seq.select(*keys, F.posexplode(list_col).alias("_pos", "_v"))
+    j = salted_join(ex, dictionary.withColumnRenamed(key, "_v"), "_v", "left", max_rows_per_key=max_rows_per_key or DEFAULT_MAX_ROWS_PER_KEY)
     idx = F.when(F.col(idx_col).isNull(), F.raise_error(F.lit(f"unmapped element of {list_col}")))\
            .otherwise(F.col(idx_col)).cast("long")
-    folded = j.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), idx.alias("_i")))).alias("_l"))
-    folded = folded.select("uid", F.transform("_l", lambda e: e["_i"]).alias(list_col))
+    folded = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), idx.alias("_i")))).alias("_l"))
+    folded = folded.select(*keys, F.transform("_l", lambda e: e["_i"]).alias(list_col))
     if not others:
         return folded
-    # users whose list was empty keep an empty list
-    base = seq.select("uid", *others, F.size(list_col).alias("_n"))
-    out = base.join(folded, "uid", "left")
-    return out.select("uid", F.when(F.col("_n") == 0, F.array().cast(f"array<long>"))
+    # rows whose list was empty keep an empty list
+    base = seq.select(*keys, *others, F.size(list_col).alias("_n"))
+    out = base.join(folded, keys, "left")
+    return out.select(*keys, F.when(F.col("_n") == 0, F.array().cast("array<long>"))
                       .otherwise(F.col(list_col)).alias(list_col), *others)

@@ -96,6 +96,14 @@ def _chunk_positions(df: DataFrame, order_cols: list[str], size: int) -> DataFra
             .drop("_pos", "_first")
 
 
+def fold_chunks(seq: DataFrame) -> DataFrame:
+    """Rows of a history cut into chunks back to one row per user: the chunks' lists in
+    order, one after the other."""
+    cols = [c for c in seq.columns if c not in ("uid", "chunk")]
+    folded = seq.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("chunk", *cols))).alias("_c"))
+    return folded.select("uid", *[F.flatten(F.transform("_c", field(c))).alias(c) for c in cols])
+
+
 def explode_sequences(seq: DataFrame) -> DataFrame:
     """Inverse of the ``columns`` fold: one row per list position, order kept
     by a ``pos`` column when requested downstream."""

@@ -10,38 +10,76 @@ position_table      item, position, reverse position (newest = 0) (R13)
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfold import constants as C
 from rankfold.functions.exprs import hashed_int, last_n
 from rankfold.operators.indexing import dense_index, map_ids_in_lists
+from rankfold.operators.reshape import fold_chunks
 from rankfold.operators.split import split_sequences
 from rankfold.streaming.shards import row_index
 
 
-class SequenceData(NamedTuple):
-    train: DataFrame
-    val: DataFrame | None
-    test: DataFrame
-    item_index: DataFrame  # (item_id, item_idx) with idx from 1
+class SequenceData:
+    """train, val (or None) and test as item indices, and ``item_index`` (item_id,
+    item_idx) with idx from 1.  A segment is prepared when it is first asked for."""
+
+    def __init__(self, item_index: DataFrame, train, val, test):
+        self.item_index, self._train, self._val, self._test = item_index, train, val, test
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self._train()
+
+    @cached_property
+    def val(self) -> DataFrame | None:
+        return self._val()
+
+    @cached_property
+    def test(self) -> DataFrame:
+        return self._test()
 
     def num_items(self):
         return self.item_index.agg(F.count(F.lit(1))).scalar()
 
 
+def _row_keys(seq: DataFrame) -> list[str]:
+    return ["uid", "chunk"] if "chunk" in seq.columns else ["uid"]
+
+
 def listen_lists(seq: DataFrame, threshold: int = C.TRACK_LISTEN_THRESHOLD) -> DataFrame:
     """Keep item_id and timestamp at positions with played_ratio_pct >= threshold;
-    other list columns are dropped; users left empty disappear (P3)."""
-    base = seq.select("uid", F.col("item_id").alias("_i"), F.col("timestamp").alias("_t"),
+    other list columns are dropped; rows left empty disappear (P3)."""
+    keys = _row_keys(seq)
+    base = seq.select(*keys, F.col("item_id").alias("_i"), F.col("timestamp").alias("_t"),
                       F.col("played_ratio_pct").alias("_p"))
     keep = lambda x, i: F.get(F.col("_p"), i) >= threshold
-    out = base.select("uid", F.filter("_i", keep).alias("item_id"), F.filter("_t", keep).alias("timestamp"))
+    out = base.select(*keys, F.filter("_i", keep).alias("item_id"), F.filter("_t", keep).alias("timestamp"))
     return out.filter(F.size("item_id") > 0)
 
 
+def last_events(seq: DataFrame, n: int) -> DataFrame:
+    """One row per user with the last ``n`` events of its lists.
+
+    Of a history cut into chunks, the rows that reach into the last ``n`` events are
+    found by the lengths alone (one number a row), so no more than ``n`` events of a
+    user ever meet.
+    """
+    cols = [c for c in seq.columns if c not in ("uid", "chunk")]
+    if "chunk" not in seq.columns:
+        return seq.select("uid", *[last_n(F.col(c), n).alias(c) for c in cols])
+    later = Window.partitionBy("uid").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = seq.select("uid", "chunk", F.size(cols[0]).alias("_s"))
+    after = sizes.select("uid", "chunk", F.coalesce(F.sum("_s").over(later), F.lit(0)).alias("_after")).filter(F.col("_after") < n)
+    tail = seq.join(after, ["uid", "chunk"])
+    room = F.lit(n) - F.col("_after")
+    cut = [F.slice(c, F.greatest(F.size(c) - room + 1, F.lit(1)).cast("int"), F.least(F.size(c), room).cast("int")).alias(c) for c in cols]
+    return fold_chunks(tail.select("uid", "chunk", *cut))
+
+
 def prepare_sequences(seq: DataFrame, interaction: str = "likes", *, test_ts: int = C.TEST_TIMESTAMP,
                       val_size: int = C.VAL_SIZE, gap: int = C.GAP_SIZE,
                       max_seq_len: int = C.MAX_SEQ_LEN, fit_on: str = "all") -> SequenceData:
@@ -51,18 +89,20 @@ def prepare_sequences(seq: DataFrame, interaction: str = "likes", *, test_ts: in
     ``fit_on="all"`` numbers every item of the log, test included, as the
     reference does (D14); ``fit_on="train"`` numbers train items only and
     drops unseen items from the held-out lists so the strict mapping holds.
+    Histories cut into bounded rows stay so in the held-out segments; train lists
+    are bounded by ``max_seq_len`` and come as one row per user either way.
     """
     if interaction == "listens":
         seq = listen_lists(seq)
     s = split_sequences(seq, test_ts, val_size, gap, drop_unseen_items=(fit_on == "train"))
     src = seq if fit_on == "all" else s.train
     item_index = dense_index(src.select(F.explode("item_id").alias("item_id")), "item_id", 1, "item_idx")
-    cols = [c for c in s.train.columns if c != "uid"]
-    train = s.train.select("uid", *[last_n(F.col(c), max_seq_len).alias(c) for c in cols])
-    train = map_ids_in_lists(train, "item_id", item_index, "item_idx")
-    val = map_ids_in_lists(s.val, "item_id", item_index, "item_idx") if s.val is not None else None
-    test = map_ids_in_lists(s.test, "item_id", item_index, "item_idx")
-    return SequenceData(train, val, test, item_index)
+
+    def indexed(rows: DataFrame) -> DataFrame:
+        return map_ids_in_lists(rows, "item_id", item_index, "item_idx")
+
+    return SequenceData(item_index, lambda: indexed(last_events(s.train, max_seq_len)),
+                        lambda: None if s.val is None else indexed(s.val), lambda: indexed(s.test))
 
 
 def next_item_rows(train: DataFrame, num_items, max_seq_len: int = C.MAX_SEQ_LEN, seed: int = 42) -> DataFrame:

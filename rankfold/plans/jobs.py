@@ -105,6 +105,27 @@ def generate_dataset_stats(spark: SparkSession, src_dir: str, dst_dir: str | Non
     return written
 
 
+def evaluate_lists(spark: SparkSession, ranked_path: str, targets_path: str, metrics: list[str],
+                   items_path: str | None = None, out_path: str | None = None) -> DataFrame:
+    """Score lists from elsewhere: ranked rows (uid, rank, item_id[, score]) and target
+    events (uid, item_id) from Parquet; the item universe for coverage from
+    ``items_path``, the lists' own items otherwise.  Preconditions (M8, J9) are looked
+    at first and named in the error."""
+    from rankfold.operators import metrics as M
+    from rankfold.operators.validate import require_valid
+
+    ranked, targets = spark.read.parquet(ranked_path), spark.read.parquet(targets_path)
+    if "score" not in ranked.columns:
+        ranked = M.default_scores(ranked)
+    groups = M.parse_metrics(metrics)
+    require_valid(ranked, targets, sorted({k for ks in groups.values() for k in ks}))
+    universe = spark.read.parquet(items_path) if items_path else ranked
+    rep = M.evaluate(ranked, targets, metrics, universe.select("item_id"))
+    if out_path:
+        sinks.write_metrics_json(rep, out_path)
+    return rep
+
+
 def run_benchmark(spark: SparkSession, model: str, data_dir: str, size: str, interaction: str,
                   out_path: str | None = None, **kw) -> DataFrame:
     """Scan ``<data_dir>/<size>/<interaction>.parquet``, run one protocol,

@@ -799,6 +799,16 @@ ORACLES.update({
 })
 
 
+def q_seq_split_chunked():
+    cols = ", ".join(f"list({c} {ME_ORDER}) AS {c}" for c in ME_LIST_COLS)
+    cut = f"cut AS (SELECT *, CAST((row_number() OVER (PARTITION BY uid {ME_ORDER}) - 1) // {P.SEQ_CHUNK} AS INTEGER) AS chunk FROM mer)"
+    s = split_ctes("cut", ME_COLS + ", chunk", P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=True)
+    return f"{with_(MER, cut, s)} SELECT uid, chunk, {cols} FROM test GROUP BY uid, chunk"
+
+
+ORACLES.update({"seq_split_chunked": q_seq_split_chunked, "seq_prepare_chunked": q_seq_prepare_train})
+
+
 # ---------------------------------------------------------------- ALS: what solved factors and best lists must show
 
 def q_als_residual():

@@ -149,9 +149,9 @@ def q_popularity_eval(spark, sf_dir):
 ME_ORDER = ["timestamp", "event_ord", "event_id"]
 
 
-def me_sequences(spark, sf_dir, layout="columns", releases=False):
+def me_sequences(spark, sf_dir, layout="columns", releases=False, max_events_per_row=None):
     me = adapters.multi_event(spark, sf_dir, releases=releases)
-    return reshape.to_sequences(me, layout, order_cols=ME_ORDER)
+    return reshape.to_sequences(me, layout, order_cols=ME_ORDER, max_events_per_row=max_events_per_row)
 
 
 @register("multi_event")
@@ -528,6 +528,21 @@ def q_seq_positions(spark, sf_dir):
     return sequences.position_table(seq_data(spark, sf_dir).train)
 
 
+@register("seq_split_chunked")
+def q_seq_split_chunked(spark, sf_dir):
+    """T2/T4 on histories cut into bounded rows: test rows with unseen items removed."""
+    seq = me_sequences(spark, sf_dir, releases=True, max_events_per_row=P.SEQ_CHUNK)
+    return split_sequences(seq, P.ME_TEST_TS, P.ME_VAL_SIZE, P.ME_GAP, drop_unseen_items=True).test
+
+
+@register("seq_prepare_chunked")
+def q_seq_prepare_chunked(spark, sf_dir):
+    """R9/J6/O8 on histories cut into bounded rows: the same train lists as from whole rows."""
+    seq = me_sequences(spark, sf_dir, max_events_per_row=P.SEQ_CHUNK)
+    return sequences.prepare_sequences(seq, "listens", test_ts=P.ME_TEST_TS, val_size=0, gap=P.ME_GAP,
+                                       max_seq_len=P.SEQ_MAX_LEN).train
+
+
 SHARD_ORDER = ["uid", "timestamp", "l_orderkey", "l_linenumber", "item_id", "is_organic", "played_ratio_pct"]
 
 
