@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rankfold import constants as C
 from rankfold.functions.exprs import hashed_int, last_n
-from rankfold.operators.indexing import dense_index, map_ids_in_lists
+from rankfold.operators.indexing import dense_index, map_ids_in_lists, staged
 from rankfold.operators.reshape import fold_chunks
 from rankfold.operators.split import split_sequences
 from rankfold.streaming.shards import row_index
@@ -91,9 +91,11 @@ def prepare_sequences(seq: DataFrame, interaction: str = "likes", *, test_ts: in
     drops unseen items from the held-out lists so the strict mapping holds.
     Histories cut into bounded rows stay so in the held-out segments; train lists
     are bounded by ``max_seq_len`` and come as one row per user either way.
+
+    The item index, the train users and both sides of every segment's mapping read the
+    lists: they are written once, so that the log is folded once.
     """
-    if interaction == "listens":
-        seq = listen_lists(seq)
+    seq = staged(listen_lists(seq) if interaction == "listens" else seq, "sequences")
     s = split_sequences(seq, test_ts, val_size, gap, drop_unseen_items=(fit_on == "train"))
     src = seq if fit_on == "all" else s.train
     item_index = dense_index(src.select(F.explode("item_id").alias("item_id")), "item_id", 1, "item_idx")

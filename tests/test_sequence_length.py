@@ -2,9 +2,11 @@
 
 import pytest
 
+from rankfold.operators.sequences import prepare_sequences
 from rankfold.plans import oracle
 from rankfold.plans import params as P
 from rankfold.plans import queries as Q
+from small_tables import SF_SMALL
 
 NAMES = ["seq_prepare_train", "next_item_rows", "eval_rows", "seq_batches", "train_batches", "seq_positions"]
 
@@ -36,3 +38,12 @@ def test_sql_keeps_as_many():
     assert P.SEQ_LIST_LEN == 50
     sql = oracle.oracle_sql()
     assert all("rn <= 50" in sql[n] for n in NAMES) and "rn <= 6" in sql["seq_prepare_chunked"]
+
+
+def test_the_log_is_folded_once(spark):
+    """The item index, train and test read the written lists, not the log."""
+    d = prepare_sequences(Q.me_sequences(spark, SF_SMALL), "listens", test_ts=P.ME_TEST_TS, val_size=0, gap=P.ME_GAP, max_seq_len=9)
+    for df in (d.train, d.test, d.item_index):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation [" in plan or "LogicalRDD" in plan
+        assert "event_type" not in plan
