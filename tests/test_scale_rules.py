@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rankfold.operators.metrics import evaluate
 from rankfold.operators.ranking import pad_with_zero_scores
 from rankfold.operators.split import split_flat
 from rankfold.plans import jobs
@@ -105,3 +106,16 @@ def test_positions_of_the_sorted_log(spark):
     assert all(r.x == r.pos for r in rows)
     shards = shard_rows(df, ["x"], 7).collect()
     assert all(r.row_idx == r.x and r.shard == r.x // 143 for r in shards)
+
+
+@pytest.mark.parametrize("folded", [False, True])
+def test_written_lists_are_not_broadcast(spark, folded):
+    """Lists whose file is small beside the targets: in a broadcast they are many times that."""
+    lists = spark.range(2000).select(F.col("id").alias("uid"), F.sequence(F.lit(1), F.lit(100)).cast("array<bigint>").alias("item_ids"))
+    if not folded:
+        lists = lists.select("uid", F.posexplode("item_ids").alias("p", "item_id")).select("uid", (F.col("p") + 1).alias("rank"), "item_id")
+    targets = spark.range(3_000_000).select((F.col("id") % 2000).alias("uid"), (F.col("id") % 1009).alias("item_id"))
+    report = evaluate(lists, targets, ["recall@100"], strict=True, width=100)
+    report.collect()
+    final = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BuildLeft" not in final
