@@ -119,3 +119,20 @@ def test_written_lists_are_not_broadcast(spark, folded):
     report.collect()
     final = report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BuildLeft" not in final
+
+
+def test_als_blocks_follow_the_work_a_pair(spark):
+    """Copies of factors are what a fit shuffles: short fits of low rank have few blocks."""
+    assert mf.als_blocks(193_000_000, 16, 5) <= 8  # 97 at 2 million pairs a block
+    assert mf.als_blocks(193_000_000, 64, 100) == 97
+    assert mf.als_blocks(1000, 16, 5) == 4 and mf.als_blocks(0, 64, 100) == 4
+    assert mf.als_blocks(10 ** 10, 1, 1) == -(-10 ** 10 // mf.MOST_PAIRS_PER_BLOCK)
+
+
+def test_als_residuals_of_pairs_already_numbered(spark):
+    train = spark.range(400).select((F.col("id") % 23).alias("uid"), (F.col("id") * 7 % 31).alias("item_id"))
+    indexed = mf.indexed_pairs(train)
+    users, items = mf.als_factors(train, rank=4, reg=0.05, iterations=5, seed=1, indexed=indexed)
+    plain = {r.uid: (r.n_items, round(r.residual, 6)) for r in mf.als_residuals(train, users, items, 0.05).collect()}
+    given = {r.uid: (r.n_items, round(r.residual, 6)) for r in mf.als_residuals(train, users, items, 0.05, indexed=indexed).collect()}
+    assert given == plain and len(plain) == 23
