@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import received, rows_of, ship, stored
+from rankfold.llm.common import bounded_batches, received, rows_of, ship, stored
 from rankfold.llm.text import mix
 
 K = 20
@@ -47,8 +47,10 @@ TARGET = 0.98
 SAMPLE = 2048
 #: vectors in a packed row, and entries a bucket should hold on average
 BLOCK, BUCKET = 256, 64
-#: scored pairs beyond the best, and queries, that a task holds
-HELD = 200_000
+#: scored pairs beyond the best that a task holds, and the best of all its queries together
+HELD, HELD_BEST = 200_000, 1_000_000
+#: queries whose visits a task makes at once: some hundred rows with a vector each a query
+VISITING = 64
 #: cells looked at on either side of a query's cell
 REACH = 2
 SEED = 11
@@ -185,9 +187,7 @@ def _visit(broadcast):
 
     def run(batches):
         h, (entries, sample) = received(broadcast)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(a, VISITING) for b in batches for a in range(0, b.num_rows, VISITING)):
             q = _matrix(batch.column("vec"))
             s = q @ sample.T
             k = min(h.k + 1, len(sample))
@@ -272,7 +272,7 @@ def _rank(single: bool, k: int):
                 least = np.array([v["least"] for v in row["visits"]])
                 i, j = np.nonzero(q @ x.T >= least[:, None])
                 best.add(best.queries(row["visits"])[i], np.array(row["entries"], np.int64)[j], (q[i] * x[j]).sum(1))
-                if len(best.keys) > HELD:
+                if len(best.keys) * k > HELD_BEST:
                     yield best.batch()
         yield best.batch()
 
@@ -288,6 +288,7 @@ def _dealt(df: DataFrame, key: str, by: list[str]) -> DataFrame:
 def search(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other rows of each query row."""
     spark = df.sparkSession
+    bounded_batches(spark)  # packed rows hold hundreds of vectors
     rows = usable(df, id_col, vec_col)
     order = Window.partitionBy("k1", "k2").orderBy("id")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

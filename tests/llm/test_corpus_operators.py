@@ -349,6 +349,29 @@ def test_ann_recall_and_scores(spark):
     assert all(scores.get((q, v), s) == s for q, _, v, s in got)
 
 
+def test_ann_visits_and_best_stay_bounded():
+    """A task's visits come a few queries at a time, and it hands on the best of its queries before they are many."""
+    import types
+
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 8))
+    h = ann.Hashing(x[:100], 600, 6.0, 5)
+    bound = types.SimpleNamespace(value=cloudpickle.dumps((h, (np.arange(100), x[:100]))))
+    vec = pa.array(x.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([vec, pa.array(range(600)), pa.array(range(600))], ["vec", "k1", "k2"])
+    out = list(ann._visit(bound)([batch]))
+    assert max(len(set(b.column("k1").to_pylist())) for b in out) <= ann.VISITING
+    assert {q for b in out for q in b.column("k1").to_pylist()} == set(range(600))
+    k = 1000
+    rows = [{"entries": [1], "raws": [x[0].tobytes()], "visits": [{"k1": 2 * n + t, "k2": 0, "raw": x[n].tobytes(), "least": -9e9} for t in (0, 1)]} for n in range(600)]
+    packed = pa.RecordBatch.from_pylist(rows, pa.schema([("entries", pa.list_(pa.int64())), ("raws", pa.list_(pa.binary())), (
+        "visits", pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("raw", pa.binary()), ("least", pa.float64())])))]))
+    best = [b for b in ann._rank(False, k)([packed]) if b.num_rows]
+    assert max(b.num_rows for b in best) <= ann.HELD_BEST // k + 2 and sum(b.num_rows for b in best) == 1200
+
+
 def test_ann_cases(spark):
     v = [1.0, 2.0, 0.5]
     rows = [(i, v) for i in range(60)] + [(100, [0.0, 0.0, 0.0]), (101, None), (102, [1.0, None, 1.0]), (103, [float("nan")] * 3), (104, [float("inf"), 0.0, 0.0]),
