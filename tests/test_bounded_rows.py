@@ -183,3 +183,27 @@ def test_bpr_passes_equal_plain_steps(spark):
             assert bool(bits >> t & 1) == (big and (u, drawn) in have)
     spread.advance(3)
     assert all(np.isfinite(r.embedding).all() for r in spread.factors.collect())
+
+
+def test_bpr_blocks_read_in_order_equal_held_ones(spark):
+    """A block of more pairs than a task should hold is stepped as it is read, all trials through the
+    same rows, to the same factors as a held one; hashes of a pair are those of ``hashed_int``."""
+    rng = np.random.default_rng(8)
+    pairs = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 12, 100), rng.integers(0, 14, 100))})
+    train = spark.createDataFrame([(u, i, 0) for u, i in pairs], "uid long, item_id long, timestamp long")
+    setting = [{"trial": t, "learning_rate": 0.1, "regularization": 0.01 * t, "iterations": n} for t, n in ((0, 3), (1, 3), (2, 1))]
+    ends = []
+    for most in (15, 200_000):
+        fit = bpr.BprTrials(train, setting, rank=3, batch=7, blocks=2, merge_every=2, pairs_per_block=most)
+        assert fit.in_order == (most == 15) and not fit.any_spread
+        fit.advance(3)
+        ends.append({(r.trial, r.kind, r.idx): np.array(r.embedding) for r in fit.factors.collect()})
+    assert ends[0].keys() == ends[1].keys() and all(np.allclose(ends[0][k], ends[1][k], atol=1e-12) for k in ends[0])
+    fit = bpr.BprTrials(train, setting, rank=3, blocks=1)
+    fit.n_pairs = 10 ** 9
+    groups, parts = fit._dealt(1, [2, 1, 0])  # a row of pairs for all trials, not one a trial
+    assert groups == [([0, 1, 2], 1)] and parts == 1
+    rows = fit._drawn(2).collect()
+    u, i = (np.array([r[c] for r in rows]) for c in ("uid_idx", "item_idx"))
+    hashes = bpr.pair_hashes()(u, i)
+    assert all((hashes(42, t) == [r.draws[t] for r in rows]).all() for t in (0, 1))
